@@ -92,12 +92,23 @@ def _idiom(c: Column, rules: Rules) -> Column:
         phrase("w1", "w0"), phrase("w2", "w1", "w0"), phrase("w2", "w1"),
         phrase("w3", "w2", "w1"), phrase("w3", "w2"),
     ]
-    value = F.coalesce(*[_value_of(p, rules.idioms) for p in phrases], c["v"])
+    entries = [F.lit(x) for k, v in sorted(rules.idioms.items()) for x in (k, float(v))]
+    known = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(None).cast("double"))
+    value = F.coalesce(*[F.try_element_at(known, p) for p in phrases], c["v"])
     pairs = [k for k in rules.boosters if " " in k]
     soft = _one_of(phrase("w3", "w2"), pairs) | _one_of(phrase("w2", "w1"), pairs)
     return F.when(c["on3"], value + F.when(soft, LOWER).otherwise(0.0)).otherwise(c["v"])
 
 
+def _may_hold_phrase(words_: Column, rules: Rules) -> Column:
+    """Whether any phrase is in the text at all: most texts skip the phrase step."""
+    joined = F.array_join(words_, " ")
+    found = F.lit(False)
+    for phrase in sorted([*rules.idioms, *(k for k in rules.boosters if " " in k)]):
+        found = found | joined.contains(phrase)
+    return found
+
+
 def _spaced(columns):
     joined = []
     for c in columns:
@@ -125,6 +136,10 @@ def emphasis(text: Column) -> Column:
     ).otherwise(QUESTION_MAX)
 
 
+def _stressed(total: Column, text: Column) -> Column:
+    return total + F.signum(total) * emphasis(text)
+
+
 def normalized(total: Column) -> Column:
     return F.round(total / F.sqrt(total * total + NORMALIZE), 4)
 
@@ -143,74 +158,81 @@ def score(
     first occurrence. With a lexicon of ordinary size the whole score is one projection.
     """
     rules = rules or Rules()
-    blank = is_blank(F.col(text))
     found = posts.withColumn("_w", sentiment_words(F.col(text)))
     found = found.withColumn("_l", F.transform("_w", F.lower))
     found = token_values(found, "_l", lexicon, "token", "valence", "_v", inline)
-    w, lo, v = F.col("_w"), F.col("_l"), F.col("_v")
+    total = valence_sum(F.col("_w"), F.col("_l"), F.col("_v"), rules)
+    return found.withColumn("_sum", total).withColumn(
+        out, F.when(~is_blank(F.col(text)), normalized(_stressed(F.col("_sum"), F.col(text))))
+    ).drop("_w", "_l", "_v", "_sum")
 
-    # Positions of the words that count: in the lexicon, and no booster themselves.
-    def counts(i):
-        word = F.get(lo, i)
-        kind_of = (word == "kind") & F.coalesce(F.get(lo, i + 1) == "of", F.lit(False))
-        return F.get(v, i).isNotNull() & ~kind_of & ~_one_of(word, rules.boosters)
 
-    found = found.withColumn(
-        "_hits", F.filter(F.transform(w, lambda _, i: i), counts)
-    )
-    found = found.withColumns(
-        {
-            "_hit_words": F.transform("_hits", lambda i: F.get(w, i)),
-            "_but": (F.array_position(lo, rules.contrast) - 1).cast("int"),
-            "_caps": F.exists(
-                F.zip_with(w, lo, lambda a, b: _upper(a, b)), lambda up: up
-            ) & F.exists(F.zip_with(w, lo, lambda a, b: _upper(a, b)), lambda up: ~up),
-        }
-    )
-    hits, but, caps = F.col("_hits"), F.col("_but"), F.col("_caps")
-
-    placed = F.transform(
-        hits,
-        lambda i: F.struct(
-            F.get(hits, (F.array_position("_hit_words", F.get(w, i)) - 1).cast("int")).alias("at"),
-            F.when((but < 0) | (i == but), 1.0)
-            .when(i < but, BEFORE_BUT)
-            .otherwise(AFTER_BUT)
-            .alias("weight"),
-        ),
-    )
+def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
+    """Sum of the valences of a text's words, each changed by the words around it.
+
+    `w`, `lo` and `v` are its words, their lower case and their lexicon values, aligned.
+    """
 
-    def around(p):
-        at = p["at"]
-        return F.struct(
-            p["weight"].alias("weight"),
-            F.get(v, at).cast("double").alias("v"),
-            *[F.get(w, at - k).alias(f"w{k}") for k in range(4)],
-            *[F.get(lo, at - k).alias(f"l{k}") for k in range(4)],
-            *[
-                ((at >= k) & F.get(v, at - k).isNull()).alias(f"on{k}")
-                for k in (1, 2, 3)
-            ],
-            *[F.get(w, at + k).alias(f"n{k}") for k in (1, 2)],
+    def counts(i):
+        kind_of = (F.get(lo, i) == "kind") & F.coalesce(F.get(lo, i + 1) == "of", F.lit(False))
+        return F.get(v, i).isNotNull() & ~kind_of & ~_one_of(F.get(lo, i), rules.boosters)
+
+    def total(row):
+        hits, but = row["hits"], row["but"]
+        caps = (row["shouted"] > 0) & (row["shouted"] < F.size(w))
+
+        def place(i):
+            first = F.array_position(row["hit_words"], F.get(w, i)) - 1
+            weight = F.when(but < 0, 1.0).when(i < but, BEFORE_BUT).when(i > but, AFTER_BUT)
+            return F.struct(
+                F.get(hits, first.cast("int")).alias("at"),
+                F.coalesce(weight, F.lit(1.0)).alias("weight"),
+            )
+
+        def around(p):
+            at = p["at"]
+            return F.struct(
+                p["weight"].alias("weight"),
+                F.get(v, at).cast("double").alias("v"),
+                *[F.get(w, at - k).alias(f"w{k}") for k in range(4)],
+                *[F.get(lo, at - k).alias(f"l{k}") for k in range(4)],
+                *[
+                    ((at >= k) & F.get(v, at - k).isNull()).alias(f"on{k}")
+                    for k in (1, 2, 3)
+                ],
+                *[F.get(w, at + k).alias(f"n{k}") for k in (1, 2)],
+            )
+
+        def shout(c):
+            louder = F.when(c["v"] > 0, CAPS).otherwise(-CAPS)
+            return c["v"] + F.when(_upper(c["w0"], c["l0"]) & caps, louder).otherwise(0.0)
+
+        steps = _set(F.transform(F.transform(hits, place), around), shout)
+        for k in (1, 2, 3):
+            steps = _set(steps, lambda c, k=k: _near(c, k, rules, caps))
+        steps = _set(steps, lambda c: F.when(row["idiom"], _idiom(c, rules)).otherwise(c["v"]))
+        steps = _set(steps, _least)
+        return F.aggregate(steps, F.lit(0.0), lambda acc, c: acc + c["v"] * c["weight"])
+
+    def described(hits):
+        return let(
+            F.struct(
+                hits.alias("hits"),
+                F.transform(hits, lambda i: F.get(w, i)).alias("hit_words"),
+                (F.array_position(lo, rules.contrast) - 1).cast("int").alias("but"),
+                F.size(F.filter(F.zip_with(w, lo, _upper), lambda up: up)).alias("shouted"),
+                _may_hold_phrase(w, rules).alias("idiom"),
+            ),
+            total,
         )
 
-    def shout(c):
-        louder = F.when(c["v"] > 0, CAPS).otherwise(-CAPS)
-        return c["v"] + F.when(_upper(c["w0"], c["l0"]) & caps, louder).otherwise(0.0)
-
-    steps = F.transform(placed, around)
-    steps = _set(steps, shout)
-    for k in (1, 2, 3):
-        steps = _set(steps, lambda c, k=k: _near(c, k, rules, caps))
-    steps = _set(steps, lambda c: _idiom(c, rules))
-    steps = _set(steps, _least)
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, c: acc + c["v"] * c["weight"])
-
-    found = found.withColumns({"_sum": total, "_loud": emphasis(F.col(text))})
-    signed = F.col("_sum") + F.signum("_sum") * F.col("_loud")
-    return found.withColumn(out, F.when(~blank, normalized(signed))).drop(
-        "_w", "_l", "_v", "_hits", "_hit_words", "_but", "_caps", "_sum", "_loud"
-    )
+    positions = F.filter(F.transform(v, lambda _, i: i), counts)
+    return let(positions, lambda hits: F.when(F.size(hits) == 0, 0.0).otherwise(described(hits)))
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def lexicon_sum(

@@ -27,7 +27,7 @@ def _constant(table: DataFrame, token: str, value: str):
     size = 1 << 14
     slot = F.pmod(F.xxhash64(token), F.lit(size)).cast("int")
     slots = [None] * size
-    for row in table.select(slot.alias("slot"), token, value).toLocalIterator():
+    for row in table.select(slot.alias("slot"), token, value).collect():
         slots[row["slot"]] = {**(slots[row["slot"]] or {}), row[token]: row[value]}
     constant = F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{kind}>>")
 
@@ -58,11 +58,13 @@ def token_values(
     value: str,
     out: str,
     inline: bool | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Adds `out`: for each element of the array column `tokens` its value in the table, or null.
 
     A table within the inline bound is a constant of the plan: no shuffle, no explode. Beyond it
-    the tokens of each distinct text are joined to the table and gathered per text again.
+    the tokens of each distinct text are joined to the table, by broadcast while it is `small`,
+    and gathered per text again.
     """
     if inline is None:
         inline = inlines(table)
@@ -73,7 +75,7 @@ def token_values(
     keyed = df.withColumn("_key", fingerprint(F.col(tokens)))
     # Copies of a text are one row from here on; combined before they move.
     texts = keyed.groupBy("_key").agg(F.first(tokens).alias(tokens))
-    hits = token_hits(texts, tokens, table, token, value, small=False)
+    hits = token_hits(texts, tokens, table, token, value, small)
     found = hits.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.struct("pos", value))).alias("_found")
     )
