@@ -17,7 +17,7 @@ from postloom.functions.select import (
 from postloom.functions.text import absolute_url, page_count, prefixed_url
 from postloom.sites import CELL, CELL_LINK, CELL_LINK_BASE, Site
 
-TEXTS, NODES = F.col("page.texts"), F.col("page.nodes")
+TEXTS, NODES = "page.texts", "page.nodes"
 
 
 def outlines(pages: DataFrame) -> DataFrame:

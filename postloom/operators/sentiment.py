@@ -174,8 +174,7 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
     """
 
     def counts(i):
-        kind_of = (F.get(lo, i) == "kind") & F.coalesce(F.get(lo, i + 1) == "of", F.lit(False))
-        return F.get(v, i).isNotNull() & ~kind_of & ~_one_of(F.get(lo, i), rules.boosters)
+        return F.get(v, i).isNotNull() & ~_one_of(F.get(lo, i), rules.boosters)
 
     def total(row):
         hits, but = row["hits"], row["but"]
@@ -191,8 +190,9 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
 
         def around(p):
             at = p["at"]
+            kind_of = (F.get(lo, at) == "kind") & _one_of(F.get(lo, at + 1), ["of"])
             return F.struct(
-                p["weight"].alias("weight"),
+                F.when(kind_of, 0.0).otherwise(p["weight"]).alias("weight"),
                 F.get(v, at).cast("double").alias("v"),
                 *[F.get(w, at - k).alias(f"w{k}") for k in range(4)],
                 *[F.get(lo, at - k).alias(f"l{k}") for k in range(4)],
