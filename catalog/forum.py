@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.sources.pages import dealt
+
 POSTS_PER_PAGE = 3
 THREADS_PER_LISTING = 50
 HOST = "https://forum.example"
@@ -15,6 +17,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return dealt(table(spark, sf, name))
+
+
 def _escaped(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))

@@ -401,9 +401,9 @@ from documents left join (
     select text as source_text, min('[fr] ' || text) as target_text
     from documents where lang = 'fr' group by text)) on text = source_text""",
     "translation_dictionary": f"""with {_MEMORY.format(langs="'fr', 'de'")}
-select distinct text, coalesce(target_text, text) as translation,
-  case when target_text is not null then 'memory' else 'original' end as via
-from documents left join memory on text = source_text""",
+select text, count(*) as rows, any_value(coalesce(target_text, text)) as translation,
+  any_value(case when target_text is not null then 'memory' else 'original' end) as via
+from documents left join memory on text = source_text group by text""",
     "translate_glossary": _DOC_GLOSSARY,
     "translate_glossary_joined": _DOC_GLOSSARY,
     "lexicon_join": _LEXICON_JOIN,

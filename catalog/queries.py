@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import forum, vocabulary
-from catalog.forum import table
+from catalog.forum import dealt_table, table
 from postloom.functions.html import parse_html
 from postloom.functions.select import Selector
 from postloom.functions.text import absolute_url, is_blank, last_page_url, page_count, strip, words
@@ -36,7 +36,7 @@ def query(f):
 
 def conversation_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as canonical posts, with their thread."""
-    return table(spark, sf, "conversations").select(
+    return dealt_table(spark, sf, "conversations").select(
         (F.col("turn") + 1).cast("int").alias("post_index"),
         F.concat(F.lit("Thread "), F.col("conv_id").cast("string")).alias("thread_title"),
         F.col("role").alias("post_date"),
@@ -169,7 +169,7 @@ def append_isolated_sources(spark, sf):
 
 @query
 def page_outline(spark, sf):
-    page = table(spark, sf, "pages").select("page_id", parse_html("html").alias("page"))
+    page = dealt_table(spark, sf, "pages").select("page_id", parse_html("html").alias("page"))
     count = lambda tag: F.size(F.filter("page.nodes", lambda n: n["tag"] == tag))
     return page.select(
         "page_id", count("p").alias("n_p"), count("a").alias("n_a"), count("br").alias("n_br")
@@ -178,13 +178,13 @@ def page_outline(spark, sf):
 
 @query
 def page_links(spark, sf):
-    links = extract.elements(table(spark, sf, "pages"), Selector(tag="a"))
+    links = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="a"))
     return links.select("page_id", "pos", "href", F.col("text_joined").alias("text"))
 
 
 @query
 def link_by_href_prefix(spark, sf):
-    found = extract.elements(table(spark, sf, "pages"), Selector(tag="a", href_prefix="/th"))
+    found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="a", href_prefix="/th"))
     return found.select("page_id", "pos", "href")
 
 
@@ -196,7 +196,7 @@ def links_by_id_prefix(spark, sf):
 
 @query
 def elements_by_tag_and_class(spark, sf):
-    found = extract.elements(table(spark, sf, "pages"), Selector(tag="div", cls="ad"))
+    found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="div", cls="ad"))
     return found.select("page_id", "pos", "text_joined")
 
 
@@ -216,7 +216,7 @@ def elements_by_class_contains(spark, sf):
 
 @query
 def first_title(spark, sf):
-    return extract.first_text(table(spark, sf, "pages"), Selector(tag="h1")).select(
+    return extract.first_text(dealt_table(spark, sf, "pages"), Selector(tag="h1")).select(
         "page_id", "title"
     )
 
@@ -224,7 +224,7 @@ def first_title(spark, sf):
 @query
 def scoped_first_child(spark, sf):
     found = extract.child_elements(
-        table(spark, sf, "pages"), Selector(tag="li"), Selector(tag="a", has_href=True)
+        dealt_table(spark, sf, "pages"), Selector(tag="li"), Selector(tag="a", has_href=True)
     )
     return found.select("page_id", "pos", "href", "text_joined")
 
@@ -236,7 +236,7 @@ def cell_links(spark, sf):
 
 @query
 def absolute_urls(spark, sf):
-    links = extract.elements(table(spark, sf, "pages"), Selector(tag="a"))
+    links = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="a"))
     return links.select(
         "page_id", "pos", absolute_url(F.col("href"), F.col("url")).alias("address")
     )
@@ -244,20 +244,20 @@ def absolute_urls(spark, sf):
 
 @query
 def text_joined(spark, sf):
-    found = extract.elements(table(spark, sf, "pages"), Selector(tag="article"))
+    found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="article"))
     return found.select("page_id", "text_joined")
 
 
 @query
 def text_fused(spark, sf):
-    found = extract.elements(table(spark, sf, "pages"), Selector(tag="article"))
+    found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="article"))
     return found.select("page_id", "text_fused")
 
 
 @query
 def zip_truncate(spark, sf):
     found = extract.paired_elements(
-        table(spark, sf, "pages"), Selector(tag="li"), Selector(tag="p")
+        dealt_table(spark, sf, "pages"), Selector(tag="li"), Selector(tag="p")
     )
     return found.select("page_id", "pos", "left_text")
 
@@ -418,7 +418,7 @@ def rows_to_many_posts(spark, sf):
 
 @query
 def map_column_lengths(spark, sf):
-    return table(spark, sf, "documents").select(
+    return dealt_table(spark, sf, "documents").select(
         "doc_id", map_column(F.col("text"), lambda s: s.str.len(), "long").alias("n")
     )
 
@@ -428,7 +428,7 @@ def map_column_lengths(spark, sf):
 
 def _memory(spark, sf):
     return (
-        table(spark, sf, "documents")
+        dealt_table(spark, sf, "documents")
         .where(F.col("lang").isin("fr", "de"))
         .select(
             F.col("text").alias("source_text"),
@@ -465,7 +465,7 @@ def _demo_backend():
 @query
 def translate_backend(spark, sf):
     memory = _memory(spark, sf).where(F.col("target_text").startswith("[fr]"))
-    docs = table(spark, sf, "documents").drop("n_chars")
+    docs = dealt_table(spark, sf, "documents").drop("n_chars")
     found = translate.translate(docs, memory, "text", make_backend=lambda: _demo_backend())
     return found.select("doc_id", translate.TRANSLATED, "via")
 
@@ -478,14 +478,14 @@ def translation_dictionary(spark, sf):
 
 @query
 def translate_glossary(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
     found = translate.glossary_translate(docs, vocabulary.glossary(spark), "text")
     return found.select("doc_id", translate.TRANSLATED)
 
 
 @query
 def translate_glossary_joined(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
     found = translate.glossary_translate(docs, vocabulary.glossary(spark), "text", inline=False)
     return found.select("doc_id", translate.TRANSLATED)
 
@@ -495,7 +495,7 @@ def translate_glossary_joined(spark, sf):
 
 @query
 def lexicon_join(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = dealt_table(spark, sf, "documents").select(
         "doc_id", F.transform(words(F.col("text")), F.lower).alias("tokens")
     )
     return token_hits(docs, "tokens", vocabulary.lexicon(spark), "token", "valence")
@@ -503,7 +503,7 @@ def lexicon_join(spark, sf):
 
 @query
 def lexicon_join_spread(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = dealt_table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.transform(words(F.col("text")), F.lower)).alias("pos", "token")
     )
     found = spread_join(docs, vocabulary.lexicon(spark), "token", "inner", rows_per_task=500)
@@ -512,21 +512,21 @@ def lexicon_join_spread(spark, sf):
 
 @query
 def lexicon_score(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
     found = sentiment.lexicon_sum(docs, vocabulary.lexicon(spark), "text")
     return found.select("doc_id", "sentiment_score")
 
 
 @query
 def compound_score(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
     found = sentiment.score(docs, vocabulary.lexicon(spark), "text", rules=vocabulary.RULES)
     return found.select("doc_id", "sentiment_score")
 
 
 @query
 def compound_score_joined(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
     found = sentiment.score(
         docs, vocabulary.lexicon(spark), "text", rules=vocabulary.RULES, inline=False
     )
@@ -615,7 +615,7 @@ def _split(df: DataFrame, name: str) -> str:
 
 @query
 def incremental_posts(spark, sf):
-    folder = _split(table(spark, sf, "pages"), "arrivals")
+    folder = _split(dealt_table(spark, sf, "pages"), "arrivals")
     out, log = new_path(spark, "posts"), new_path(spark, "log")
     for _ in range(2):  # the second run finds nothing new
         stream = new_files(spark, folder, PAGES, files_per_batch=1)

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 1_000_000
+NULL_SALTS = 1 << 16
 
 
 def fits(table: DataFrame, max_rows=MAX_BROADCAST_ROWS, max_bytes=MAX_BROADCAST_BYTES) -> bool:
@@ -22,34 +23,54 @@ def fingerprint(*parts: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *parts))
 
 
+def hot_keys(counts: DataFrame, key: str, rows: str, rows_per_task: int) -> DataFrame:
+    """(_hot, _salts) of the keys with more than `rows_per_task` rows, from a table of counts.
+    There are at most (all rows / rows_per_task) of them, which bounds the table."""
+    return counts.where((F.col(rows) > rows_per_task) & F.col(key).isNotNull()).select(
+        F.col(key).alias("_hot"), F.ceil(F.col(rows) / rows_per_task).cast("int").alias("_salts")
+    )
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
+    rows: str | None = None,
 ) -> DataFrame:
     """Inner or left join on one column, with each hot key of `left` split over many tasks.
 
     A key with n left rows is dealt onto ceil(n / rows_per_task) salts, and its right rows are
-    copied once per salt, so the result is exact. Only keys above `rows_per_task` rows carry a
-    salt count: at most (rows of left / rows_per_task) of them, which bounds what is broadcast.
-    Counting is map-side combined. Rows are dealt by content and partition, which a retried task
-    sees again. Null keys match nothing and are spread the same way.
+    copied once per salt, so the result is exact. Only hot keys carry a salt count, and their
+    list is short by construction (see `hot_keys`), so it is broadcast. Null keys match nothing
+    and are dealt widely. Rows are dealt by content and partition, which a retried task sees
+    again. Without a given `hot`, the keys of `left` are counted in a pass of their own, combined
+    map-side: give a `left` that is cheap to read twice, such as a staged table. Where `right`
+    itself has the number of left rows per key, name that column in `rows`.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") > rows_per_task).select(
-        F.col(key).alias("_hot"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")
-    )
-    deal = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.col("_salts")).cast("int")
-    dealt = left.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(deal)
+    if hot is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+        hot = hot_keys(counts, key, "_n", rows_per_task)
+    number = F.xxhash64(*left.columns) + F.spark_partition_id()
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt",
+        F.when(F.col(key).isNull(), F.pmod(number, F.lit(NULL_SALTS)))
+        .when(F.col("_salts").isNotNull(), F.pmod(number, F.col("_salts")))
+        .otherwise(F.lit(0))
+        .cast("int"),
     )
-    copied = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+    if rows:
+        salts = F.ceil(F.col(rows) / rows_per_task).cast("int")
+        copied = right.withColumn("_salts", F.greatest(salts, F.lit(1))).drop(rows)
+    else:
+        copied = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").drop("_hot")
+    copied = copied.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
     return dealt.drop("_hot", "_salts").join(
-        copied.drop("_hot", "_salts"), [key, "_salt"], how
+        copied.drop("_salts"), [key, "_salt"], how
     ).drop("_salt")
 
 

@@ -12,6 +12,12 @@ from postloom.sites import Site
 from postloom.sources.scratch import stage
 
 
+def no_copies(pages: DataFrame) -> bool:
+    """Whether every url is there once; reads nothing but the urls."""
+    counts = pages.groupBy("url").agg(F.count("*").alias("n"))
+    return counts.where("n > 1").isEmpty()
+
+
 def newest_copies(extracts: DataFrame, order_by: str | None = None) -> DataFrame:
     """One extract per url, as each address is fetched once: the one with the greatest
     `order_by`. Map-side combined, so an address with many copies moves one per task."""
@@ -33,9 +39,11 @@ def thread_pages(
     """Each listed thread with the extract of the page its posts come from, and an outcome:
     kept, no page, unreadable, no title or no posts. A thread listed twice is there twice.
 
-    The html is gone by now: only the small extracts are shuffled. Where only the last page
-    counts, extracts are needed twice, so they are staged as a table and parsed once.
+    The html is gone by now: only the small extracts are shuffled. What is read more than once
+    is staged as a table, so that each page is parsed once: the threads, and where only the last
+    page counts, the extracts too.
     """
+    threads = stage(threads, f"{site.name}-threads")
     extracts = extracts.select(
         "url", *([order_by] if order_by else []),
         "readable", "page_title", "n_items", "page_count", "posts",
@@ -60,6 +68,7 @@ def thread_pages(
                 ),
             }
         )
+        threads = stage(threads, f"{site.name}-last-pages")
     else:
         threads = threads.withColumns({"first_items": F.lit(1), "_from": F.col("thread_url")})
     right = extracts.drop("page_count").withColumnRenamed("url", "_from")

@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import is_blank, words
-from postloom.operators.joins import fingerprint, fits, spread_join
+from postloom.operators.joins import (
+    ROWS_PER_TASK,
+    fingerprint,
+    fits,
+    hot_keys,
+    spread_join,
+)
 from postloom.operators.tokens import token_values
 
 TRANSLATED = "translated_post_content"
@@ -20,8 +26,9 @@ def unique_memory(memory: DataFrame) -> DataFrame:
 
 
 def distinct_texts(posts: DataFrame, text: str) -> DataFrame:
-    """Each text to be translated, once; copies are combined before they are shuffled."""
-    return posts.where(~is_blank(F.col(text))).select(text).distinct()
+    """Each text to be translated, once, with its number of rows; copies are combined before
+    they are shuffled."""
+    return posts.where(~is_blank(F.col(text))).groupBy(text).agg(F.count("*").alias("rows"))
 
 
 def backend_udf(make_backend: Callable[[], Callable[[list[str]], list[str]]]):
@@ -53,7 +60,7 @@ def dictionary(
     make_backend=None,
     small: bool | None = None,
 ) -> DataFrame:
-    """(text, translation, via) for each distinct text: via memory, backend or original.
+    """(text, rows, translation, via) for each distinct text: via memory, backend or original.
 
     Only texts the memory lacks reach the backend. Written out, this is new memory.
     """
@@ -71,6 +78,7 @@ def dictionary(
         known = known.withColumn("_new", backend_udf(make_backend)(missing))
     return known.select(
         text,
+        "rows",
         F.coalesce("target_text", "_new", text).alias("translation"),
         F.when(F.col("target_text").isNotNull(), "memory")
         .when(F.col("_new").isNotNull(), "backend")
@@ -86,6 +94,7 @@ def translate(
     out: str = TRANSLATED,
     make_backend=None,
     small: bool | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds `out` and `via`: "" for blank text, the translation where there is one, else the
     text itself. Every row is kept, copies included.
@@ -107,10 +116,16 @@ def translate(
             }
         ).drop("source_text", "target_text")
     else:
+        counts = distinct_texts(posts, text).select(
+            fingerprint(F.col(text)).alias("_text"), "rows"
+        )
         known = dictionary(posts, memory, text, make_backend, small)
-        known = known.select(fingerprint(F.col(text)).alias("_text"), "translation", "via")
+        known = known.select(fingerprint(F.col(text)).alias("_text"), "rows", "translation", "via")
         keyed = posts.withColumn("_text", F.when(~blank, fingerprint(F.col(text))))
-        found = spread_join(keyed, known, "_text").drop("_text")
+        hot = hot_keys(counts, "_text", "rows", rows_per_task)
+        found = spread_join(
+            keyed, known, "_text", rows_per_task=rows_per_task, hot=hot, rows="rows"
+        ).drop("_text")
     return found.withColumns(
         {
             out: F.when(blank, "").otherwise(F.col("translation")),

@@ -10,6 +10,7 @@ from postloom.operators.posts import (
     canonical,
     complete,
     explode_posts,
+    no_copies,
     rejects,
     thread_pages,
     union_sources,
@@ -30,7 +31,13 @@ class Extraction:
 
 
 def extract_source(listings: DataFrame, pages: DataFrame, site: Site, **options) -> Extraction:
-    """Listing pages and thread pages of one site to its posts."""
+    """Listing pages and thread pages of one site to its posts.
+
+    Unless told, whether any address was crawled twice is read off the url column alone; only
+    then are the extracts grouped by address.
+    """
+    if "unique_urls" not in options:
+        options["unique_urls"] = no_copies(pages)
     threads = has_address(listing_links(listings, site))
     outcomes = thread_pages(threads, read_threads(pages, site), site, **options)
     posts = explode_posts(outcomes)

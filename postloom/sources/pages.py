@@ -1,12 +1,21 @@
-"""Crawled pages as a DataFrame of (url, html)."""
+"""Crawled pages as a DataFrame of (url, html), and other parquet inputs."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """An input that reads as fewer pieces than there are cores is dealt out to all of them, for
+    work that costs more than the move. A corpus of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A parquet corpus of pages."""
-    return spark.read.parquet(path)
+    return dealt(spark.read.parquet(path))
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
