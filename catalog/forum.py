@@ -1,8 +1,6 @@
 """Forum sites made by Spark from the conversations table: a conversation is a thread, a turn
 a post, three turns a page. The extraction queries read these pages as a crawl."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ def _thread_address(conv: Column) -> Column:
 
 
 def _join(parts: list) -> Column:
-    return reduce(lambda a, b: F.concat(a, b), [p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
 def _post(site: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import forum, vocabulary
 from catalog.forum import dealt_table, table
+from postloom.functions import select
 from postloom.functions.html import parse_html
 from postloom.functions.select import Selector
 from postloom.functions.text import absolute_url, is_blank, last_page_url, page_count, strip, words
@@ -179,7 +180,7 @@ def page_outline(spark, sf):
 @query
 def page_links(spark, sf):
     links = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="a"))
-    return links.select("page_id", "pos", "href", F.col("text_joined").alias("text"))
+    return links.select("page_id", "pos", "href", "text")
 
 
 @query
@@ -190,14 +191,16 @@ def link_by_href_prefix(spark, sf):
 
 @query
 def links_by_id_prefix(spark, sf):
-    found = extract.elements(forum.listings(spark, sf, "site2"), SITE_2.links)
+    found = extract.elements(
+        forum.listings(spark, sf, "site2"), SITE_2.links, text_inline=select.text_inline
+    )
     return found.select(F.col("url").alias("listing_url"), "pos", "href", "text_inline")
 
 
 @query
 def elements_by_tag_and_class(spark, sf):
     found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="div", cls="ad"))
-    return found.select("page_id", "pos", "text_joined")
+    return found.select("page_id", "pos", F.col("text").alias("text_joined"))
 
 
 @query
@@ -244,13 +247,17 @@ def absolute_urls(spark, sf):
 
 @query
 def text_joined(spark, sf):
-    found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="article"))
+    found = extract.elements(
+        dealt_table(spark, sf, "pages"), Selector(tag="article"), text_joined=select.text_joined
+    )
     return found.select("page_id", "text_joined")
 
 
 @query
 def text_fused(spark, sf):
-    found = extract.elements(dealt_table(spark, sf, "pages"), Selector(tag="article"))
+    found = extract.elements(
+        dealt_table(spark, sf, "pages"), Selector(tag="article"), text_fused=select.text_fused
+    )
     return found.select("page_id", "text_fused")
 
 

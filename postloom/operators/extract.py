@@ -26,16 +26,16 @@ def outlines(pages: DataFrame) -> DataFrame:
     return pages.select(*others, parse_html("html").alias("page"))
 
 
-def elements(pages: DataFrame, selector: Selector) -> DataFrame:
-    """One row per matching element: its position from 1, attributes and texts."""
+def elements(pages: DataFrame, selector: Selector, **texts) -> DataFrame:
+    """One row per matching element: its position from 1, tag, href, and a column per given text
+    function; `text=text_joined` unless told otherwise."""
+    texts = texts or {"text": text_joined}
     found = F.transform(
         find_all(NODES, selector),
         lambda n: F.struct(
             n["tag"].alias("tag"),
             n["href"].alias("href"),
-            text_joined(TEXTS, n).alias("text_joined"),
-            text_fused(TEXTS, n).alias("text_fused"),
-            text_inline(TEXTS, n).alias("text_inline"),
+            *[text(TEXTS, n).alias(name) for name, text in texts.items()],
         ),
     )
     parsed = outlines(pages)

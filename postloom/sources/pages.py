@@ -21,9 +21,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """A folder tree of saved .html files, one page each; the file's path is its url."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.html")
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
         .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
     )
