@@ -130,17 +130,15 @@ def outline(html):
         return None
 
 
+_CHUNK_CHARS = 4 << 20
 _ARROW_TYPES = {name: to_arrow_type(kind) for name, kind in _NODE_FIELDS.items()}
 
 
-def _outlines(html: pa.Array) -> pa.Array:
-    """Arrow batch of pages to Arrow batch of outlines, column by column."""
-    text_ends, node_ends, texts, bad = [0], [0], [], []
-    rows = []
-    for value in html:
-        found = outline(value.as_py())
-        bad.append(found is None)
-        page_texts, page_nodes = found or ([], [])
+def _to_arrow(pages) -> pa.Array:
+    """Outlines of some pages as one Arrow array, built column by column."""
+    text_ends, node_ends, texts, rows = [0], [0], [], []
+    for page in pages:
+        page_texts, page_nodes = page or ([], [])
         texts.extend(page_texts)
         rows.extend(page_nodes)
         text_ends.append(len(texts))
@@ -156,10 +154,25 @@ def _outlines(html: pa.Array) -> pa.Array:
             pa.ListArray.from_arrays(pa.array(node_ends, pa.int32()), nodes),
         ],
         names=["texts", "nodes"],
-        mask=pa.array(bad, pa.bool_()),
+        mask=pa.array([page is None for page in pages], pa.bool_()),
     )
 
 
+def _outlines(html: pa.Array) -> pa.Array:
+    """Arrow batch of pages to Arrow batch of outlines. Python objects are turned into Arrow
+    every few megabytes of html, so that a batch of large pages does not pile them up."""
+    done, pages, size = [], [], 0
+    for value in html:
+        page = value.as_py()
+        pages.append(outline(page))
+        size += len(page or "")
+        if size > _CHUNK_CHARS:
+            done.append(_to_arrow(pages))
+            pages, size = [], 0
+    done.append(_to_arrow(pages))
+    return pa.concat_arrays(done)
+
+
 # Non-deterministic so that a filter on the result never makes Spark parse each page twice;
 # filter pages on their own columns before this call.
 parse_html = F.arrow_udf(_outlines, OUTLINE).asNondeterministic()

@@ -128,6 +128,7 @@ def number_rows(rows: DataFrame, thread: str, position: str, block: int = 100_00
 
     A thread is numbered in blocks of `block` positions: rows before a block come from block
     counts (combined map-side), rows inside it from row_number. So no task sorts a whole thread.
+    A row without a thread or a position is kept, with a null index.
     """
     rows = rows.withColumn("_block", F.floor(F.col(position) / block))
     counts = rows.groupBy(thread, "_block").agg(F.count("*").alias("_n"))
@@ -139,7 +140,7 @@ def number_rows(rows: DataFrame, thread: str, position: str, block: int = 100_00
     )
     inside = F.row_number().over(Window.partitionBy(thread, "_block").orderBy(position))
     return (
-        rows.join(before, [thread, "_block"])
+        rows.join(before, [thread, "_block"], "left")
         .withColumn("post_index", (F.col("_before") + inside).cast("int"))
         .drop("_block", "_before")
     )

@@ -72,12 +72,17 @@ def token_values(
         return df.withColumn(
             out, F.transform(tokens, _constant(one_per_token(table, token, value), token, value))
         )
+    if small is None:
+        small = fits(table)
     keyed = df.withColumn("_key", fingerprint(F.col(tokens)))
-    # Copies of a text are one row from here on; combined before they move.
-    texts = keyed.groupBy("_key").agg(F.first(tokens).alias(tokens))
+    texts = keyed.select("_key", tokens)
+    if not small:
+        # Tokens will be shuffled: copies of a text become one row first.
+        texts = texts.groupBy("_key").agg(F.first(tokens).alias(tokens))
     hits = token_hits(texts, tokens, table, token, value, small)
+    # A set, as copies of a text give the same hits; combined before they move.
     found = hits.groupBy("_key").agg(
-        F.array_sort(F.collect_list(F.struct("pos", value))).alias("_found")
+        F.array_sort(F.collect_set(F.struct("pos", value))).alias("_found")
     )
     return lookup(keyed, found, "_key", small=False).withColumn(
         out, _aligned(F.col("_found"), value, F.size(tokens))
