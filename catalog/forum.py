@@ -63,11 +63,11 @@ def _post(site: str) -> Column:
 
 
 def pages(spark: SparkSession, sf: str, site: str) -> DataFrame:
-    """(url, html) of every thread page. Site 1 pages of every tenth thread have no title."""
+    """(url, html) of every thread page. Site 1 pages of threads of four turns have no title."""
     turns = table(spark, sf, "conversations")
     per_page = POSTS_PER_PAGE if site == "site2" else 1 << 30
-    counts = turns.groupBy("conv_id").agg(
-        (F.floor(F.max("turn") / per_page) + 1).alias("n_pages")
+    counts = turns.groupBy("conv_id").agg(F.max("turn").alias("last")).withColumn(
+        "n_pages", F.floor(F.col("last") / per_page) + 1
     )
     made = (
         turns.withColumns(
@@ -79,8 +79,13 @@ def pages(spark: SparkSession, sf: str, site: str) -> DataFrame:
     )
     body = F.array_join(F.transform("posts", lambda p: p["post"]), "\n")
     head = {
-        "site1": F.when(F.col("conv_id") % 10 == 0, "").otherwise(
-            _join(['<h1 class="bn_thread-body__title"> Thread <b>', F.col("conv_id").cast("string"), "</b> </h1>"])
+        "site1": F.when(F.col("last") == 3, "").otherwise(
+            _join(
+                [
+                    '<h1 class="bn_thread-body__title"> Thread <b>',
+                    F.col("conv_id").cast("string"), "</b> </h1>",
+                ]
+            )
         ),
         "site2": _join(
             [
@@ -101,13 +106,13 @@ def pages(spark: SparkSession, sf: str, site: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf: str, site: str) -> DataFrame:
     """(url, html) of listing pages, fifty threads each, in the order of conv_id. Of site 1,
-    threads whose number ends in 3 are linked without an address, and every fifth listed thread
-    points to a page that is not there."""
+    threads of three turns are linked without an address, and threads of five turns point to a page
+    that is not there."""
     threads = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
     number = F.col("conv_id").cast("string")
-    path = F.concat(F.lit("/t"), number, F.when(F.col("conv_id") % 5 == 4, "gone").otherwise(""))
+    path = F.concat(F.lit("/t"), number, F.when(F.col("last") == 4, "gone").otherwise(""))
     link = {
-        "site1": F.when(F.col("conv_id") % 10 == 3, '<a class="x bn_thread__link">none</a>').otherwise(
+        "site1": F.when(F.col("last") == 2, '<a class="x bn_thread__link">none</a>').otherwise(
             _join(['<a class="x bn_thread__link" href="', path, '">', number, "</a>"])
         ),
         "site2": _join(

@@ -75,13 +75,13 @@ thread as (
 
 _SITE_1 = f"""{_THREAD},
 linked as (
-  select *, case when conv_id % 10 = 3 then null
-    else '{HOST}/t' || conv_id || case when conv_id % 5 = 4 then 'gone' else '' end end
+  select *, case when last = 2 then null
+    else '{HOST}/t' || conv_id || case when last = 4 then 'gone' else '' end end
     as thread_url
   from thread),
 outcome as (
   select conv_id, thread_url,
-    case when conv_id % 5 = 4 then 'no page' when conv_id % 10 = 0 then 'no title' else 'kept' end
+    case when last = 4 then 'no page' when last = 3 then 'no title' else 'kept' end
       as outcome
   from linked where thread_url is not null),
 post as (
@@ -372,7 +372,7 @@ select thread_url, 2 * count(*) as posts from post group by 1""",
     "union_listings": f"""with {_SITE_1}
 select 'today' as listing, listing_url, thread_pos, thread_url from linked
 union all
-select 'yesterday', listing_url, thread_pos, thread_url from linked where thread_pos <= 10""",
+select 'yesterday', listing_url, thread_pos, thread_url from linked where thread_url is not null""",
     "union_schemas": f"""{_POSTS} union all
 select post_index, thread_title, post_date, post_content, null from ({_POSTS})""",
     "threads_per_source": f"""with {_SITE_1}

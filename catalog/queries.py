@@ -382,8 +382,7 @@ def union_source_posts(spark, sf):
 @query
 def union_listings(spark, sf):
     listed = extract.listing_links(forum.listings(spark, sf, "site1"), SITE_1)
-    older = listed.where(F.col("thread_pos") <= 10)
-    threads = posts.union_listings({"today": listed, "yesterday": older})
+    threads = posts.union_listings({"today": listed, "yesterday": extract.has_address(listed)})
     return threads.select("listing", "listing_url", "thread_pos", "thread_url")
 
 

@@ -92,7 +92,9 @@ def explode_posts(kept: DataFrame) -> DataFrame:
     """One row per post of the kept threads, complete or not. `post_index` counts from 1 in each
     thread page; it is set before any reject, so it keeps a gap where a post is incomplete."""
     others = [c for c in kept.columns if c not in ("posts", "n_items", "outcome")]
-    return kept.where("outcome = 'kept'").select(*others, F.inline("posts"))
+    # The outer form, as the inner one adds a size filter that computes every post again.
+    rows = kept.where("outcome = 'kept'").select(*others, F.inline_outer("posts"))
+    return rows.where("post_index is not null")
 
 
 def reject_reason() -> Column:
