@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.select import let
 from postloom.functions.text import is_blank, words
 from postloom.operators.rules import (
     AFTER_BUT,
@@ -21,7 +22,7 @@ from postloom.operators.rules import (
     QUESTION_MAX,
     Rules,
 )
-from postloom.operators.tokens import token_values
+from postloom.operators.tokens import constant_lookup, inlines, token_values
 
 SCORE = "sentiment_score"
 
@@ -158,13 +159,38 @@ def score(
     first occurrence. With a lexicon of ordinary size the whole score is one projection.
     """
     rules = rules or Rules()
-    found = posts.withColumn("_w", sentiment_words(F.col(text)))
-    found = found.withColumn("_l", F.transform("_w", F.lower))
-    found = token_values(found, "_l", lexicon, "token", "valence", "_v", inline)
-    total = valence_sum(F.col("_w"), F.col("_l"), F.col("_v"), rules)
-    return found.withColumn("_sum", total).withColumn(
-        out, F.when(~is_blank(F.col(text)), normalized(_stressed(F.col("_sum"), F.col(text))))
-    ).drop("_w", "_l", "_v", "_sum")
+
+    def scored(w, lo, v):
+        return valence_sum(w, lo, v, rules)
+
+    return _with_score(posts, lexicon, text, out, inline, scored, stressed=True)
+
+
+def _with_score(posts, lexicon, text, out, inline, total, stressed) -> DataFrame:
+    """Adds the normalised `total(words, lower-cased words, values)` of each text."""
+    if inline is None:
+        inline = inlines(lexicon)
+    words_ = sentiment_words(F.col(text))
+    if inline:
+        value = constant_lookup(lexicon, "token", "valence")
+        found = posts.withColumn(
+            "_sum",
+            let(
+                words_,
+                lambda w: let(
+                    F.transform(w, F.lower),
+                    lambda lo: let(F.transform(lo, value), lambda v: total(w, lo, v)),
+                ),
+            ),
+        )
+    else:
+        found = posts.withColumn("_w", words_).withColumn("_l", F.transform("_w", F.lower))
+        found = token_values(found, "_l", lexicon, "token", "valence", "_v", False)
+        found = found.withColumn("_sum", total(F.col("_w"), F.col("_l"), F.col("_v")))
+    summed = _stressed(F.col("_sum"), F.col(text)) if stressed else F.col("_sum")
+    return found.withColumn(out, F.when(~is_blank(F.col(text)), normalized(summed))).drop(
+        "_w", "_l", "_v", "_sum"
+    )
 
 
 def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
@@ -230,11 +256,6 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
     return let(positions, lambda hits: F.when(F.size(hits) == 0, 0.0).otherwise(described(hits)))
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once, however often the body reads it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def lexicon_sum(
     posts: DataFrame,
     lexicon: DataFrame,
@@ -243,12 +264,10 @@ def lexicon_sum(
     inline: bool | None = None,
 ) -> DataFrame:
     """The lexicon alone: sum of valences of lower-cased tokens, normalised. No rules."""
-    found = posts.withColumn("_l", F.transform(sentiment_words(F.col(text)), F.lower))
-    found = token_values(found, "_l", lexicon, "token", "valence", "_v", inline)
-    total = F.aggregate(
-        "_v", F.lit(0.0), lambda acc, x: acc + F.coalesce(x.cast("double"), F.lit(0.0))
-    )
-    found = found.withColumn("_sum", total)
-    return found.withColumn(
-        out, F.when(~is_blank(F.col(text)), normalized(F.col("_sum")))
-    ).drop("_l", "_v", "_sum")
+
+    def plain(w, lo, v):
+        return F.aggregate(
+            v, F.lit(0.0), lambda acc, x: acc + F.coalesce(x.cast("double"), F.lit(0.0))
+        )
+
+    return _with_score(posts, lexicon, text, out, inline, plain, stressed=False)

@@ -21,15 +21,17 @@ def one_per_token(table: DataFrame, token: str, value: str) -> DataFrame:
     return table.where(F.col(token).isNotNull()).groupBy(token).agg(F.min(value).alias(value))
 
 
-def _constant(table: DataFrame, token: str, value: str):
-    """The table as an array of small maps, addressed by token hash."""
+def constant_lookup(table: DataFrame, token: str, value: str):
+    """A function from a token column to its value in the table, or null. The table, which must
+    be within the inline bound, becomes a constant: an array of small maps, addressed by hash."""
+    table = one_per_token(table, token, value)
     kind = table.schema[value].dataType.simpleString()
     size = 1 << 14
     slot = F.pmod(F.xxhash64(token), F.lit(size)).cast("int")
     slots = [None] * size
     for row in table.select(slot.alias("slot"), token, value).collect():
         slots[row["slot"]] = {**(slots[row["slot"]] or {}), row[token]: row[value]}
-    constant = F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{kind}>>")
+    constant = F.from_json(F.lit(json.dumps(slots, default=str)), f"array<map<string,{kind}>>")
 
     def get(tok):
         return F.try_element_at(
@@ -69,9 +71,7 @@ def token_values(
     if inline is None:
         inline = inlines(table)
     if inline:
-        return df.withColumn(
-            out, F.transform(tokens, _constant(one_per_token(table, token, value), token, value))
-        )
+        return df.withColumn(out, F.transform(tokens, constant_lookup(table, token, value)))
     if small is None:
         small = fits(table)
     keyed = df.withColumn("_key", fingerprint(F.col(tokens)))

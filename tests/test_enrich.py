@@ -180,8 +180,15 @@ def test_scoring_shuffles_nothing(spark, lexicon):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_a_decimal_lexicon_gives_the_same_scores(spark, lexicon):
+    exact = lexicon.select("token", F.col("valence").cast("decimal(10,4)").alias("valence"))
+    for inline in (True, False):
+        df = texts(spark, SENTENCES)
+        assert scores(df, exact, inline=inline) == scores(df, lexicon)
+
+
 def test_plain_lexicon_sum(spark, lexicon):
-    got = lexicon_sum(texts(spark, ["good bad", "x", " ", "GOOD!"]), lexicon, "x").orderBy("id")
+    got = lexicon_sum(texts(spark, ["good bad", "x", " ", "GOOD!!"]), lexicon, "x").orderBy("id")
     sum_ = lambda s: round(s / math.sqrt(s * s + 15), 4)
     assert [r.sentiment_score for r in got.collect()] == [sum_(-0.6), 0.0, None, sum_(1.9)]
 
