@@ -65,22 +65,23 @@ def _upper(word: Column, lower: Column) -> Column:
     return F.coalesce((word != lower) & (word == F.upper(word)), F.lit(False))
 
 
-def _near(c: Column, k: int, rules: Rules, caps_differ: Column) -> Column:
+def _near(c: Column, k: int, caps_differ: Column) -> Column:
     """Valence after the word k places before: its boost, then what negates or intensifies."""
     word, lower, value = c[f"w{k}"], c[f"l{k}"], c["v"]
-    boost = _value_of(lower, rules.boosters)
     toward = F.when(value < 0, -1.0).otherwise(1.0)
     away = F.when(value > 0, CAPS).otherwise(-CAPS)
     shouted = F.when(_upper(word, lower) & caps_differ, away).otherwise(0.0)
-    boost = F.coalesce((boost * toward + shouted) * DAMP[k], F.lit(0.0))
-
-    so = lambda w: _one_of(w, ["so", "this"])
-    never = lambda w: _one_of(w, ["never"])
-    factor = F.when(_negated(lower, rules), NEGATE).otherwise(1.0)
-    if k == 2:
-        factor = F.when(never(c["w2"]) & so(c["w1"]), 1.5).otherwise(factor)
-    if k == 3:
-        factor = F.when((never(c["w3"]) & so(c["w2"])) | so(c["w1"]), 1.25).otherwise(factor)
+    boost = (F.get(c["boosts"], k - 1) * toward + shouted) * DAMP[k]
+    boost = F.coalesce(boost, F.lit(0.0))
+
+    factor = F.when(F.get(c["negated"], k - 1), NEGATE).otherwise(1.0)
+    if k > 1:
+        so = lambda j: _one_of(c[f"w{j}"], ["so", "this"])
+        never = _one_of(word, ["never"]) & so(k - 1)
+        if k == 2:
+            factor = F.when(never, 1.5).otherwise(factor)
+        else:
+            factor = F.when(never | so(1), 1.25).otherwise(factor)
     return F.when(c[f"on{k}"], (value + boost) * factor).otherwise(value)
 
 
@@ -216,6 +217,7 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
 
         def around(p):
             at = p["at"]
+            before = F.array(*[F.get(lo, at - k) for k in (1, 2, 3)])
             kind_of = (F.get(lo, at) == "kind") & _one_of(F.get(lo, at + 1), ["of"])
             return F.struct(
                 F.when(kind_of, 0.0).otherwise(p["weight"]).alias("weight"),
@@ -227,6 +229,8 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
                     for k in (1, 2, 3)
                 ],
                 *[F.get(w, at + k).alias(f"n{k}") for k in (1, 2)],
+                F.transform(before, lambda x: _value_of(x, rules.boosters)).alias("boosts"),
+                F.transform(before, lambda x: _negated(x, rules)).alias("negated"),
             )
 
         def shout(c):
@@ -235,7 +239,7 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
 
         steps = _set(F.transform(F.transform(hits, place), around), shout)
         for k in (1, 2, 3):
-            steps = _set(steps, lambda c, k=k: _near(c, k, rules, caps))
+            steps = _set(steps, lambda c, k=k: _near(c, k, caps))
         steps = _set(steps, lambda c: F.when(row["idiom"], _idiom(c, rules)).otherwise(c["v"]))
         steps = _set(steps, _least)
         return F.aggregate(steps, F.lit(0.0), lambda acc, c: acc + c["v"] * c["weight"])
