@@ -46,9 +46,10 @@ def token_hits(
 ) -> DataFrame:
     """One row per (text, position) whose token is in the table. Only `table`'s tokens survive
     the join, and each row carries a short key, not its text."""
+    # The outer form, as the inner one adds a size filter that splits every text again.
     exploded = texts.select(
-        *[c for c in texts.columns if c != tokens], F.posexplode(tokens).alias("pos", token)
-    )
+        *[c for c in texts.columns if c != tokens], F.posexplode_outer(tokens).alias("pos", token)
+    ).where("pos is not null")
     return lookup(exploded, one_per_token(table, token, value), token, "inner", small)
 
 
