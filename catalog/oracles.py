@@ -27,10 +27,11 @@ def _trim(x):
 
 
 def _unescaped(x):
+    """The entities of the given pages as characters; some titles end before the semicolon."""
     for entity, char in (
-        ("&quot;", "'\"'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'"),
+        ("&quot;?", "'\"'"), ("&copy;?", "chr(169)"), ("&middot;?", "chr(183)"), ("&amp;?", "'&'"),
     ):
-        x = f"replace({x}, '{entity}', {char})"
+        x = f"regexp_replace({x}, '{entity}', {char}, 'g')"
     return x
 
 
