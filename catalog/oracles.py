@@ -440,5 +440,13 @@ turns as materialized (select row_number() over () as id, * from all_posts),
 select {_CANONICAL}, translated_post_content, sentiment_score
 from english_turns left join scored using (id)""",
     "incremental_posts": f"with {_LINKS} select page_id, pos, href from links",
+    "incremental_site_posts": f"""with shown as (
+  select c.*, max(turn) over (partition by conv_id) as last,
+    (row_number() over (partition by conv_id order by turn))::integer as post_index
+  from conversations c)
+select '{HOST}/t' || conv_id as thread_url, post_index, 'Thread ' || conv_id as thread_title,
+  role || '#' || turn as post_date, {_lines('text')} as post_content,
+  '{SITE_1.source_url}' as source_url
+from shown where last <> 3 and role <> 'system'""",
     "incremental_scores": _TURN_SCORES,
 }

@@ -417,9 +417,8 @@ def rows_to_many_posts(spark, sf):
             for i, text in enumerate(row["text"].split("\n"), start=1)
         ]
 
-    return rows_to_many(
-        table(spark, sf, "conversations"), lines, "conv_id long, turn long, line long, line_chars long"
-    )
+    schema = "conv_id long, turn long, line long, line_chars long"
+    return rows_to_many(table(spark, sf, "conversations"), lines, schema)
 
 
 @query
@@ -630,6 +629,18 @@ def incremental_posts(spark, sf):
     return spark.read.parquet(out)
 
 
+@query
+def incremental_site_posts(spark, sf):
+    """Site pages as a stream of files: the same posts as in one batch."""
+    pages = forum.pages(spark, sf, "site1")
+    folder = _split(pages, "arrivals")
+    out, log = new_path(spark, "posts"), new_path(spark, "log")
+    stream = new_files(spark, folder, pages.schema, files_per_batch=1)
+    arriving = posts.page_posts(extract.read_threads(stream, SITE_1), SITE_1)
+    append_new(posts.complete(arriving), out, log)
+    return spark.read.parquet(out).drop("source")
+
+
 @query
 def incremental_scores(spark, sf):
     rows = table(spark, sf, "conversations")

@@ -88,6 +88,22 @@ def thread_pages(
     ).drop("_from", "first_items", "readable", "page_title")
 
 
+def page_posts(extracts: DataFrame, site: Site) -> DataFrame:
+    """Posts of pages as they arrive, without listings, complete or not. Page-local, so it runs on
+    a stream too; `thread_url` is the page's address. Which page is a thread's last, and a title
+    that only the listing shows, are for a later batch over the posts."""
+    titled = F.col("page_title").isNotNull() if site.title else F.lit(True)
+    kept = extracts.where((F.col("n_items") > 0) & titled)
+    posts = kept.select(
+        F.lit(site.name).alias("source"),
+        F.col("url").alias("thread_url"),
+        F.col("page_title").alias("thread_title"),
+        F.lit(site.source_url).alias("source_url"),
+        F.inline_outer("posts"),
+    )
+    return posts.where("post_index is not null")
+
+
 def explode_posts(kept: DataFrame) -> DataFrame:
     """One row per post of the kept threads, complete or not. `post_index` counts from 1 in each
     thread page; it is set before any reject, so it keeps a gap where a post is incomplete."""
