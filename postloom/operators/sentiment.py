@@ -65,9 +65,9 @@ def _upper(word: Column, lower: Column) -> Column:
     return F.coalesce((word != lower) & (word == F.upper(word)), F.lit(False))
 
 
-def _near(c: Column, k: int, caps_differ: Column) -> Column:
+def _near(c: Column, value: Column, k: int, caps_differ: Column) -> Column:
     """Valence after the word k places before: its boost, then what negates or intensifies."""
-    word, lower, value = c[f"w{k}"], c[f"l{k}"], c["v"]
+    word, lower = c[f"w{k}"], c[f"l{k}"]
     toward = F.when(value < 0, -1.0).otherwise(1.0)
     away = F.when(value > 0, CAPS).otherwise(-CAPS)
     shouted = F.when(_upper(word, lower) & caps_differ, away).otherwise(0.0)
@@ -85,7 +85,7 @@ def _near(c: Column, k: int, caps_differ: Column) -> Column:
     return F.when(c[f"on{k}"], (value + boost) * factor).otherwise(value)
 
 
-def _idiom(c: Column, rules: Rules) -> Column:
+def _idiom(c: Column, before: Column, rules: Rules) -> Column:
     """Valence after idioms around the word; only where three words precede it."""
     phrase = lambda *names: F.concat(*_spaced(c[n] for n in names))
     # Later in the text wins; of the phrases that end here or before, the first listed.
@@ -96,10 +96,10 @@ def _idiom(c: Column, rules: Rules) -> Column:
     ]
     entries = [F.lit(x) for k, v in sorted(rules.idioms.items()) for x in (k, float(v))]
     known = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(None).cast("double"))
-    value = F.coalesce(*[F.try_element_at(known, p) for p in phrases], c["v"])
+    value = F.coalesce(*[F.try_element_at(known, p) for p in phrases], before)
     pairs = [k for k in rules.boosters if " " in k]
     soft = _one_of(phrase("w3", "w2"), pairs) | _one_of(phrase("w2", "w1"), pairs)
-    return F.when(c["on3"], value + F.when(soft, LOWER).otherwise(0.0)).otherwise(c["v"])
+    return F.when(c["on3"], value + F.when(soft, LOWER).otherwise(0.0)).otherwise(before)
 
 
 def _may_hold_phrase(words_: Column, rules: Rules) -> Column:
@@ -118,15 +118,17 @@ def _spaced(columns):
     return joined
 
 
-def _least(c: Column) -> Column:
+def _least(c: Column, value: Column) -> Column:
     """Valence after "least", unless it is "at least" or "very least"."""
     hit = c["on1"] & _one_of(c["l1"], ["least"]) & ~_one_of(c["l2"], ["at", "very"])
-    return c["v"] * F.when(hit, NEGATE).otherwise(1.0)
+    return value * F.when(hit, NEGATE).otherwise(1.0)
 
 
-def _set(hits: Column, build) -> Column:
-    """The hits with a new valence; a step of its own, so that each step reads a stored value."""
-    return F.transform(hits, lambda c: c.withField("v", build(c)))
+def _through(value: Column, steps) -> Column:
+    """The value after each step in turn, each computed once."""
+    if len(steps) == 1:
+        return steps[0](value)
+    return let(steps[0](value), lambda changed: _through(changed, steps[1:]))
 
 
 def emphasis(text: Column) -> Column:
@@ -233,16 +235,21 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
                 F.transform(before, lambda x: _negated(x, rules)).alias("negated"),
             )
 
-        def shout(c):
+        def valence(c):
             louder = F.when(c["v"] > 0, CAPS).otherwise(-CAPS)
-            return c["v"] + F.when(_upper(c["w0"], c["l0"]) & caps, louder).otherwise(0.0)
-
-        steps = _set(F.transform(F.transform(hits, place), around), shout)
-        for k in (1, 2, 3):
-            steps = _set(steps, lambda c, k=k: _near(c, k, caps))
-        steps = _set(steps, lambda c: F.when(row["idiom"], _idiom(c, rules)).otherwise(c["v"]))
-        steps = _set(steps, _least)
-        return F.aggregate(steps, F.lit(0.0), lambda acc, c: acc + c["v"] * c["weight"])
+            shout = F.when(_upper(c["w0"], c["l0"]) & caps, louder).otherwise(0.0)
+            steps = [
+                lambda x: x + shout,
+                *[lambda x, k=k: _near(c, x, k, caps) for k in (1, 2, 3)],
+                lambda x: F.when(row["idiom"], _idiom(c, x, rules)).otherwise(x),
+                lambda x: _least(c, x),
+            ]
+            return _through(c["v"], steps)
+
+        words_around = F.transform(F.transform(hits, place), around)
+        return F.aggregate(
+            words_around, F.lit(0.0), lambda acc, c: acc + valence(c) * c["weight"]
+        )
 
     def described(hits):
         return let(
