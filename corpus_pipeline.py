@@ -1,21 +1,48 @@
 """Documents to training tokens: stages that each read what the one before has written."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import minhash
+from postloom.llm import bpe, decontaminate, minhash, pseudonyms, toxicity
+from postloom.llm.queries import PSEUDONYM_KEY
 from postloom.sources.scratch import stage
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that are more likely toxic than not, by a model of the labelled ones."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
     return minhash.drop_near_duplicates(docs)
 
 
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the benchmark's passages; documents that are mostly such passages go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With pseudonyms for personal data."""
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' other columns and `ids`, the packed token ids of the text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("toxicity", toxic_documents),
     ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
 ]
 
-#: Byte-pair encoding and the learned stage are beyond SQL; tests hold the rows against brute force.
+#: The learned stage and byte-pair encoding are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -1,23 +1,171 @@
 """One query per operator over the given tables, and its SQL where SQL can say it."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import minhash
+from postloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    langid,
+    licenses,
+    minhash,
+    pseudonyms,
+    quality,
+    toxicity,
+    warc,
+)
+from postloom.llm.oracles import ORACLES  # noqa: F401
+from postloom.sources.scratch import new_path, remove
+
+#: Anyone who has the key can undo the pseudonyms: a real run reads it from its secrets.
+PSEUDONYM_KEY = "not a secret"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark, sf_dir):
+    """Pages with an even id go through ARC version 1, the others through version 2."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    head = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
+        F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
+        F.lit("Content-Length: "),
+        F.octet_length(body).cast("string"),
+        F.lit("\r\n\r\n"),
+    )
+    records = pages.select(
+        "page_id",
+        "url",
+        F.lit("0.0.0.0").alias("ip"),
+        F.lit("20240101000000").alias("date"),
+        F.lit("text/html").alias("mime"),
+        F.concat(F.encode(head, "UTF-8"), body).alias("content"),
+    )
+    arc, out = new_path(spark, "arc"), new_path(spark, "warc")
+    odd = F.coalesce(F.col("page_id") % 2 != 0, F.lit(False))
+    warc.write_arc(records.where(~odd).drop("page_id"), f"{arc}/v1", 1)
+    warc.write_arc(records.where(odd).drop("page_id"), f"{arc}/v2", 2)
+    old = warc.read_arc(spark, f"{arc}/*")
+    page = warc.http_header(F.col("http"), "X-Page-Id").cast("long")
+    warc.write_warc(warc.convert(old, page), out)
+    remove(spark, arc)
+    read = warc.read_warc(spark, out).withColumn("page_id", page)
+    whole = F.col("type") == "response"
+    answers = read.where(whole).select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_page")
+    )
+    return read.join(answers, "refers_to", "left").select(
+        "page_id",
+        F.when(whole, F.col("payload_bytes"))
+        .otherwise(warc.http_header(F.col("http"), "Content-Length").cast("long"))
+        .alias("payload_bytes"),
+        F.when(whole, F.col("found_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_page").alias("refers_to"),
+    )
+
+
+def op2_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op3_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path)
+    return bpe.decode(ids, path).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.severity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.col("severity.expected").alias("severity"), "severity.toxic")
+
+
+def op5_chat(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sequence, members = chat.pack(turns.unionByName(extra))
+    back = chat.read_back(sequence, members)
+    digest = lambda parts: F.sha2(F.array_join(parts, ""), 256)
+    learned = F.filter(F.transform("turns", lambda t: t["learned_text"]), lambda t: t.isNotNull())
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(said).alias("turns_sha256"),
+        F.char_length(F.array_join(learned, "")).cast("long").alias("loss_chars"),
+        digest(learned).alias("loss_sha256"),
+        F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["tokens"]).alias("formatted_chars"),
+    )
+
+
+def op6_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language").alias("lang_pred"),
+        "score",
+        "rejected",
+    )
+
+
 def op7_minhash(spark, sf_dir):
     return minhash.near_duplicates(
         table(spark, sf_dir, "documents"), settings=minhash.Settings(shingle=4)
     )
 
 
+def op8_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, changed="n_replaced")
+
+
+def op9_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_chat": op5_chat,
+    "op6_langid": op6_langid,
     "op7_minhash": op7_minhash,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
-
-ORACLES: dict[str, str] = {}

@@ -59,6 +59,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray  # of the texts
 
     @property
     def counts(self) -> np.ndarray:
@@ -80,7 +81,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Wo
     begins[heads] = inside[heads]
     stops[tails] = inside[tails]
     starts = np.flatnonzero(begins)
-    return Words(starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets))
+    return Words(starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets), offsets)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
