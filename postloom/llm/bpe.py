@@ -238,32 +238,35 @@ class Encoder:
         self.vocabulary, self.known = vocabulary, {}
         self.table = PairTable(vocabulary)
         names = sorted(vocabulary.special, key=len, reverse=True)
+        # One group around all of them, so that splitting keeps them, at the odd places.
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def learn(self, words: Iterable[str]) -> None:
-        vocabulary = self.vocabulary
-        by_width: dict[int, list] = {}
-        for word in words:
-            data = word.encode()
-            if len(data) > LONGEST:
-                self.known[word] = np.array(merge_one(data, vocabulary), "<u4").tobytes()
-            else:
-                width = 1 << max(len(data) - 1, 1).bit_length()
-                by_width.setdefault(width, []).append((word, data))
-        for width, group in by_width.items():
-            for start in range(0, len(group), 8192):
-                part = group[start : start + 8192]
-                lengths = np.array([len(d) for _, d in part])
-                flat = np.frombuffer(b"".join(d.ljust(width, b"\0") for _, d in part), np.uint8)
-                rows = vocabulary.of_byte[flat].reshape(len(part), width)
-                ids = merge_rows(rows, lengths, self.table)
+        words = list(words)
+        data = list(map(str.encode, words))
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        starts = np.cumsum(lengths) - lengths
+        # Short rows read a little past their word; those symbols are not looked at.
+        flat = np.frombuffer(b"".join([*data, bytes(LONGEST)]), np.uint8)
+        width, low = 2, 0
+        while width <= LONGEST:
+            group = np.flatnonzero((lengths > low) & (lengths <= width))
+            for at in range(0, len(group), 8192):
+                part = group[at : at + 8192]
+                rows = self.vocabulary.of_byte[flat[starts[part][:, None] + np.arange(width)]]
+                ids = merge_rows(rows, lengths[part], self.table)
                 kept = ids >= 0
                 packed = ids[kept].astype("<u4").tobytes()
-                ends = np.cumsum(kept.sum(axis=1)) * 4
-                begin = 0
-                for (word, _), end in zip(part, ends.tolist()):
-                    self.known[word] = packed[begin:end]
-                    begin = end
+                ends = (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+                self.known.update(
+                    zip(
+                        map(words.__getitem__, part.tolist()),
+                        [packed[i:j] for i, j in zip([0, *ends], ends)],
+                    )
+                )
+            low, width = width, 2 * width
+        for i in np.flatnonzero(lengths > LONGEST).tolist():
+            self.known[words[i]] = np.array(merge_one(data[i], self.vocabulary), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One packed row of ids per text; specials in a text become their own ids."""
@@ -273,21 +276,18 @@ class Encoder:
             cuts.append([p if i % 2 else cut(p) for i, p in enumerate(parts)])
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
         words: set[str] = set()
         for parts in cuts:
             words.update(*parts[::2])
-        self.learn(words.difference(known))
-        out = []
-        for parts in cuts:
-            row = []
-            for i, part in enumerate(parts):
-                if i % 2:
-                    row.append(self.vocabulary.special[part].to_bytes(4, "little"))
-                else:
-                    row += map(known.__getitem__, part)
-            out.append(b"".join(row))
-        return out
+        self.learn(words.difference(self.known))
+        known, special = self.known.__getitem__, self.vocabulary.special
+        return [
+            b"".join(
+                special[part].to_bytes(4, "little") if i % 2 else b"".join(map(known, part))
+                for i, part in enumerate(parts)
+            )
+            for parts in cuts
+        ]
 
 
 def decode_ids(packed: bytes, tokens: list[bytes]) -> str:

@@ -4,7 +4,8 @@ Every run of `gram` words of a template has a hash; of each `window` neighbourin
 least is a fingerprint. An inverted index leads from fingerprints to (template, place). Texts are
 winnowed the same way, so a shared run of gram + window - 1 words always shares a fingerprint.
 Each shared one proposes that the template starts at a certain word of the text. Around each
-proposal the template is aligned with the text inside a band of `band` words to either side.
+proposal the template is aligned with the text inside a band of `band` words to either side, or
+half the template where that is less.
 """
 
 from collections import defaultdict
@@ -122,10 +123,12 @@ def matches_in(words: np.ndarray, shared: list[tuple[int, int]], index: Index):
         by_template[template].add(start)
     for template, starts in by_template.items():
         own = index.words[template]
+        # Short templates may stand side by side, closer than the band.
+        band = min(settings.band, len(own) // 2)
         ordered, group = sorted(starts), []
         for start in [*ordered, None]:
-            if group and (start is None or start - group[0] > settings.band):
-                n, first, end = align(own, words, group[len(group) // 2], settings.band)
+            if group and (start is None or start - group[0] > band):
+                n, first, end = align(own, words, group[len(group) // 2], band)
                 if n >= settings.least * len(own):
                     found.append((template, n, first, end))
                 group = []
@@ -153,7 +156,8 @@ def scan(
     `coverage` is the matched share of the template's words; words are counted from 0, `start`
     and `end` are characters of the text. Null and empty texts match nothing, nor does any text
     where there are no templates. Repeated rows give their matches one by one. Templates are a
-    short list that the caller gives; other columns of `docs` are not read.
+    short list that the caller gives; one of fewer than `gram` words is only seen in texts as
+    short, and one without words never. Other columns of `docs` are not read.
     """
     settings = settings or Settings()
 

@@ -156,7 +156,7 @@ with docs as (
         min(cell) filter (upto * 4 > total - 1) as low, min(cell) filter (upto * 4 > (total - 1) * 3) as high
     from ranked group by all
 ), allowed as (
-    select * from (values ('symbols', 1000), ('dup_lines', 400), ('repeats', 1000), ('word_length', 10000))
+    select * from (values ('symbols', 1000), ('dup_lines', 1000), ('repeats', 1800), ('word_length', 30000))
         as v(rate, allowance)
 ), picked as (
     select o.lang, o.source, o.rate,

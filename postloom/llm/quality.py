@@ -41,17 +41,17 @@ class Rules:
     allowance: dict = field(
         default_factory=lambda: {
             "symbols": 1_000,
-            "dup_lines": 400,
-            "repeats": 1_000,
-            "word_length": 10_000,
+            "dup_lines": 1_000,
+            "repeats": 1_800,
+            "word_length": 30_000,
         }
     )
     low: tuple = ("word_length",)
 
 
 def rates() -> dict[str, Column]:
-    """Whole numbers per 10,000 words."""
-    per = lambda c: F.expr(f"({c} * 10000L) div n_words")
+    """Whole numbers per 10,000 words; null where there are none."""
+    per = lambda c: F.expr(f"({c} * 10000L) div nullif(n_words, 0)")
     return {
         "symbols": per("n_symbols"),
         "dup_lines": per("n_dup_lines"),

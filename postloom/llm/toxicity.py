@@ -66,10 +66,10 @@ class Counts(dict):
         self[word] = found = tuple(found)
         return found
 
-    def of(self, text: str) -> tuple[Counter, int]:
-        """(count of each feature's place, words)."""
+    def of(self, text: str) -> Counter:
+        """The count of each feature, by its place."""
         words = _WORD.findall(text.lower())
-        return Counter(i for places in map(self.__getitem__, words) if places for i in places), len(words)
+        return Counter(i for places in map(self.__getitem__, words) if places for i in places)
 
 
 def _sample(docs, labels, doc, text, grade, settings: Settings, work: Workspace) -> DataFrame:
@@ -122,15 +122,15 @@ def _choose_features(sample: DataFrame, settings: Settings) -> list[str]:
     return [r.feature for r in ordered.select("feature").collect()]
 
 
-def _grades(rows: list[tuple[np.ndarray, int, int]], settings: Settings) -> np.ndarray:
+def _grades(rows: list[tuple[np.ndarray, int]], settings: Settings) -> np.ndarray:
     """Grades of the sample. Where the labels only tell 0 from 1, the texts labelled 1 are split
-    into equal parts by how large a share of their words carries a feature."""
-    grades = np.array([g for _, _, g in rows], int)
+    into equal parts by how much of what the features stand for they hold."""
+    grades = np.array([g for _, g in rows], int)
     if grades.max(initial=0) > 1:
         return grades
     toxic = np.flatnonzero(grades > 0)
-    share = np.array([rows[i][0].sum() / max(rows[i][1], 1) for i in toxic])
-    rank = np.argsort(np.argsort(share, kind="stable"), kind="stable")
+    amount = np.array([np.log1p(rows[i][0]).sum() for i in toxic])
+    rank = np.argsort(np.argsort(amount, kind="stable"), kind="stable")
     grades[toxic] = 1 + rank * settings.grades // max(len(toxic), 1)
     return grades
 
@@ -192,23 +192,18 @@ def fit(
         def run(batches):
             counts = Counts(features, settings.prefixes)
             for batch in batches:
-                found = [counts.of(t) for t in batch.column(0).to_pylist()]
+                found = [json.dumps(counts.of(t)) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([json.dumps(c) for c, _ in found]),
-                        pa.array([n for _, n in found], pa.int64()),
-                        batch.column(1),
-                    ],
-                    ["counts", "words", "grade"],
+                    [pa.array(found, pa.string()), batch.column(1)], ["counts", "grade"]
                 )
 
         rows = []
-        for row in sample.mapInArrow(run, "counts string, words long, grade int").collect():
+        for row in sample.mapInArrow(run, "counts string, grade int").collect():
             x = np.zeros(len(features))
             for place, n in json.loads(row["counts"]).items():
                 x[int(place)] = n
-            rows.append((x, row["words"], row["grade"]))
-    rows.sort(key=lambda r: (r[2], r[1], r[0].tobytes()))
+            rows.append((x, row["grade"]))
+    rows.sort(key=lambda r: (r[1], r[0].tobytes()))
     x = np.log1p(np.array([r[0] for r in rows]))
     weights, thresholds = fit_ordinal(x, _grades(rows, settings), settings)
     return Model(features, weights.tolist(), thresholds.tolist(), settings.prefixes)
@@ -228,7 +223,7 @@ def severity(docs: DataFrame, model: Model, text: str = "text", out: str = "seve
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for i, value in enumerate(batch.column(place)):
-                found, _ = counts.of(value.as_py() or "")
+                found = counts.of(value.as_py() or "")
                 scores[i] = sum(weights[f] * np.log1p(n) for f, n in found.items())
             above = 1 / (1 + np.exp(-np.clip(scores[:, None] - cut, -500, 500)))
             result = pa.StructArray.from_arrays(

@@ -62,8 +62,8 @@ def parse(data):
     return list(warc.parse_arc("f", io.BufferedReader(io.BytesIO(data))))
 
 
-HEAD = b"filedesc://x 0.0.0.0 19960923142103 text/plain 76\n1 0 Alexa\nURL IP-address Archive-date Content-type Archive-length\n\n1234567"
-HEAD = HEAD[: HEAD.index(b"\n") + 1 + 76]
+BODY = f"1 0 old\n{warc.FIELDS[1]}\n\n".encode()
+HEAD = b"filedesc://x 0.0.0.0 19960923142103 text/plain %d\n" % len(BODY) + BODY
 
 
 def test_legacy_lines():
