@@ -2,24 +2,30 @@
 
 from catalog.forum import HOST, POSTS_PER_PAGE, THREADS_PER_LISTING
 from catalog.vocabulary import GLOSSARY, LEXICON, RULES, values
-from postloom.functions.text import WHITESPACE, WS
-from postloom.operators.rules import (
-    AFTER_BUT,
-    BEFORE_BUT,
-    CAPS,
-    DAMP,
-    EDGE_MARKS,
-    EXCLAIM,
-    EXCLAIM_MAX,
-    LOWER,
-    NEGATE,
-    NORMALIZE,
-    QUESTION,
-    QUESTION_MAX,
-)
 from postloom.sites import SITE_1, SITE_2, SITE_3
 
-_BLANKS = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+# Fixed values, written down a second time so that the SQL does not lean on what it checks.
+WHITESPACE = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+WS = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+AFTER_BUT = 1.5
+BEFORE_BUT = 0.5
+CAPS = 0.733
+DAMP = {1: 1.0, 2: 0.95, 3: 0.9}
+EXCLAIM = 0.292
+EXCLAIM_MAX = 4
+LOWER = -0.293
+NEGATE = -0.74
+NORMALIZE = 15
+QUESTION = 0.18
+QUESTION_MAX = 0.96
+EDGE_MARKS = ['.', '!', '?', ',', ';', ':', '-', "'", '"', '!!', '!!!', '??', '???', '?!?', '!?!', '?!?!', '!?!?']
+
+_BLANKS = " || ".join(f"chr({c})" for c in WHITESPACE)
 
 
 def _trim(x):
@@ -270,6 +276,16 @@ def _dims(n, times=1):
     return [f"(embedding[{i + 1}]::double * {times})" for i in range(n)]
 
 
+def _weighted():
+    """Three sums over all 64 values, as 32-bit floats."""
+    return [
+        "cast(" + " + ".join(
+            f"embedding[{i + 1}]::double * {((i * 7 + c * 3) % 11 - 5) / 4}" for i in range(64)
+        ) + " as float)::double"
+        for c in range(3)
+    ]
+
+
 _TURN_SCORES = f"""with turns as (
   select conv_id * 1000 + turn as id, * from conversations),
 {_compound('turns', 'id', 'text')}
@@ -293,6 +309,9 @@ ORACLES = {
     "csv_roundtrip": _POSTS,
     "csv_short_rows": f"""select *, null::varchar as translated_post_content,
   null::double as sentiment_score from ({_POSTS})""",
+    "csv_reordered": _POSTS,
+    "csv_rejects": """select case when role = 'system' then 'bad post_index' else role end as reason,
+  count(*) as rows from conversations group by 1""",
     "na_tokens": f"""select * replace (case post_date when 'system' then null
   when 'assistant' then 'none' else thread_title end as thread_title) from ({_POSTS})""",
     "strip_text": f"select doc_id, {_trim('text')} as stripped from documents",
@@ -306,7 +325,7 @@ ORACLES = {
     "append_source_tables": """select lang as source, lang,
   count(*) * case when lang = 'en' then 2 else 1 end as rows from documents group by lang""",
     "append_isolated_sources": """select lang as source, count(*) as rows, 'gone' as failed
-  from documents where lang in ('fr', 'en') group by lang""",
+  from documents where lang in ('fr', 'en', 'de', 'es') group by lang""",
     "page_outline": """select page_id, len(regexp_extract_all(html, '<p>'))::integer as n_p,
   len(regexp_extract_all(html, '<a '))::integer as n_a,
   len(regexp_extract_all(html, '<br>'))::integer as n_br from pages""",
@@ -336,6 +355,27 @@ select page_id, pos, href, text as text_joined from links""",
 select listing_url as url, 'https://www.flashback.org/t' || conv_id as thread_url from thread""",
     "absolute_urls": f"""with {_LINKS}
 select page_id, pos, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href as address from links""",
+    "relative_addresses": r"""with base as (
+  select page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) as root,
+    regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as path,
+    regexp_replace(url, '#.*$', '') as page
+  from pages),
+foldered as (
+  select *, coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') as folder from base),
+above as (
+  select *, case when folder = '/' then '/' else regexp_replace(folder, '[^/]*/$', '') end as parent
+  from foldered)
+select page_id, pos::integer as pos, case pos
+  when 0 then root || case when path = '' then '/' else path end || '?b=2'
+  when 1 then root || folder || 'x'
+  when 2 then root || parent || 'x'
+  when 3 then root || '/x'
+  when 4 then root || folder || 'b/c?d=../e'
+  when 5 then root || case when length(folder) - length(replace(folder, '/', '')) <= 4 then '/'
+    else regexp_extract(folder, '^(.*/)[^/]*/[^/]*/[^/]*/$', 1) end
+  when 6 then page || '#t'
+  else regexp_extract(root, '^(https?:)', 1) || '//h.example/p' end as address
+from above, (select unnest(range(0, 8)) as pos)""",
     "text_joined": f"select page_id, {_article('chr(10)')} as text_joined from pages",
     "text_fused": f"select page_id, {_article(chr(39) * 2)} as text_fused from pages",
     "zip_truncate": f"""with {_LINKS}
@@ -343,7 +383,7 @@ select page_id, pos, text as left_text from links join pages using (page_id)
 where pos <= len(regexp_extract_all(html, '<p>'))""",
     "post_index": """select conv_id, turn,
   (row_number() over (partition by conv_id order by turn))::integer as post_index
-from conversations where role <> 'system'""",
+from conversations""",
     "posts_canonical": _POSTS,
     "page_count_default": r"""select page_id,
   coalesce(try_cast(regexp_extract(url, '[?&]page=(\d+)', 1) as integer), 1) as pages
@@ -358,6 +398,47 @@ select listing_url, thread_pos, thread_url from linked where thread_url is not n
     "empty_link_counts": f"""with {_SITE_1}
 select listing_url, count(*) as dropped from linked where thread_url is null group by 1""",
     "thread_outcomes": f"with {_SITE_1} select thread_url, outcome from outcome",
+    "unreadable_pages": f"""with {_SITE_1}
+select thread_url, case when outcome = 'no page' then outcome when conv_id % 5 = 1 then 'unreadable'
+  when conv_id % 5 = 2 then 'no posts' else outcome end as outcome from outcome""",
+    "unreadable_listings": f"""with {_SITE_1}
+select listing_url, case when block % 2 = 1 then 0 else count(*) end::integer as n_links,
+  case when block % 2 = 1 then 'unreadable' else 'kept' end as outcome
+from linked group by listing_url, block""",
+    "recrawled_pages": f"""with {_SITE_3}, twice as (select * from post union all select * from post)
+select thread_url, {_CANONICAL} from twice""",
+    "recrawled_newest": f"""with {_SITE_3}
+select thread_url, count(*) as posts, 'kept' as reason from post group by 1
+union all
+select '{HOST}/t' || conv_id, 1, 'superseded' from conversations group by conv_id""",
+    "run_metrics_all": f"""with {_ALL_SITES},
+texts as (
+  select case when {_trim('post_content')} = '' then 'blank' when post_content like '%ß%'
+    then 'original' else 'backend' end as reason, count(*) as rows
+  from all_posts group by 1),
+listed as (
+  select count(distinct conv_id // {THREADS_PER_LISTING}) as n from conversations),
+one as (with {_SITE_1} select outcome as reason, count(*) as rows from outcome group by 1),
+posted as (with {_SITE_1}
+  select case when role = 'system' then 'no date' else 'kept' end as reason, count(*) as rows
+  from post group by 1),
+two as (with {_SITE_2} select count(*) as rows from post),
+three as (with {_SITE_3} select count(*) as rows from post),
+threads as (select count(distinct conv_id) as n from conversations),
+short as (select count(*) as n from (
+  select conv_id from conversations group by 1 having max(turn) < {POSTS_PER_PAGE}))
+select * from (
+  select 'listing' as stage, s.source, 'kept' as reason, n as rows
+  from listed, (values ('site1'), ('site2'), ('site3')) s(source)
+  union all select 'thread', 'site1', reason, rows from one
+  union all select 'thread', s.source, 'kept', n from threads, (values ('site2'), ('site3')) s(source)
+  union all select 'page count', 'site2', 'one page or no label', n from short
+  union all select 'post', 'site1', reason, rows from posted
+  union all select 'post', 'site2', 'kept', rows from two
+  union all select 'post', 'site3', 'kept', rows from three
+  union all select 'translation', null, reason, rows from texts
+  union all select 'source', 'gone', 'no such site', 1)
+where rows > 0""",
     "run_metrics": f"""with {_SITE_1}
 select outcome as reason, count(*) as rows from outcome group by 1""",
     "site_child_posts": f"""with {_SITE_1}
@@ -390,6 +471,19 @@ from conversations group by conv_id""",
 one as (select *, unnest(range(1, len(parts) + 1)) as line from part)
 select conv_id, turn, line, length(parts[line]) as line_chars from one""",
     "map_column_lengths": "select doc_id, length(text) as n from documents",
+    "map_column_nfd": """select doc_id, length(text)
+  + len(regexp_extract_all(nfc_normalize(text), '[áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ]')) as n
+from documents""",
+    "enrich_by_backend": f"""select post_index, thread_title,
+  case when post_content like '%ß%' then post_content else '[en] ' || post_content end
+    as translated_post_content,
+  case when post_content like '%ß%' then 'original' else 'backend' end as via
+from ({_POSTS})""",
+    "enrich_memory_then_glossary": f"""with {_MEMORY.format(langs="'fr', 'de'")},
+{_glossary('documents', 'doc_id', 'text')}
+select doc_id, coalesce(target_text, translated_post_content, '') as translated_post_content,
+  target_text is not null as known
+from documents left join memory on text = source_text left join english using (doc_id)""",
     "translate_memory": _TRANSLATED,
     "translate_memory_joined": _TRANSLATED,
     "translate_backend": f"""with {_MEMORY.format(langs="'fr', 'de'")}
@@ -417,11 +511,11 @@ select doc_id, case when {_trim('text')} <> '' then
 from documents left join plain using (doc_id)""",
     "compound_score": _DOC_COMPOUND,
     "compound_score_joined": _DOC_COMPOUND,
-    "margin_two_classes": f"""select vec_id, round({_margin(_dims(2), 1, 0)}, 6) as margin
+    "margin_two_classes": f"""select vec_id, round({_margin(_dims(64), 1, 0)}, 6) as margin
 from embeddings""",
-    "margin_three_classes": f"""select vec_id, round({_margin(_dims(3, 100), 2, 0)}, 6) as margin
+    "margin_three_classes": f"""select vec_id, round({_margin(_dims(64, 100), 2, 0)}, 6) as margin
 from embeddings""",
-    "batch_model_logits": f"""select vec_id, round({_margin(_dims(3, 2), 2, 0)}, 4) as margin
+    "batch_model_logits": f"""select vec_id, round({_margin(_weighted(), 2, 0)}, 4) as margin
 from embeddings""",
     "model_text_score": """select conv_id, turn, case when role <> 'system' then
   round((exp((length(text)::float / 600::float)::double) - exp(1::double))
@@ -448,5 +542,24 @@ select '{HOST}/t' || conv_id as thread_url, post_index, 'Thread ' || conv_id as
   role || '#' || turn as post_date, {_lines('text')} as post_content,
   '{SITE_1.source_url}' as source_url
 from shown where last <> 3 and role <> 'system'""",
+    "incremental_site2_posts": f"""select '{HOST}/t' || conv_id || case when turn // {POSTS_PER_PAGE} = 0
+    then '' else 'p' || (turn // {POSTS_PER_PAGE} + 1) end as url,
+  '{HOST}/t' || conv_id as thread_url,
+  (row_number() over (partition by conv_id, turn // {POSTS_PER_PAGE} order by turn))::integer as post_index,
+  'Thread ' || conv_id as thread_title, role || '#' || turn as post_date,
+  {_lines('text')} as post_content, '{SITE_2.source_url}' as source_url
+from conversations""",
+    "incremental_site3_posts": f"with {_SITE_3} select thread_url, {_CANONICAL} from post",
+    "incremental_rejects": """with page as (
+  select conv_id, max(turn) as last from conversations group by 1),
+reasons as (
+  select case when page.conv_id % 5 = 1 then 'unreadable' when page.conv_id % 5 = 2 then 'no posts'
+    when last = 3 then 'no title' end as page_reason, page.conv_id, role
+  from page join conversations using (conv_id))
+select page_reason as reason, count(distinct conv_id) as rows from reasons
+where page_reason is not null group by 1
+union all
+select case when role = 'system' then 'no date' end, count(*) from reasons
+where page_reason is null group by 1""",
     "incremental_scores": _TURN_SCORES,
 }

@@ -1,5 +1,6 @@
 """One query per operator, each over whole tables of a data directory."""
 
+import unicodedata
 from datetime import datetime
 
 import numpy as np
@@ -17,11 +18,17 @@ from postloom.operators.joins import spread_join
 from postloom.operators.models import logits_udf, margin_2class, margin_3class, model_score
 from postloom.operators.tokens import token_hits
 from postloom.operators.udfs import map_column, rows_to_many
-from postloom.plans.pipeline import all_posts, enrich, extract_source
+from postloom.plans.pipeline import (
+    all_posts,
+    enrich,
+    extract_each,
+    extract_source,
+    run_counts,
+)
 from postloom.schemas import LEGACY_CSV_HEADERS, LEGACY_POSTS, PAGES, POSTS, SCORED_POSTS
 from postloom.sites import SITE_1, SITE_2, SITE_3
 from postloom.sources import pages as page_source
-from postloom.sources.posts_csv import read_posts, write_posts, write_snapshot
+from postloom.sources.posts_csv import read_posts, rejected_posts, write_posts, write_snapshot
 from postloom.sources.scratch import new_path
 from postloom.sources.tables import VersionedTable, append_each, append_sources
 from postloom.streaming.incremental import append_new, enrich_new, new_files
@@ -77,6 +84,27 @@ def csv_short_rows(spark, sf):
     return read_posts(spark, path, SCORED_POSTS)
 
 
+@query
+def csv_reordered(spark, sf):
+    """The file's columns stand in another order, with one that is not asked for."""
+    path = new_path(spark, "csv")
+    rows = posts.canonical(conversation_posts(spark, sf)).withColumn("sentiment_score", F.lit(0.5))
+    write_posts(rows.select(*reversed(rows.columns)), path)
+    return read_posts(spark, path, POSTS)
+
+
+@query
+def csv_rejects(spark, sf):
+    """Rows of the system role have an index that is no number."""
+    path = new_path(spark, "csv")
+    rows = posts.canonical(conversation_posts(spark, sf))
+    index = F.concat(F.when(F.col("post_date") == "system", "x").otherwise(""), F.col("post_index"))
+    write_posts(rows.withColumn("post_index", index), path)
+    good = read_posts(spark, path, POSTS).groupBy("post_date").agg(F.count("*").alias("rows"))
+    aside = rejected_posts(spark, path, POSTS).groupBy("reason").agg(F.count("*").alias("rows"))
+    return good.select(F.col("post_date").alias("reason"), "rows").unionByName(aside)
+
+
 @query
 def na_tokens(spark, sf):
     path = new_path(spark, "csv")
@@ -153,6 +181,8 @@ def append_isolated_sources(spark, sf):
             "fr": lambda: docs.where("lang = 'fr'"),
             "gone": lambda: spark.read.parquet(f"{path}-not-there"),
             "en": lambda: docs.where("lang = 'en'"),
+            "de": lambda: docs.where("lang = 'de'"),
+            "es": lambda: docs.where("lang = 'es'"),
         },
         path,
     )
@@ -245,6 +275,15 @@ def absolute_urls(spark, sf):
     )
 
 
+@query
+def relative_addresses(spark, sf):
+    """Each page's address met with a link of every relative kind."""
+    kinds = ["?b=2", "./x", "../x", " /x\n", "a/../b/./c?d=../e", "../../../y/..", "#t", "//h.example/../p"]
+    links = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("href")) for i, k in enumerate(kinds)])
+    found = table(spark, sf, "pages").select("page_id", "url", F.inline(links))
+    return found.select("page_id", "pos", absolute_url(F.col("href"), F.col("url")).alias("address"))
+
+
 @query
 def text_joined(spark, sf):
     found = extract.elements(
@@ -274,7 +313,7 @@ def zip_truncate(spark, sf):
 
 @query
 def post_index(spark, sf):
-    rows = table(spark, sf, "conversations").where("role <> 'system'")
+    rows = table(spark, sf, "conversations")
     return posts.number_rows(rows, "conv_id", "turn", block=2).select(
         "conv_id", "turn", "post_index"
     )
@@ -335,6 +374,81 @@ def thread_outcomes(spark, sf):
     return site_extraction(spark, sf, "site1").threads.select("thread_url", "outcome")
 
 
+def _spoiled_pages(spark, sf):
+    """Site 1's pages; of those of numbers that leave 1 (by 5) the html breaks off in a way no
+    parser follows, and those that leave 2 have a title and nothing else."""
+    number = F.regexp_extract("url", r"/t(\d+)$", 1)
+    bare = F.concat(
+        F.lit('<h1 class="bn_thread-body__title">Thread '), number, F.lit("</h1>")
+    )
+    kind = number.cast("long") % 5
+    return forum.pages(spark, sf, "site1").withColumn(
+        "html",
+        F.when(kind == 1, F.concat("html", F.lit("<![bar x]>"))).when(kind == 2, bare).otherwise(F.col("html")),
+    )
+
+
+@query
+def unreadable_pages(spark, sf):
+    """All five outcomes of threads."""
+    found = extract_source(forum.listings(spark, sf, "site1"), _spoiled_pages(spark, sf), SITE_1)
+    return found.threads.select("thread_url", "outcome")
+
+
+@query
+def unreadable_listings(spark, sf):
+    """Every second listing page is unreadable."""
+    odd = F.regexp_extract("url", r"b=(\d+)$", 1).cast("long") % 2 == 1
+    pages = forum.listings(spark, sf, "site1").withColumn(
+        "html", F.when(odd, F.concat("html", F.lit("<![bar x]>"))).otherwise(F.col("html"))
+    )
+    return extract.listing_outcomes(extract.read_listings(pages, SITE_1))
+
+
+@query
+def recrawled_pages(spark, sf):
+    """Every page is there twice, and so are its posts."""
+    pages = forum.pages(spark, sf, "site3")
+    found = extract_source(forum.listings(spark, sf, "site3"), pages.unionByName(pages), SITE_3)
+    return found.posts.select("thread_url", *posts.CANONICAL)
+
+
+@query
+def recrawled_newest(spark, sf):
+    """Every page was crawled before, with other text and no time; the newest copy counts."""
+    pages = forum.pages(spark, sf, "site3").withColumn("crawl", F.lit(2))
+    older = pages.withColumns(
+        {"html": F.replace("html", F.lit("post-body"), F.lit("gone")), "crawl": F.lit(None).cast("int")}
+    )
+    found = extract_source(
+        forum.listings(spark, sf, "site3"), older.unionByName(pages), SITE_3, order_by="crawl"
+    )
+    kept = posts.posts_per_thread(found.posts).withColumn("reason", F.lit("kept"))
+    aside = found.superseded.select(F.col("url").alias("thread_url"), F.col("copies").alias("posts"), "reason")
+    return kept.unionByName(aside)
+
+
+@query
+def run_metrics_all(spark, sf):
+    """Counts of every stage, with one source that fails and stops no other."""
+
+    def broken():
+        raise OSError("no such site")
+
+    jobs = {name: lambda name=name: site_extraction(spark, sf, name) for name in SITES}
+    done, failed = extract_each({**jobs, "gone": broken})
+    rows = all_posts(list(done.values()))
+    texts = enrich(
+        rows, vocabulary.lexicon(spark), make_backend=lambda: _demo_backend(), rules=vocabulary.RULES
+    )
+    counts = run_counts(done, texts)
+    lost = [(name, str(error)) for name, error in failed.items()]
+    aside = spark.createDataFrame(lost, "source string, reason string").selectExpr(
+        "'source' as stage", "source", "reason", "1L as rows"
+    )
+    return counts.unionByName(aside)
+
+
 @query
 def run_metrics(spark, sf):
     return posts.run_metrics(site_extraction(spark, sf, "site1").threads)
@@ -428,6 +542,18 @@ def map_column_lengths(spark, sf):
     )
 
 
+@query
+def map_column_nfd(spark, sf):
+    """Unicode normalisation, which no built-in function offers: composed and taken apart."""
+
+    def marks(texts):
+        return texts.map(lambda t: len(unicodedata.normalize("NFD", t)))
+
+    return dealt_table(spark, sf, "documents").select(
+        "doc_id", map_column(F.col("text"), marks, "long").alias("n")
+    )
+
+
 # Translation
 
 
@@ -540,25 +666,25 @@ def compound_score_joined(spark, sf):
 
 @query
 def margin_two_classes(spark, sf):
-    logits = F.slice("embedding", 1, 2)
+    """All 64 values are classes; 1 against 0."""
     return table(spark, sf, "embeddings").select(
-        "vec_id", F.round(margin_2class(logits), 6).alias("margin")
+        "vec_id", F.round(margin_2class(F.col("embedding")), 6).alias("margin")
     )
 
 
 @query
 def margin_three_classes(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 100)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 100)
     return table(spark, sf, "embeddings").select(
         "vec_id", F.round(margin_3class(logits), 6).alias("margin")
     )
 
 
 def _demo_model():
-    """Stands in for a model load: three logits out of a feature vector."""
-    weights = np.zeros((64, 3), dtype=np.float32)
-    weights[[0, 1, 2], [0, 1, 2]] = 2.0
-    return lambda features: features @ weights
+    """Stands in for a model load: three logits out of all 64 features."""
+    place = np.arange(64)[:, None]
+    weights = ((place * 7 + np.arange(3) * 3) % 11 - 5) / 4
+    return lambda features: (features.astype(np.float64) @ weights).astype(np.float32)
 
 
 @query
@@ -606,7 +732,31 @@ def scored_site_posts(spark, sf):
         vocabulary.lexicon(spark),
         glossary=vocabulary.glossary(spark),
         rules=vocabulary.RULES,
+    ).drop("via")
+
+
+@query
+def enrich_by_backend(spark, sf):
+    """A backend without a memory."""
+    rows = posts.canonical(conversation_posts(spark, sf))
+    found = enrich(
+        rows, vocabulary.lexicon(spark), make_backend=lambda: _demo_backend(), rules=vocabulary.RULES
+    )
+    return found.select("post_index", "thread_title", translate.TRANSLATED, "via")
+
+
+@query
+def enrich_memory_then_glossary(spark, sf):
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
+    found = enrich(
+        docs,
+        vocabulary.lexicon(spark),
+        memory=_memory(spark, sf),
+        glossary=vocabulary.glossary(spark),
+        rules=vocabulary.RULES,
+        text="text",
     )
+    return found.select("doc_id", translate.TRANSLATED, (F.col("via") == "memory").alias("known"))
 
 
 # Streams
@@ -636,11 +786,45 @@ def incremental_site_posts(spark, sf):
     folder = _split(pages, "arrivals")
     out, log = new_path(spark, "posts"), new_path(spark, "log")
     stream = new_files(spark, folder, pages.schema, files_per_batch=1)
-    arriving = posts.page_posts(extract.read_threads(stream, SITE_1), SITE_1)
-    append_new(posts.complete(arriving), out, log)
+    append_new(posts.page_posts(extract.read_threads(stream, SITE_1), SITE_1), out, log)
     return spark.read.parquet(out).drop("source")
 
 
+def _arriving(spark, sf, name):
+    """Everything a stream of a site's pages gives, with titles from the site's listing."""
+    pages = forum.pages(spark, sf, name)
+    threads = extract.has_address(extract.listing_links(forum.listings(spark, sf, name), SITES[name]))
+    stream = new_files(spark, _split(pages, "arrivals"), pages.schema, files_per_batch=2)
+    read = extract.read_threads(stream, SITES[name])
+    out = new_path(spark, "posts")
+    append_new(posts.page_outcomes(read, SITES[name], threads), out, new_path(spark, "log"))
+    return spark.read.parquet(out)
+
+
+@query
+def incremental_site2_posts(spark, sf):
+    """Every page's posts; which page is a thread's last is for a later batch."""
+    rows = _arriving(spark, sf, "site2").where("reason is null")
+    return rows.select("url", "thread_url", *posts.CANONICAL)
+
+
+@query
+def incremental_site3_posts(spark, sf):
+    rows = _arriving(spark, sf, "site3").where("reason is null")
+    return rows.select("thread_url", *posts.CANONICAL)
+
+
+@query
+def incremental_rejects(spark, sf):
+    """What a stream of spoiled pages sets aside, and why."""
+    pages = _spoiled_pages(spark, sf)
+    stream = new_files(spark, _split(pages, "arrivals"), pages.schema, files_per_batch=2)
+    out = new_path(spark, "posts")
+    rows = posts.page_outcomes(extract.read_threads(stream, SITE_1), SITE_1)
+    append_new(rows, out, new_path(spark, "log"))
+    return posts.run_metrics(spark.read.parquet(out), "reason")
+
+
 @query
 def incremental_scores(spark, sf):
     rows = table(spark, sf, "conversations")
@@ -653,4 +837,4 @@ def incremental_scores(spark, sf):
 
     for _ in range(2):  # the second run finds nothing new
         enrich_new(new_files(spark, folder, rows.schema, files_per_batch=1), enriched, out, log)
-    return spark.read.parquet(out).drop("batch_id")
+    return spark.read.parquet(out).drop("stream_id", "batch_id")

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 # Every character that counts as white space when text is stripped or split.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # The same set as a regex class that Java and RE2 both read.
 WS = (
@@ -59,19 +59,54 @@ def last_page_url(thread_url: Column, pages: Column) -> Column:
 
 
 def absolute_url(href: Column, base: Column) -> Column:
-    """A link as a browser reports it, for absolute, protocol-, root- and page-relative links."""
+    """A link as a browser reports it: blanks around it and line breaks inside go; it may be
+    absolute, protocol-, root-, page-, query- or fragment-relative; `.` and `..` are followed."""
+    given = F.regexp_replace(
+        F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", ""
+    )
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     page = F.regexp_replace(base, "#.*$", "")
-    return (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("#"), F.concat(page, href))
-        .when(href == "", href)
-        .otherwise(F.concat(folder, F.when(folder == root, "/").otherwise(""), href))
+    path = F.regexp_replace(base, "[?#].*$", "")
+    whole = (
+        F.when(given.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), given)
+        .when(given.startswith("//"), F.concat(scheme, given))
+        .when(given.startswith("/"), F.concat(root, given))
+        .when(given.startswith("#"), F.concat(page, given))
+        .when(given.startswith("?"), F.concat(path, F.when(path == root, "/").otherwise(""), given))
+        .when(given == "", given)
+        .otherwise(F.concat(folder, F.when(folder == root, "/").otherwise(""), given))
+    )
+    return without_dots(whole)
+
+
+_DOTS = r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/\.{1,2}(?:[/?#]|$)"
+
+
+def without_dots(url: Column) -> Column:
+    """An address whose path has no `.` and `..` steps left; others stay as they are."""
+    host = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    steps = F.split(path, "/")
+
+    def follow(done, step):
+        return (
+            F.when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(step == ".", done)
+            .otherwise(F.concat(done, F.array(step)))
+        )
+
+    # The path begins with a slash, so its first step is empty.
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), follow
     )
+    open_end = F.element_at(steps, -1).isin(".", "..")
+    kept = F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(
+        url.rlike(_DOTS), F.concat(host, F.lit("/"), F.array_join(kept, "/"), tail)
+    ).otherwise(url)
 
 
 def prefixed_url(href: Column, base: str) -> Column:

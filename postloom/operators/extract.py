@@ -83,23 +83,48 @@ def paired_elements(pages: DataFrame, left: Selector, right: Selector) -> DataFr
     return parsed.select(*others, F.inline(pairs))
 
 
-def listing_links(listings: DataFrame, site: Site) -> DataFrame:
-    """Thread links of listing pages, in page order, also those without a usable address.
-
-    Adds thread_pos (from 1), thread_url and thread_title to the listing's own columns;
-    the listing's `url` becomes listing_url.
-    """
+def read_listings(listings: DataFrame, site: Site) -> DataFrame:
+    """One row per listing page: its own columns, with `url` as listing_url, then readable and
+    links array<struct<thread_url, thread_title>>, also those without a usable address."""
     links = F.transform(
         find_all(NODES, site.links),
-        lambda n: F.struct(n["href"].alias("href"), text_inline(TEXTS, n).alias("title")),
+        lambda n: F.struct(
+            absolute_url(n["href"], F.col("listing_url")).alias("thread_url"),
+            text_inline(TEXTS, n).alias("thread_title"),
+        ),
     )
     parsed = outlines(listings.withColumnRenamed("url", "listing_url"))
     others = [c for c in parsed.columns if c != "page"]
-    return parsed.select(*others, F.posexplode(links).alias("pos", "link")).select(
-        *others,
-        (F.col("pos") + 1).alias("thread_pos"),
-        absolute_url(F.col("link.href"), F.col("listing_url")).alias("thread_url"),
-        F.col("link.title").alias("thread_title"),
+    return parsed.select(*others, F.col("page").isNotNull().alias("readable"), links.alias("links"))
+
+
+def links_of(read: DataFrame) -> DataFrame:
+    """One row per link of `read_listings`, in page order, with thread_pos from 1."""
+    others = [c for c in read.columns if c not in ("readable", "links")]
+    return read.select(*others, F.posexplode("links").alias("pos", "link")).select(
+        *others, (F.col("pos") + 1).alias("thread_pos"), "link.*"
+    )
+
+
+def listing_links(listings: DataFrame, site: Site) -> DataFrame:
+    """Thread links of listing pages, in page order, also those without a usable address.
+
+    Adds thread_pos (from 1), thread_url and thread_title to the listing's own columns;
+    the listing's `url` becomes listing_url. Pages without links: see `listing_outcomes`.
+    """
+    return links_of(read_listings(listings, site))
+
+
+def listing_outcomes(read: DataFrame) -> DataFrame:
+    """(listing_url, n_links, outcome) of every page of `read_listings`: kept, unreadable or no
+    links."""
+    n = F.when(F.col("readable"), F.coalesce(F.size("links"), F.lit(0))).otherwise(0)
+    return read.select(
+        "listing_url",
+        n.alias("n_links"),
+        F.when(~F.col("readable"), "unreadable").when(n == 0, "no links").otherwise("kept").alias(
+            "outcome"
+        ),
     )
 
 

@@ -4,17 +4,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.sources.scratch import stage
+
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 1_000_000
 NULL_SALTS = 1 << 16
+MAX_HOT_KEYS = 10_000
 
 
 def fits(table: DataFrame, max_rows=MAX_BROADCAST_ROWS, max_bytes=MAX_BROADCAST_BYTES) -> bool:
-    """Whether the table, measured now, is small enough to be sent to every executor."""
-    texts = [F.octet_length(f.name) for f in table.schema if isinstance(f.dataType, T.StringType)]
-    width = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(16 * len(table.columns)))
-    size = table.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    """Whether the table, measured now, is small enough to be sent to every executor. Texts,
+    binaries and nested values count in full; no more rows are looked at than may be sent."""
+
+    def bytes_of(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(c.alias("v"))))
+        return F.lit(0)
+
+    sizes = [F.coalesce(bytes_of(f), F.lit(0)) for f in table.schema]
+    width = sum(sizes, F.lit(16 * len(table.columns))).cast("long")
+    rows = table.limit(max_rows + 1).select(width.alias("w"))
+    size = rows.agg(F.count("*").alias("rows"), F.sum("w").alias("bytes")).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
@@ -25,7 +39,10 @@ def fingerprint(*parts: Column) -> Column:
 
 def hot_keys(counts: DataFrame, key: str, rows: str, rows_per_task: int) -> DataFrame:
     """(_hot, _salts) of the keys with more than `rows_per_task` rows, from a table of counts.
-    There are at most (all rows / rows_per_task) of them, which bounds the table."""
+    There are at most (all rows / rows_per_task) of them, and `rows_per_task` is raised until they
+    are at most `MAX_HOT_KEYS`."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    rows_per_task = max(rows_per_task, -(-total // MAX_HOT_KEYS))
     return counts.where((F.col(rows) > rows_per_task) & F.col(key).isNotNull()).select(
         F.col(key).alias("_hot"), F.ceil(F.col(rows) / rows_per_task).cast("int").alias("_salts")
     )
@@ -45,15 +62,20 @@ def spread_join(
     A key with n left rows is dealt onto ceil(n / rows_per_task) salts, and its right rows are
     copied once per salt, so the result is exact. Only hot keys carry a salt count, and their
     list is short by construction (see `hot_keys`), so it is broadcast. Null keys match nothing
-    and are dealt widely. Rows are dealt by content and partition, which a retried task sees
+    and are dealt widely, by content. Where there is a hot key, `left` is staged first and dealt
+    by the place of its rows there, which keeps equal rows apart and which a retried task sees
     again. Without a given `hot`, the keys of `left` are counted in a pass of their own, combined
-    map-side: give a `left` that is cheap to read twice, such as a staged table. Where `right`
-    itself has the number of left rows per key, name that column in `rows`.
+    map-side: give a `left` that is cheap to read twice. Where `right` itself has the number of
+    left rows per key, name that column in `rows`.
     """
     if hot is None:
         counts = left.groupBy(key).agg(F.count("*").alias("_n"))
         hot = hot_keys(counts, key, "_n", rows_per_task)
+    hot = stage(hot, "hot-keys")
     number = F.xxhash64(*left.columns) + F.spark_partition_id()
+    if not hot.isEmpty():
+        left = stage(left, "dealt-rows")
+        number = F.monotonically_increasing_id()
     dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
         "_salt",
         F.when(F.col(key).isNull(), F.pmod(number, F.lit(NULL_SALTS)))
@@ -77,7 +99,7 @@ def spread_join(
 def lookup(
     df: DataFrame, table: DataFrame, key: str, how: str = "left", small: bool | None = None
 ) -> DataFrame:
-    """Join to a table with one row per key: broadcast when measured small, spread beyond that."""
-    if small is None:
-        small = fits(table)
+    """Join to a table with one row per key: broadcast when measured small, spread beyond that or
+    where `small` is False."""
+    small = small is not False and fits(table)
     return df.join(F.broadcast(table), key, how) if small else spread_join(df, table, key, how)

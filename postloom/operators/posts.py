@@ -12,62 +12,75 @@ from postloom.sites import Site
 from postloom.sources.scratch import stage
 
 
-def no_copies(pages: DataFrame) -> bool:
-    """Whether every url is there once; reads nothing but the urls."""
-    counts = pages.groupBy("url").agg(F.count("*").alias("n"))
-    return counts.where("n > 1").isEmpty()
-
-
-def newest_copies(extracts: DataFrame, order_by: str | None = None) -> DataFrame:
-    """One extract per url, as each address is fetched once: the one with the greatest
-    `order_by`. Map-side combined, so an address with many copies moves one per task."""
+def newest_copies(extracts: DataFrame, order_by: str) -> DataFrame:
+    """One extract per url: the one with the greatest `order_by`, where null is least and equal
+    ones are told apart by their content. Map-side combined, so an address with many copies moves
+    one per task."""
     columns = [c for c in extracts.columns if c != "url"]
-    order = F.col(order_by) if order_by else F.xxhash64("n_items", "posts")
+    order = F.struct(F.col(order_by), F.xxhash64("n_items", "posts"))
     newest = F.max_by(F.struct(*columns), order).alias("_page")
     return extracts.groupBy("url").agg(newest).select("url", "_page.*")
 
 
+def superseded(extracts: DataFrame) -> DataFrame:
+    """(url, reason, copies) of addresses of which `newest_copies` sets copies aside."""
+    counts = extracts.groupBy("url").agg((F.count("*") - 1).alias("copies")).where("copies > 0")
+    return counts.select("url", F.lit("superseded").alias("reason"), "copies")
+
+
 def thread_pages(
     threads: DataFrame,
     extracts: DataFrame,
     site: Site,
     *,
     order_by: str | None = None,
-    unique_urls: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Each listed thread with the extract of the page its posts come from, and an outcome:
-    kept, no page, unreadable, no title or no posts. A thread listed twice is there twice.
+    kept, no page, unreadable, no title or no posts.
 
-    The html is gone by now: only the small extracts are shuffled. What is read more than once
-    is staged as a table, so that each page is parsed once: the threads, and where only the last
-    page counts, the extracts too.
+    Rows are a bag: a thread listed twice is there twice, and so is one whose page was crawled
+    twice, unless `order_by` names the column by which the newest copy counts. The html is gone by
+    now: only the small extracts are shuffled. They are read more than once, so give a staged
+    table, or each page is parsed again.
     """
     threads = stage(threads, f"{site.name}-threads")
     extracts = extracts.select(
         "url", *([order_by] if order_by else []),
         "readable", "page_title", "n_items", "page_count", "posts",
     )
-    if not unique_urls:
-        extracts = newest_copies(extracts, order_by)
-    extracts = extracts.drop(order_by) if order_by else extracts
+    if order_by:
+        extracts = newest_copies(extracts, order_by).drop(order_by)
     if site.last_page_only:
-        extracts = stage(extracts, f"{site.name}-extracts")
-        first = extracts.select(
-            F.col("url").alias("thread_url"),
-            F.col("n_items").alias("first_items"),
-            F.col("page_count").alias("last_page"),
+        first = extracts.groupBy("url").agg(
+            F.max("n_items").alias("first_items"), F.max("page_count").alias("last_page")
+        )
+        first = stage(first, f"{site.name}-first-pages")
+        named = first.withColumnRenamed("url", "thread_url")
+        threads = spread_join(threads, named, "thread_url", "left", rows_per_task)
+        # Page 1 stands under its own number or under the thread's address alone.
+        one = first.select(
+            F.col("url").alias("_one"),
+            F.col("first_items").alias("_one_items"),
+            F.col("last_page").alias("_one_last"),
         )
-        threads = spread_join(threads, first, "thread_url", "left", rows_per_task)
-        # Page 1 is the page under the thread's own address.
+        threads = threads.withColumn("_one", last_page_url(F.col("thread_url"), F.lit(1)))
+        threads = spread_join(threads, one, "_one", "left", rows_per_task)
+        plain = (F.col("last_page") == 1) & F.col("_one_last").isNull()
         threads = threads.withColumns(
             {
-                "last_page_url": last_page_url(F.col("thread_url"), F.col("last_page")),
-                "_from": F.when(F.col("last_page") == 1, F.col("thread_url")).otherwise(
-                    last_page_url(F.col("thread_url"), F.col("last_page"))
-                ),
+                "last_page": F.coalesce("last_page", "_one_last"),
+                "first_items": F.coalesce("first_items", "_one_items"),
+                "_plain": plain,
             }
         )
+        last = last_page_url(F.col("thread_url"), F.col("last_page"))
+        threads = threads.withColumns(
+            {
+                "last_page_url": last,
+                "_from": F.when(F.col("_plain"), F.col("thread_url")).otherwise(last),
+            }
+        ).drop("_one", "_one_items", "_one_last", "_plain")
         threads = stage(threads, f"{site.name}-last-pages")
     else:
         threads = threads.withColumns({"first_items": F.lit(1), "_from": F.col("thread_url")})
@@ -88,20 +101,51 @@ def thread_pages(
     ).drop("_from", "first_items", "readable", "page_title")
 
 
-def page_posts(extracts: DataFrame, site: Site) -> DataFrame:
-    """Posts of pages as they arrive, without listings, complete or not. Page-local, so it runs on
-    a stream too; `thread_url` is the page's address. Which page is a thread's last, and a title
-    that only the listing shows, are for a later batch over the posts."""
-    titled = F.col("page_title").isNotNull() if site.title else F.lit(True)
-    kept = extracts.where((F.col("n_items") > 0) & titled)
-    posts = kept.select(
+def page_outcomes(
+    extracts: DataFrame, site: Site, threads: DataFrame | None = None
+) -> DataFrame:
+    """Every post of pages as they arrive, and one row per page that gives none, with `reason`:
+    null for a good post, else unreadable, no title, no posts, no date or no body.
+
+    Page-local, so it runs on a stream too; `thread_url` is the page's address without its page
+    number. A title that only the listing shows comes from `threads(thread_url, thread_title)`,
+    one row per thread; without them such a site's titles stay null. Which page is a thread's last
+    is for a later batch over the posts.
+    """
+    page = F.regexp_replace("url", r"p\d+$", "") if site.last_page_only else F.col("url")
+    rows = extracts.withColumn("thread_url", page)
+    if site.title:
+        rows = rows.withColumn("thread_title", F.col("page_title"))
+    elif threads is None:
+        rows = rows.withColumn("thread_title", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(threads.select("thread_url", "thread_title"), "thread_url", "left")
+    untitled = F.col("thread_title").isNull() if site.title else F.lit(False)
+    page_reason = (
+        F.when(~F.col("readable"), "unreadable")
+        .when(untitled, "no title")
+        .when(F.col("n_items") == 0, "no posts")
+    )
+    none = F.array().cast(extracts.schema["posts"].dataType)
+    found = rows.select(
         F.lit(site.name).alias("source"),
-        F.col("url").alias("thread_url"),
-        F.col("page_title").alias("thread_title"),
+        F.col("url"),
+        "thread_url",
+        "thread_title",
         F.lit(site.source_url).alias("source_url"),
-        F.inline_outer("posts"),
+        page_reason.alias("_reason"),
+        F.explode_outer(F.when(page_reason.isNull(), F.col("posts")).otherwise(none)).alias("_post"),
+    )
+    reason = F.when(F.col("_post").isNotNull(), reject_reason("_post.")).otherwise("no posts")
+    return found.select(
+        "source", "url", "thread_url", "thread_title", "source_url", "_post.*",
+        F.coalesce("_reason", reason).alias("reason"),
     )
-    return posts.where("post_index is not null")
+
+
+def page_posts(extracts: DataFrame, site: Site, threads: DataFrame | None = None) -> DataFrame:
+    """The good posts of `page_outcomes`."""
+    return page_outcomes(extracts, site, threads).where("reason is null").drop("reason", "url")
 
 
 def explode_posts(kept: DataFrame) -> DataFrame:
@@ -113,9 +157,9 @@ def explode_posts(kept: DataFrame) -> DataFrame:
     return rows.where("post_index is not null")
 
 
-def reject_reason() -> Column:
-    return F.when(F.col("post_date").isNull(), "no date").when(
-        F.col("post_content").isNull(), "no body"
+def reject_reason(of: str = "") -> Column:
+    return F.when(F.col(f"{of}post_date").isNull(), "no date").when(
+        F.col(f"{of}post_content").isNull(), "no body"
     )
 
 
@@ -146,9 +190,14 @@ def number_rows(rows: DataFrame, thread: str, position: str, block: int = 100_00
 
     A thread is numbered in blocks of `block` positions: rows before a block come from block
     counts (combined map-side), rows inside it from row_number. So no task sorts a whole thread.
-    A row without a thread or a position is kept, with a null index.
+    Rows of equal position are numbered in the order of their other values; rows equal in all are
+    interchangeable. A row without a thread or a position is kept, with a null index, and sorted
+    with nothing.
     """
-    rows = rows.withColumn("_block", F.floor(F.col(position) / block))
+    columns = rows.columns
+    placed = F.col(thread).isNotNull() & F.col(position).isNotNull()
+    unplaced = rows.where(~placed).withColumn("post_index", F.lit(None).cast("int"))
+    rows = rows.where(placed).withColumn("_block", F.floor(F.col(position) / block))
     counts = rows.groupBy(thread, "_block").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(thread).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
@@ -156,25 +205,37 @@ def number_rows(rows: DataFrame, thread: str, position: str, block: int = 100_00
     before = counts.select(
         thread, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = F.row_number().over(Window.partitionBy(thread, "_block").orderBy(position))
-    return (
-        rows.join(before, [thread, "_block"], "left")
-        .withColumn("post_index", (F.col("_before") + inside).cast("int"))
-        .drop("_block", "_before")
+    ties = F.xxhash64(*columns)
+    inside = F.row_number().over(
+        Window.partitionBy(thread, "_block").orderBy(position, ties)
+    )
+    numbered = rows.join(before, [thread, "_block"], "left").withColumn(
+        "post_index", (F.col("_before") + inside).cast("int")
     )
+    return numbered.select(*columns, "post_index").unionByName(unplaced)
 
 
-def last_pages(pages: DataFrame, thread: str, page_no: str, small: bool | None = None) -> DataFrame:
+def last_pages(
+    pages: DataFrame, thread: str, page_no: str, small: bool | None = None
+) -> DataFrame:
     """Only each thread's highest-numbered page. The maximum is combined map-side; where the
-    list of maxima is small it prunes by broadcast before anything is parsed or shuffled."""
-    newest = pages.groupBy(thread).agg(F.max(page_no).alias(page_no))
-    if small is None:
-        small = fits(newest)
-    if small:
-        return pages.join(F.broadcast(newest), [thread, page_no], "left_semi")
-    # Exact beyond the bound: (thread, page) pairs are spread over the cluster, and a hot thread
-    # keeps only its last page's rows.
-    return pages.join(newest, [thread, page_no], "left_semi")
+    list of maxima is small it prunes by broadcast before anything is parsed or shuffled.
+
+    A null thread is a thread like any other. Rows without a page number belong to no page: see
+    `unnumbered_pages`. A thread has one maximum, so the join adds no rows and a thread with many
+    rows can be split between tasks at run time.
+    """
+    newest = pages.where(F.col(page_no).isNotNull()).groupBy(F.col(thread).alias("_thread")).agg(
+        F.max(page_no).alias("_last")
+    )
+    small = small is not False and fits(newest)
+    same = F.col(thread).eqNullSafe(F.col("_thread")) & (F.col(page_no) == F.col("_last"))
+    return pages.join(F.broadcast(newest) if small else newest, same, "left_semi")
+
+
+def unnumbered_pages(pages: DataFrame, page_no: str) -> DataFrame:
+    """The rows that `last_pages` can place on no page, with a reason."""
+    return pages.where(F.col(page_no).isNull()).withColumn("reason", F.lit("no page number"))
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:

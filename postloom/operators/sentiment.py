@@ -171,8 +171,7 @@ def score(
 
 def _with_score(posts, lexicon, text, out, inline, total, stressed) -> DataFrame:
     """Adds the normalised `total(words, lower-cased words, values)` of each text."""
-    if inline is None:
-        inline = inlines(lexicon)
+    inline = inline is not False and inlines(lexicon)
     words_ = sentiment_words(F.col(text))
     if inline:
         value = constant_lookup(lexicon, "token", "valence")
@@ -196,6 +195,32 @@ def _with_score(posts, lexicon, text, out, inline, total, stressed) -> DataFrame
     )
 
 
+def first_places(hits: Column, w: Column) -> Column:
+    """For each hit, in order, a struct of its place and the place of its word's first hit. Hits
+    are sorted by word and each run of a word is one slice, so the work grows as a sort."""
+
+    def grouped(s):
+        changes = F.filter(
+            F.transform(s, lambda e, k: F.when((k == 0) | (e["word"] != F.get(s, k - 1)["word"]), k)),
+            lambda k: k.isNotNull(),
+        )
+
+        def runs(starts):
+            def run(at, k):
+                end = F.coalesce(F.get(starts, k + 1), F.size(s))
+                return F.transform(
+                    F.slice(s, at + 1, end - at),
+                    lambda e: F.struct(e["i"].alias("i"), F.get(s, at)["i"].alias("first")),
+                )
+
+            return F.array_sort(F.flatten(F.transform(starts, run)))
+
+        return let(changes, runs)
+
+    pairs = F.transform(hits, lambda i: F.struct(F.get(w, i).alias("word"), i.alias("i")))
+    return let(F.array_sort(pairs), grouped)
+
+
 def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
     """Sum of the valences of a text's words, each changed by the words around it.
 
@@ -209,11 +234,11 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
         hits, but = row["hits"], row["but"]
         caps = (row["shouted"] > 0) & (row["shouted"] < F.size(w))
 
-        def place(i):
-            first = F.array_position(row["hit_words"], F.get(w, i)) - 1
+        def place(i, k):
+            first = F.get(row["firsts"], k)["first"]
             weight = F.when(but < 0, 1.0).when(i < but, BEFORE_BUT).when(i > but, AFTER_BUT)
             return F.struct(
-                F.get(hits, first.cast("int")).alias("at"),
+                first.alias("at"),
                 F.coalesce(weight, F.lit(1.0)).alias("weight"),
             )
 
@@ -255,7 +280,7 @@ def valence_sum(w: Column, lo: Column, v: Column, rules: Rules) -> Column:
         return let(
             F.struct(
                 hits.alias("hits"),
-                F.transform(hits, lambda i: F.get(w, i)).alias("hit_words"),
+                first_places(hits, w).alias("firsts"),
                 (F.array_position(lo, rules.contrast) - 1).cast("int").alias("but"),
                 F.size(F.filter(F.zip_with(w, lo, _upper), lambda up: up)).alias("shouted"),
                 _may_hold_phrase(w, rules).alias("idiom"),

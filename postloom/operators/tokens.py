@@ -69,12 +69,9 @@ def token_values(
     the tokens of each distinct text are joined to the table, by broadcast while it is `small`,
     and gathered per text again.
     """
-    if inline is None:
-        inline = inlines(table)
-    if inline:
+    if inline is not False and inlines(table):
         return df.withColumn(out, F.transform(tokens, constant_lookup(table, token, value)))
-    if small is None:
-        small = fits(table)
+    small = small is not False and fits(table)
     keyed = df.withColumn("_key", fingerprint(F.col(tokens)))
     texts = keyed.select("_key", tokens)
     if not small:

@@ -15,6 +15,7 @@ from postloom.operators.joins import (
     spread_join,
 )
 from postloom.operators.tokens import token_values
+from postloom.sources.scratch import stage
 
 TRANSLATED = "translated_post_content"
 
@@ -31,23 +32,31 @@ def distinct_texts(posts: DataFrame, text: str) -> DataFrame:
     return posts.where(~is_blank(F.col(text))).groupBy(text).agg(F.count("*").alias("rows"))
 
 
-def backend_udf(make_backend: Callable[[], Callable[[list[str]], list[str]]]):
-    """Arrow-batched call of a translator, built once per Python worker. Null in, null out;
-    a text the translator fails on gives null, and takes no other text of its batch along."""
+def _answers(translate, texts: list[str]) -> list[str | None]:
+    """The translations; a batch that fails is halved, and a few texts are asked one by one."""
+    try:
+        return list(translate(texts))
+    except Exception:
+        if len(texts) == 1:
+            return [None]
+        size = len(texts) // 2 if len(texts) > 4 else 1
+        parts = [texts[at : at + size] for at in range(0, len(texts), size)]
+        return [answer for part in parts for answer in _answers(translate, part)]
+
+
+def backend_udf(make_backend: Callable[[], Callable[[list[str]], list[str]]], batch_size: int = 64):
+    """Arrow-batched call of a translator, built once per Python worker and asked for at most
+    `batch_size` texts at a time. Null in, null out; a text the translator fails on gives null,
+    and takes no other text of its batch along."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         translate = make_backend()
         for batch in batches:
             asked = batch.dropna()
-            try:
-                got = list(translate(list(asked))) if len(asked) else []
-            except Exception:  # a failing batch is asked again text by text
-                got = []
-                for one in asked:
-                    try:
-                        got.append(translate([one])[0])
-                    except Exception:
-                        got.append(None)
+            texts = list(asked)
+            got = []
+            for at in range(0, len(texts), batch_size):
+                got += _answers(translate, texts[at : at + batch_size])
             yield pd.Series(got, index=asked.index, dtype=object).reindex(batch.index)
 
     return F.pandas_udf(run, "string").asNondeterministic()
@@ -65,8 +74,7 @@ def dictionary(
     Only texts the memory lacks reach the backend. Written out, this is new memory.
     """
     memory = unique_memory(memory)
-    if small is None:
-        small = fits(memory)
+    small = small is not False and fits(memory)
     texts = distinct_texts(posts, text)
     known = texts.join(
         F.broadcast(memory) if small else memory, F.col(text) == F.col("source_text"), "left"
@@ -104,8 +112,7 @@ def translate(
     spread over tasks and blank rows among them.
     """
     blank = is_blank(F.col(text))
-    if small is None:
-        small = fits(memory)
+    small = small is not False and fits(memory)
     if make_backend is None and small:
         found = posts.join(
             F.broadcast(unique_memory(memory)), F.col(text) == F.col("source_text"), "left"
@@ -119,7 +126,8 @@ def translate(
         counts = distinct_texts(posts, text).select(
             fingerprint(F.col(text)).alias("_text"), "rows"
         )
-        known = dictionary(posts, memory, text, make_backend, small)
+        # Written out, so that no later use of the posts asks the backend again.
+        known = stage(dictionary(posts, memory, text, make_backend, small), "dictionary")
         known = known.select(fingerprint(F.col(text)).alias("_text"), "rows", "translation", "via")
         keyed = posts.withColumn("_text", F.when(~blank, fingerprint(F.col(text))))
         hot = hot_keys(counts, "_text", "rows", rows_per_task)

@@ -3,8 +3,11 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def map_column(c: Column, fn: Callable[[pd.Series], pd.Series], returns: str) -> Column:
@@ -18,13 +21,15 @@ def map_column(c: Column, fn: Callable[[pd.Series], pd.Series], returns: str) ->
 
 
 def rows_to_many(df: DataFrame, fn: Callable[[dict], list[dict]], schema: str) -> DataFrame:
-    """Each row to any number of rows by a caller's function, in Arrow batches. Posts of a page
-    need none of this: see `read_threads` and `explode_posts`."""
+    """Each row to any number of rows by a caller's function, in Arrow batches; values are plain
+    Python, so integers and nulls stay what they are. Posts of a page need none of this: see
+    `read_threads` and `explode_posts`."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [row for given in batch.to_dict("records") for row in fn(given)]
+            made = [row for given in batch.to_pylist() for row in fn(given)]
             if made:
-                yield pd.DataFrame(made)
+                yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

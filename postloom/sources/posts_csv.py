@@ -21,6 +21,9 @@ DIALECT = {
 }
 
 
+_RECORD, _SURPLUS = "_postloom_record", "_postloom_surplus"
+
+
 def read_posts(
     spark: SparkSession,
     path: str,
@@ -29,22 +32,67 @@ def read_posts(
     *,
     na_as_null: bool = False,
 ) -> DataFrame:
-    """Typed rows, columns taken in `schema` order; rows shorter than the header end in nulls.
+    """Typed rows of `schema`, columns found by their header names, wherever they stand.
 
-    Text is never guessed into numbers. With `na_as_null`, a field that is wholly a missing
-    token ("NA", "null", ...) reads as null.
+    A column that the files lack is null, as is the end of a row shorter than the header. Other
+    columns are left out. Text is never guessed into numbers. With `na_as_null`, a field that is
+    wholly a missing token ("NA", "null", ...) reads as null. Rows that do not parse are in
+    `rejected_posts`. The files of a folder must have one header; another one raises.
     """
-    named = T.StructType(
-        [T.StructField(headers[f.name], f.dataType, f.nullable) for f in schema.fields]
-    )
-    rows = spark.read.schema(named).options(**DIALECT, enforceSchema=True).csv(path)
-    rows = rows.toDF(*schema.names)
+    rows = _parsed(spark, path, schema, headers).where("reason is null")
+    rows = rows.select("row.*")
     if na_as_null:
         texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
         rows = rows.withColumns({c: na_to_null(F.col(c)) for c in texts})
     return rows
 
 
+def rejected_posts(
+    spark: SparkSession, path: str, schema: T.StructType, headers: dict = CSV_HEADERS
+) -> DataFrame:
+    """(record, reason) of the rows that `read_posts` leaves out: "surplus field" for more fields
+    than the header has, "bad <column>" for a value that is not of its column's type."""
+    return _parsed(spark, path, schema, headers).where("reason is not null").select(
+        "record", "reason"
+    )
+
+
+def _parsed(spark, path, schema, headers) -> DataFrame:
+    """(row, record, reason) of every record."""
+    found = spark.read.options(**DIALECT, inferSchema=False).csv(path).columns
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in found])
+    rows = (
+        spark.read.schema(texts.add(_RECORD, "string"))
+        .options(**DIALECT, enforceSchema=False, columnNameOfCorruptRecord=_RECORD)
+        .csv(path)
+    )
+    # A record with other than the header's number of fields is kept as it is; one more column
+    # tells whether it has too many.
+    wider = T.StructType(
+        [*(T.StructField(f"c{i}", T.StringType()) for i in range(len(found))),
+         T.StructField(_SURPLUS, T.StringType())]
+    )
+    dialect = {k: str(v).lower() if isinstance(v, bool) else v for k, v in DIALECT.items() if k not in ("header", "encoding")}
+    surplus = F.from_csv(F.col(_RECORD), wider.simpleString()[7:-1].replace(":", " "), dialect)
+    reason = F.when(surplus[_SURPLUS].isNotNull(), "surplus field")
+    columns = []
+    for field in schema.fields:
+        name = headers[field.name]
+        if name not in found:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        text = F.col(f"`{name}`")
+        typed = text if isinstance(field.dataType, T.StringType) else text.try_cast(field.dataType)
+        reason = F.coalesce(
+            reason, F.when(text.isNotNull() & typed.isNull(), f"bad {field.name}")
+        )
+        columns.append(typed.alias(field.name))
+    whole = F.to_csv(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(found)])) if found else F.lit("")
+    return rows.select(
+        F.struct(*columns).alias("row"), F.coalesce(F.col(_RECORD), whole).alias("record"), reason.alias("reason")
+    )
+
+
 def write_posts(df: DataFrame, path: str, headers: dict = CSV_HEADERS, mode: str = "overwrite"):
     """Header row first, one file per partition; null and "" are both an empty field."""
     named = df.withColumnsRenamed({c: headers[c] for c in df.columns})

@@ -1,5 +1,6 @@
 """New page files to posts, new posts to scores: each input file is taken once."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +35,20 @@ def append_new(rows: DataFrame, out: str, checkpoint: str):
 def enrich_new(
     rows: DataFrame, enrich: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ):
-    """Enrich only new rows, by any batch operators. A batch is written into its own `batch_id`
-    folder and replaces that folder when it is played again, so each row is there once."""
+    """Enrich only new rows, by any batch operators. A batch is written into the folder of its
+    stream and batch, and replaces that folder when it is played again, so each row is there once.
+    The stream's id lives in its checkpoint: another checkpoint over the same table adds rows and
+    touches none that are there."""
 
     def write(batch: DataFrame, batch_id: int):
+        meta = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
         (
             enrich(batch)
+            .withColumn("stream_id", F.lit(json.loads(meta)["id"]))
             .withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("stream_id", "batch_id")
             .parquet(out)
         )
 

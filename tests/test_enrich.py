@@ -8,7 +8,7 @@ from postloom.functions.margins import margin, softmax
 from postloom.operators import translate as tr
 from postloom.operators.models import margin_2class, margin_3class, model_score
 from postloom.operators.rules import Rules
-from postloom.operators.sentiment import lexicon_sum, score
+from postloom.operators.sentiment import first_places, lexicon_sum, score
 from postloom.operators.tokens import token_values
 
 LEXICON = {
@@ -301,3 +301,14 @@ def test_model_score(spark):
     got = model_score(texts(spark, ["good", "bad", None, " "]), load, 1, 0, "x").orderBy("id").collect()
     m = (math.e - 1) / (math.e + 1)
     assert [r.sentiment_score for r in got] == [pytest.approx(m), pytest.approx(-m), None, None]
+
+
+def test_first_places_of_repeated_words(spark):
+    words = ["b", "a", "b", "c", "a", "b", "d"]
+    hits = [0, 1, 2, 4, 5, 6]
+    df = spark.createDataFrame([(words, hits), (words, [])], "w array<string>, hits array<int>")
+    got = [
+        [(p.i, p.first) for p in r.f]
+        for r in df.select(first_places(F.col("hits"), F.col("w")).alias("f")).collect()
+    ]
+    assert got == [[(i, words.index(words[i])) for i in hits], []]

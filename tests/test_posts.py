@@ -69,15 +69,21 @@ def test_a_thread_in_both_listings_is_there_twice(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"order_by": "page_id"}])
-def test_copies_of_a_page_count_once(spark, options):
+def test_copies_of_a_page_all_count_or_the_newest_does(spark, options):
     crawl = pages(spark, [(f"{HOST}/1", TITLE + site1_item("old", "a"))] + SITE_1_PAGES)
-    assert not posts.no_copies(crawl)
     found = extract_source(pages(spark, [SITE_1_LISTING]), crawl, SITE_1, **options)
-    rows = found.posts.collect()
+    dates = sorted(r.post_date for r in found.posts.collect())
+    aside = [(r.url, r.reason, r.copies) for r in found.superseded.collect()]
     if options:
-        assert sorted(r.post_date for r in rows) == ["1 maj", "2maj"]
+        assert dates == ["1 maj", "2maj"] and aside == [(f"{HOST}/1", "superseded", 1)]
     else:
-        assert len({r.post_date == "old" for r in rows}) == 1
+        assert dates == ["1 maj", "2maj", "old"] and aside == []
+
+
+def test_a_null_order_erases_no_page(spark):
+    crawl = pages(spark, SITE_1_PAGES).withColumn("at", F.lit(None).cast("timestamp"))
+    found = extract_source(pages(spark, [SITE_1_LISTING]), crawl, SITE_1, order_by="at")
+    assert sorted(r.post_date for r in found.posts.collect()) == ["1 maj", "2maj"]
 
 
 def test_site_2_takes_the_last_page(spark):

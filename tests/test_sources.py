@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 
 from postloom.schemas import CSV_HEADERS, POSTS, SCORED_POSTS
 from postloom.sources.pages import dealt, read_html_files
-from postloom.sources.posts_csv import read_posts, snapshot_path, write_posts, write_snapshot
+from postloom.sources.posts_csv import (
+    read_posts,
+    rejected_posts,
+    snapshot_path,
+    write_posts,
+    write_snapshot,
+)
 from postloom.sources.tables import VersionedTable, append_each, append_sources
 
 HEADER = [CSV_HEADERS[c] for c in POSTS.names]
@@ -47,6 +53,37 @@ def test_short_rows_end_in_nulls(spark, tmp_path):
     assert [(r.translated_post_content, r.sentiment_score) for r in got] == [("en", 0.5), (None, None)]
 
 
+def written_as(tmp_path, *lines):
+    path = tmp_path / "given.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows(lines)
+    return str(path)
+
+
+def test_columns_are_found_by_their_names(spark, tmp_path):
+    order = [3, 0, 4, 2, 1]
+    path = written_as(tmp_path, *[[row[i] for i in order] + ["more"] for row in [HEADER, *ROWS]])
+    got = sorted(tuple(r) for r in read_posts(spark, path, POSTS).fillna("").collect())
+    assert got == sorted(tuple(r) for r in ROWS)
+
+
+def test_rows_that_do_not_parse_are_set_aside(spark, tmp_path):
+    good, short = [1, "t", "d", "a\nb", "u"], [2, "t"]
+    path = written_as(tmp_path, HEADER, good, short, ["x1", "t", "d", "c", "u"], [3, "t", "d", "c", "u", "six"], ["", "t", "d", "c", "u"])
+    rows = sorted((tuple(r) for r in read_posts(spark, path, POSTS).collect()), key=str)
+    assert rows == sorted([tuple(good), (2, "t", None, None, None), (None, "t", "d", "c", "u")], key=str)
+    aside = {r.reason: r.record for r in rejected_posts(spark, path, POSTS).collect()}
+    assert set(aside) == {"bad post_index", "surplus field"}
+    assert aside["surplus field"].rstrip() == "3,t,d,c,u,six" and aside["bad post_index"].startswith("x1,t")
+
+
+def test_files_of_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(HEADER) + "\n1,t,d,c,u\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text(",".join(reversed(HEADER)) + "\nu,c,d,t,1\n", encoding="utf-8")
+    with pytest.raises(Exception):
+        read_posts(spark, str(tmp_path), POSTS).collect()
+
+
 def test_missing_tokens_are_text_unless_asked(spark, written):
     plain = read_posts(spark, written, POSTS).where("post_index in (5, 6)").orderBy("post_index")
     assert [r.post_content for r in plain.collect()] == ["NA", "none"]

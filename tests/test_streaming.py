@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -59,9 +61,12 @@ def test_scores_are_added_once_even_when_a_batch_plays_again(spark, tmp_path):
         calls.append(1)
         if len(calls) == 2:
             # The batch was written, and the run died before it was noted as done.
-            scored.withColumn("batch_id", F.lit(1)).write.mode("overwrite").option(
+            meta = json.loads(spark.read.text(f"{log}/metadata").first()[0])
+            scored.withColumns(
+                {"stream_id": F.lit(meta["id"]), "batch_id": F.lit(1)}
+            ).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch_id").parquet(out)
+            ).partitionBy("stream_id", "batch_id").parquet(out)
             raise RuntimeError("lost")
         return scored
 
@@ -74,3 +79,13 @@ def test_scores_are_added_once_even_when_a_batch_plays_again(spark, tmp_path):
     got = spark.read.parquet(out).select("page_id", "sentiment_score")
     want = score(spark.read.parquet(folder), lexicon, "html").select("page_id", "sentiment_score")
     assert rows(got) == rows(want) and len(calls) == 3
+
+
+def test_another_checkpoint_over_a_table_adds_rows_and_takes_none(spark, tmp_path):
+    first, second, out = (str(tmp_path / n) for n in ("in1", "in2", "out"))
+    arrive(spark, first, range(3))
+    arrive(spark, second, range(100, 102))
+    keep = lambda batch: batch.select("page_id")
+    enrich_new(new_files(spark, first, PAGES), keep, out, str(tmp_path / "log1"))
+    enrich_new(new_files(spark, second, PAGES), keep, out, str(tmp_path / "log2"))
+    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 100, 101]
