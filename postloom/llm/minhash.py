@@ -22,12 +22,11 @@ from dataclasses import dataclass
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.graph import components
+from postloom.llm.graph import components, joined_components
 from postloom.llm.words import (
     LOWER,
     NOT_BLANK,
@@ -38,6 +37,8 @@ from postloom.llm.words import (
 )
 from postloom.sources.scratch import Workspace, stage
 
+MAX_BROADCAST_IDS = 2_000_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -50,7 +51,7 @@ class Settings:
     rows: int = 4
     batch: int = 16
     miss: float = 1e-6
-    block: int = 128
+    block: int = 256
 
     @property
     def hashes(self) -> int:
@@ -277,65 +278,114 @@ def _blocks(members: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def _candidates(group: pd.DataFrame, settings: Settings, least):
-    """Index pairs of a task's two blocks that are in different components, agree on this bucket's
-    band and on no earlier one, and survive the posterior bound."""
-    signs = _matrix(group["signature"], np.uint32)
+def _complete_groups(batches, key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, group edges) of rows sorted by `key`, about 16 MB at a time, no group cut in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= 16 << 20:
+            table, edges = _edges(held, key)
+            cut = int(edges[-2])
+            if cut:
+                yield table.slice(0, cut), edges[:-1]
+            held = table.slice(cut).to_batches()
+    if sum(b.num_rows for b in held):
+        yield _edges(held, key)
+
+
+def _edges(held, key) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    columns = [table[k].to_numpy() for k in key]
+    new = np.zeros(table.num_rows + 1, bool)
+    new[0] = new[-1] = True
+    for c in columns:
+        new[1:-1] |= c[1:] != c[:-1]
+    return table, np.flatnonzero(new)
+
+
+def _candidates(table: pa.Table, edges: np.ndarray, settings: Settings, least):
+    """Index pairs (a, b) of members of one task that come from its two blocks, are in different
+    components, agree on the bucket's band and on no earlier one, and survive the posterior
+    bound. Some tens of thousands of pairs are worked on together."""
+    signs = _matrix(table["signature"].to_pylist(), np.uint32)
     keys = _band_keys(signs, settings)
-    band = int(np.flatnonzero(keys[0].view(np.int64) == group["bucket"].iloc[0])[0])
-    parts, own = group["component"].to_numpy(), group["own"].to_numpy()
-    across = group["i"].iloc[0] != group["j"].iloc[0]
-    for a in range(len(group) - 1):
-        b = np.arange(a + 1, len(group))
-        b = b[parts[b] != parts[a]]
-        if across:
-            b = b[own[b] != own[a]]
-        if band and len(b):
-            b = b[~(keys[b, :band] == keys[a, :band]).any(axis=1)]
-        if len(b):
-            same = np.broadcast_to(signs[a], (len(b), signs.shape[1]))
-            yield a, b[plausible(same, signs[b], settings, least)]
+    bucket, i, j, own, parts = (
+        table[c].to_numpy() for c in ("bucket", "i", "j", "own", "component")
+    )
+    # The band is where the bucket's key stands.
+    band = (keys.view(np.int64) == bucket[:, None]).argmax(axis=1)
+    left, right, n = [], [], 0
+    for at, size in zip(edges[:-1].tolist(), np.diff(edges).tolist()):
+        if size > 1:
+            one, two = np.triu_indices(size, 1)
+            left.append(one + at)
+            right.append(two + at)
+            n += len(one)
+        if n >= 1 << 15 or (n and at + size == edges[-1]):
+            all_a, all_b = np.concatenate(left), np.concatenate(right)
+            left, right, n = [], [], 0
+            fresh = parts[all_a] != parts[all_b]
+            fresh &= (i[all_a] == j[all_a]) | (own[all_a] != own[all_b])
+            all_a, all_b = all_a[fresh], all_b[fresh]
+            for low in range(0, len(all_a), 1 << 14):
+                a, b = all_a[low : low + (1 << 14)], all_b[low : low + (1 << 14)]
+                earlier = (keys[a] == keys[b]) & (np.arange(settings.bands) < band[a][:, None])
+                first = ~earlier.any(axis=1)
+                a, b = a[first], b[first]
+                alive = plausible(signs[a], signs[b], settings, least)
+                yield a[alive], b[alive]
 
 
 def _stray_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, settings, workspace):
     """(a, b) links between components that share a bucket."""
     tasks = workspace.stage(_blocks(members, settings), "blocks")
     key = ["bucket", "i", "j"]
+    kept = [*key, "node", "component", "own"]
+
+    def promising(batches):
+        least = least_matches(settings)
+        for table, edges in _complete_groups(batches, key):
+            hit = np.zeros(table.num_rows, bool)
+            for a, b in _candidates(table, edges, settings, least):
+                hit[a] = hit[b] = True
+            yield from table.select(kept).filter(pa.array(hit)).to_batches()
+
+    def verify(batches):
+        least = least_matches(settings)
+        for table, edges in _complete_groups(batches, key):
+            values = [np.frombuffer(v, np.uint64) for v in table["set"].to_pylist()]
+            nodes, parts = table["node"].to_numpy(), table["component"].to_numpy().tolist()
+            # Components seen here, so that one link between two of them is enough.
+            root = {p: p for p in parts}
+
+            def find(p):
+                while root[p] != p:
+                    p = root[p]
+                return p
+
+            found = []
+            for a, b in _candidates(table, edges, settings, least):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    p, q = find(parts[x]), find(parts[y])
+                    if p != q and linked(values[x], values[y], settings.percent):
+                        root[p] = q
+                        found.append((x, y))
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes[ends[:, 0]]), pa.array(nodes[ends[:, 1]])], ["a", "b"]
+            )
 
-    def promising(group: pd.DataFrame) -> pd.DataFrame:
-        least, hit = least_matches(settings), np.zeros(len(group), bool)
-        for a, b in _candidates(group, settings, least):
-            hit[b] = True
-            hit[a] |= len(b) > 0
-        return group.loc[hit, [*key, "node", "component", "own"]]
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        least, found = least_matches(settings), []
-        values = [np.frombuffer(v, np.uint64) for v in group["values"]]
-        nodes, parts = group["node"].to_numpy(), group["component"].to_numpy()
-        # Components of this task, so that one link between two of them is enough.
-        root = {p: p for p in parts.tolist()}
-
-        def find(p):
-            while root[p] != p:
-                p = root[p]
-            return p
-
-        for a, others in _candidates(group, settings, least):
-            for b in others:
-                p, q = find(int(parts[a])), find(int(parts[b]))
-                if p != q and linked(values[a], values[b], settings.percent):
-                    root[p] = q
-                    found.append((nodes[a], nodes[b]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def per_task(frame, run, schema):
+        """A task's rows are few by construction, so they may meet in one partition."""
+        return frame.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
     signed = tasks.join(nodes.select("node", "signature"), "node")
-    hits = signed.groupBy(*key).applyInPandas(
-        promising, "bucket long, i int, j int, node long, component long, own int"
+    hits = per_task(
+        signed, promising, "bucket long, i int, j int, node long, component long, own int"
     )
     hits = workspace.stage(hits, "promising")
-    full = hits.join(sets.select("node", "signature", F.col("set").alias("values")), "node")
-    return full.groupBy(*key).applyInPandas(verify, "a long, b long")
+    full = hits.join(sets.select("node", "signature", "set"), "node")
+    return per_task(full, verify, "a long, b long")
 
 
 def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -353,6 +403,9 @@ def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFra
             )
 
     wanted = nodes.select(F.col("first_doc").alias("_doc")).distinct()
+    # The ids are sent around while they are few; beyond that the texts are shuffled by id.
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
     rows = rows.join(wanted, "_doc", "left_semi").select("_text")
     found = rows.mapInArrow(run, "set_key binary, set binary")
@@ -409,7 +462,7 @@ def near_duplicates(
         more = _stray_links(work.stage(placed, "placed"), busy, sets, settings, work)
         more = work.stage(more, "more-links")
         if not more.isEmpty():
-            parts = components(links.union(more), work)
+            parts = joined_components(parts, more, work)
 
         ids = nodes.join(parts, "node", "left").select(
             "set_key", "first_doc", F.coalesce("component", "node").alias("component")
