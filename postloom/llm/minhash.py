@@ -388,6 +388,11 @@ def _stray_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, settings
     return per_task(full, verify, "a long, b long")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids are sent around while they are few; beyond that the texts they meet are shuffled."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFrame:
     """(node, signature, set) of the given nodes, from the text of one document of each."""
 
@@ -402,10 +407,7 @@ def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFra
                 ["set_key", "set"],
             )
 
-    wanted = nodes.select(F.col("first_doc").alias("_doc")).distinct()
-    # The ids are sent around while they are few; beyond that the texts are shuffled by id.
-    if wanted.count() <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _sent(nodes.select(F.col("first_doc").alias("_doc")).distinct())
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
     rows = rows.join(wanted, "_doc", "left_semi").select("_text")
     found = rows.mapInArrow(run, "set_key binary, set binary")
@@ -479,17 +481,21 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", settings: Settings | None = None
 ) -> DataFrame:
-    """`docs` with one document of each group: the one with the smallest id. Of rows that repeat
-    an id, one stays: of the kept ones, that with the smallest text. Rows without an id stay
-    unless they copy a text that has one."""
+    """`docs` with one document of each group: the one with the smallest id. An id that stands on
+    several rows goes if none of them is kept; else the row with the smallest text stays. Rows
+    without an id cannot be named, and stay."""
     found = near_duplicates(docs, doc, text, settings)
-    drop = found.where("not kept").select(F.col(doc).alias("_drop")).distinct()
+    drop = found.groupBy(F.col(doc).alias("_drop")).agg(F.max("kept").alias("_kept"))
+    drop = drop.where("not _kept").select("_drop")
     repeated = (
         docs.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("_many"))
         .agg(F.count("*").alias("_n")).where("_n > 1").select("_many")
     )
-    left = docs.join(drop, F.col(doc) == F.col("_drop"), "left_anti")
-    columns = docs.columns
+    left = docs.join(_sent(stage(drop, "dropped")), F.col(doc) == F.col("_drop"), "left_anti")
+    repeated = stage(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return left
+    columns, repeated = docs.columns, _sent(repeated)
     rest = [c for c in columns if c != doc]
     single = left.join(repeated, F.col(doc) == F.col("_many"), "left_anti")
     several = left.join(repeated, F.col(doc) == F.col("_many"), "left_semi")
