@@ -9,7 +9,7 @@ from postloom.sources.scratch import stage
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are more likely toxic than not, by a model of the labelled ones."""
+    """Without the documents that a model of the labelled ones calls toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 

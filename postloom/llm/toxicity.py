@@ -23,6 +23,8 @@ from postloom.sources.scratch import Workspace
 
 _WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 300_000
+#: A text is rejected from this chance of a grade above 0; texts without a feature stay far below.
+TOXIC_FROM = 0.25
 
 
 @dataclass(frozen=True)
@@ -209,9 +211,15 @@ def fit(
     return Model(features, weights.tolist(), thresholds.tolist(), settings.prefixes)
 
 
-def severity(docs: DataFrame, model: Model, text: str = "text", out: str = "severity") -> DataFrame:
-    """`docs` with the struct `out`(expected, toxic): the expected grade, and whether a grade
-    above 0 is more likely than not. Null and empty texts, and texts without a feature, are judged
+def severity(
+    docs: DataFrame,
+    model: Model,
+    text: str = "text",
+    out: str = "severity",
+    toxic_from: float = TOXIC_FROM,
+) -> DataFrame:
+    """`docs` with the struct `out`(expected, toxic): the expected grade, and whether the chance of
+    a grade above 0 is at least `toxic_from`. Null and empty texts, and texts without a feature, are judged
     by the thresholds alone; with an empty model all is 0 and false. A column named `out` is
     replaced."""
     docs = docs.drop(out)
@@ -229,7 +237,7 @@ def severity(docs: DataFrame, model: Model, text: str = "text", out: str = "seve
             result = pa.StructArray.from_arrays(
                 [
                     pa.array(above.sum(axis=1)),
-                    pa.array(above[:, 0] > 0.5 if len(cut) else np.zeros(len(scores), bool)),
+                    pa.array(above[:, 0] >= toxic_from if len(cut) else np.zeros(len(scores), bool)),
                 ],
                 ["expected", "toxic"],
             )
@@ -240,7 +248,7 @@ def severity(docs: DataFrame, model: Model, text: str = "text", out: str = "seve
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` without those that are more likely toxic than not; other columns stay."""
+    """`docs` without those that `severity` calls toxic; other columns stay."""
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).alias("_text"))
     judged = severity(rows, model, "_text", "_severity").where("not _severity.toxic")
