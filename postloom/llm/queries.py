@@ -50,9 +50,9 @@ def op1_warc(spark, sf_dir):
     odd = F.coalesce(F.col("page_id") % 2 != 0, F.lit(False))
     warc.write_arc(records.where(~odd).drop("page_id"), f"{arc}/v1", 1)
     warc.write_arc(records.where(odd).drop("page_id"), f"{arc}/v2", 2)
-    old = warc.read_arc(spark, f"{arc}/*")
+    old, digests = (warc.read_arc(spark, f"{arc}/*", content) for content in (True, False))
     page = warc.http_header(F.col("http"), "X-Page-Id").cast("long")
-    warc.write_warc(warc.convert(old, page), out)
+    warc.write_warc(warc.convert(old, page, digests=digests), out)
     remove(spark, arc)
     read = warc.read_warc(spark, out).withColumn("page_id", page)
     whole = F.col("type") == "response"

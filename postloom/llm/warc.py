@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.operators.joins import fits
+from postloom.sources.scratch import stage
+
 BATCH = 4 << 20
 SHORTEST = 0
 #: The field lists of both versions.
@@ -31,7 +34,8 @@ FIELDS = {
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARC_SCHEMA = (
     "file string, offset long, version int, url string, ip string, date string, mime string, "
-    "truncated boolean, http binary, payload binary, problem string"
+    "truncated boolean, http binary, payload binary, problem string, payload_bytes long, "
+    "payload_digest string, http_digest string, content_digest string"
 )
 
 
@@ -97,8 +101,8 @@ def split_http(content: bytes) -> tuple[bytes | None, bytes]:
     return (content, b"") if end < 0 else (content[: end + 4], content[end + 4 :])
 
 
-def parse_arc(file: str, stream):
-    """Rows of `ARC_SCHEMA`. A file that breaks off in a record gives it as truncated; a line that
+def parse_arc(file: str, stream, content: bool = True):
+    """Rows of `ARC_SCHEMA`, with null payloads unless `content`. A file that breaks off in a record gives it as truncated; a line that
     is no header ends the file with a row that says so in `problem`."""
     version, offset = 0, 0
     while True:
@@ -111,40 +115,44 @@ def parse_arc(file: str, stream):
         wanted = len(FIELDS[version].split()) if version else (5 if line.count(b" ") < 9 else 10)
         fields = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", wanted - 1)
         if len(fields) != wanted or not fields[-1].isdigit():
-            yield (file, at, version, None, None, None, None, None, None, None, "no header line")
+            yield (file, at, version, *[None] * 7, "no header line", *[None] * 4)
             return
         size = int(fields[-1])
-        content = stream.read(size)
-        offset += len(content)
+        body = stream.read(size)
+        offset += len(body)
         if not version:
-            found = content.split(b" ", 1)[0]
+            found = body.split(b" ", 1)[0]
             if not line.startswith(b"filedesc:") or found not in (b"1", b"2"):
-                yield (file, at, 0, None, None, None, None, None, None, None, "no version record")
+                yield (file, at, 0, *[None] * 7, "no version record", *[None] * 4)
                 return
             version = int(found)
             continue
-        http, payload = split_http(content)
+        http, payload = split_http(body)
         yield (
-            file, at, version, fields[0], fields[1], fields[2], fields[3],
-            len(content) < size, http, payload, None,
+            file, at, version, *fields[:4], len(body) < size, http, payload if content else None, None,
+            len(payload), sha1_base32(payload), sha1_base32(http or b""), sha1_base32(body),
         )
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of `ARC_SCHEMA` from every archive below the path."""
+def read_arc(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """Rows of `ARC_SCHEMA` from every archive below the path; without `content` the payloads stay
+    behind, for passes that only need the digests."""
     kinds = pa.schema(
         [
             ("file", pa.string()), ("offset", pa.int64()), ("version", pa.int32()), ("url", pa.string()),
             ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("truncated", pa.bool_()),
             ("http", pa.binary()), ("payload", pa.binary()), ("problem", pa.string()),
+            ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("http_digest", pa.string()),
+            ("content_digest", pa.string()),
         ]
     )
 
     def run(batches):
         for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1)):
-                stream = gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))
-                yield from _batches(parse_arc(file.as_py(), io.BufferedReader(stream, 1 << 20)), kinds)
+            for file, data in zip(batch.column(0), batch.column(1)):
+                stream = gzip.GzipFile(fileobj=io.BytesIO(data.as_py()))
+                rows = parse_arc(file.as_py(), io.BufferedReader(stream, 1 << 20), content)
+                yield from _batches(rows, kinds)
 
     return _files(spark, path).mapInArrow(run, ARC_SCHEMA)
 
@@ -155,20 +163,6 @@ def http_header(http: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def _base32(hex_digest: Column) -> Column:
-    """40 hexadecimal digits as 32 characters of base 32: five digits are four characters."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-    def four(i):
-        value = F.conv(F.substr(hex_digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        part = lambda down: F.substr(
-            letters, F.pmod(F.floor(value / (1 << down)), F.lit(32)).cast("int") + 1, F.lit(1)
-        )
-        return F.concat(part(15), part(10), part(5), part(0))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
-
-
 def _urn(*parts: Column) -> Column:
     """A name-based identifier, the same for the same record in every run."""
     digest = F.sha1(F.encode(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "UTF-8"))
@@ -179,15 +173,55 @@ def _urn(*parts: Column) -> Column:
     )
 
 
-def convert(arc: DataFrame, order: Column, least: int = SHORTEST) -> DataFrame:
+def convert(
+    arc: DataFrame, order: Column, least: int = SHORTEST, digests: DataFrame | None = None
+) -> DataFrame:
     """WARC records of the readable ARC records: (record_id, type, uri, time, ip, payload_digest,
-    refers_to, refers_uri, refers_time, truncated, block).
+    refers_to, refers_uri, refers_time, truncated, block_digest, block).
 
     Of responses whose payloads are equal and have at least `least` bytes, the one with the
     greatest `order` (then file and offset; null is least) stays a response; the others become
     revisits. What is no HTTP answer becomes a resource and is never a revisit. Only digests are
-    grouped; a digest that many records share is combined map-side.
+    grouped; a digest that many records share is combined map-side. `digests` is the same archive
+    without its payloads, where that is cheaper to read than `arc` once more.
     """
+    rows = _described(arc, order)
+    first = _described(arc if digests is None else digests, order).where(
+        (F.col("type") == "response") & (F.col("payload_bytes") >= least)
+    )
+    first = first.groupBy("payload_digest").agg(
+        F.max(F.struct("rank", "record_id", "uri", "time")).alias("first"), F.count("*").alias("n")
+    )
+    first = stage(first.where("n > 1").drop("n"), "shared-payloads")
+    # Sent around while it is small, so that contents stay where they are; else they are shuffled.
+    joined = rows.join(F.broadcast(first) if fits(first) else first, "payload_digest", "left")
+    again = (
+        (F.col("type") == "response")
+        & (F.col("payload_bytes") >= least)
+        & F.col("first").isNotNull()
+        & (F.col("first.rank") != F.col("rank"))
+    )
+    return joined.select(
+        "record_id",
+        F.when(again, "revisit").otherwise(F.col("type")).alias("type"),
+        "uri",
+        "time",
+        "ip",
+        "payload_digest",
+        F.when(again, F.col("first.record_id")).alias("refers_to"),
+        F.when(again, F.col("first.uri")).alias("refers_uri"),
+        F.when(again, F.col("first.time")).alias("refers_time"),
+        "truncated",
+        F.when(again, F.col("http_digest")).otherwise(F.col("content_digest")).alias("block_digest"),
+        F.when(again, F.col("http"))
+        .when(F.col("http").isNull(), F.col("payload"))
+        .otherwise(F.concat("http", "payload"))
+        .alias("block"),
+    )
+
+
+def _described(arc: DataFrame, order: Column) -> DataFrame:
+    """The readable records with what WARC calls their type, address, time and identifier."""
     rows = arc.where("problem is null").select(
         F.when(F.col("http").isNull(), "resource").otherwise("response").alias("type"),
         F.col("url").alias("uri"),
@@ -201,37 +235,18 @@ def convert(arc: DataFrame, order: Column, least: int = SHORTEST) -> DataFrame:
             ]
         ).alias("time"),
         "ip",
-        _base32(F.sha1("payload")).alias("payload_digest"),
+        "payload_digest",
+        "payload_bytes",
+        "http_digest",
+        "content_digest",
         "truncated",
         "http",
         "payload",
         F.struct(order.alias("order"), F.col("file"), F.col("offset")).alias("rank"),
     )
-    rows = rows.withColumn(
+    return rows.withColumn(
         "record_id", _urn(F.col("uri"), F.col("time"), F.col("payload_digest"), F.col("rank.order"))
     )
-    can = (F.col("type") == "response") & (F.octet_length("payload") >= least)
-    first = rows.where(can).groupBy("payload_digest").agg(
-        F.max(F.struct("rank", "record_id", "uri", "time")).alias("first"), F.count("*").alias("n")
-    )
-    joined = rows.join(first.where("n > 1").drop("n"), "payload_digest", "left")
-    again = can & F.col("first").isNotNull() & (F.col("first.rank") != F.col("rank"))
-    return joined.select(
-        "record_id",
-        F.when(again, "revisit").otherwise(F.col("type")).alias("type"),
-        "uri",
-        "time",
-        "ip",
-        "payload_digest",
-        F.when(again, F.col("first.record_id")).alias("refers_to"),
-        F.when(again, F.col("first.uri")).alias("refers_uri"),
-        F.when(again, F.col("first.time")).alias("refers_time"),
-        "truncated",
-        F.when(again, F.col("http"))
-        .when(F.col("http").isNull(), F.col("payload"))
-        .otherwise(F.concat("http", "payload"))
-        .alias("block"),
-    )
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -247,7 +262,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         line("WARC-Target-URI", F.col("uri")),
         line("WARC-IP-Address", F.col("ip")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), _base32(F.sha1("block")))),
+        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), "block_digest")),
         F.when(F.col("type") == "revisit", line("WARC-Profile", F.lit(REVISIT))).otherwise(""),
         given("WARC-Refers-To", F.col("refers_to")),
         given("WARC-Refers-To-Target-URI", F.col("refers_uri")),
