@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONGEST = 64
-REMEMBERED = 300_000
-PIECE = 1 << 21
+REMEMBERED = 100_000
+PIECE = 1 << 20
 NONE = np.iinfo(np.int32).max
 
 #: Fixed value: how text is cut before merging.

@@ -398,14 +398,15 @@ def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFra
 
     def run(batches):
         for batch in batches:
-            values = list(text_sets(batch.column(0), settings.shingle))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([set_key(v) for v in values], pa.binary()),
-                    pa.array([v.tobytes() for v in values], pa.binary()),
-                ],
-                ["set_key", "set"],
-            )
+            for at in range(0, batch.num_rows, 512):
+                values = list(text_sets(batch.column(0).slice(at, 512), settings.shingle))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([set_key(v) for v in values], pa.binary()),
+                        pa.array([v.tobytes() for v in values], pa.binary()),
+                    ],
+                    ["set_key", "set"],
+                )
 
     wanted = _sent(nodes.select(F.col("first_doc").alias("_doc")).distinct())
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from postloom.sources.scratch import Workspace
 
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: A text is rejected from this chance of a grade above 0; texts without a feature stay far below.
 TOXIC_FROM = 0.25
 
@@ -249,7 +249,7 @@ def severity(
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` without those that `severity` calls toxic; other columns stay."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).alias("_text"))
-    judged = severity(rows, model, "_text", "_severity").where("not _severity.toxic")
-    return judged.select("_row.*")
+    out = "_severity"
+    while out in docs.columns:
+        out += "_"
+    return severity(docs, model, text, out).where(~F.col(out)["toxic"]).drop(out)
