@@ -26,7 +26,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With pseudonyms for personal data."""
-    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, every_phone=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

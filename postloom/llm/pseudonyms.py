@@ -184,25 +184,42 @@ def card(found: Column, key: str) -> Column:
     )
 
 
-def phone(found: Column, key: str) -> Column:
-    """North American numbers: area and exchange from 200 to 999; a country code stays."""
+#: Least area and exchange, and how many areas and exchanges: numbers that can be dialled, and the
+#: two parts of all others. Each part is permuted within itself.
+DIALLED = ("phone", 200, 200, 800, 800)
+NOT_DIALLED = (("phone-area", 0, 0, 200, 1000), ("phone-exchange", 200, 0, 800, 200))
+
+
+def phone(found: Column, key: str, every: bool = False) -> Column:
+    """North American numbers: area and exchange from 200 to 999; a country code stays. With
+    `every`, the other numbers of this shape too, among themselves."""
 
     def permuted(d):
         lead = F.length(d) - 10
         area, exchange, line = (_number(d, lead + at, n) for at, n in ((1, 3), (4, 3), (7, 4)))
-        state = feistel(
-            "phone", key, area - 200, (exchange - 200) * 10_000 + line, F.lit(800), F.lit(8_000_000)
-        )
-        new = _bind(
-            state,
-            lambda s: F.concat(
-                F.substr(d, F.lit(1), lead),
-                (s["a"] + 200).cast("string"),
-                _padded(F.floor(s["b"] / 10_000) + 200, 3),
-                _padded(s["b"] % 10_000, 4),
-            ),
-        )
-        return F.when((area >= 200) & (exchange >= 200), _refill(found, new)).otherwise(found)
+
+        def within(kind, least_area, least_exchange, areas, exchanges):
+            state = feistel(
+                kind, key, area - least_area, (exchange - least_exchange) * 10_000 + line,
+                F.lit(areas), F.lit(exchanges * 10_000),
+            )
+            new = _bind(
+                state,
+                lambda s: F.concat(
+                    F.substr(d, F.lit(1), lead),
+                    _padded(s["a"] + least_area, 3),
+                    _padded(F.floor(s["b"] / 10_000) + least_exchange, 3),
+                    _padded(s["b"] % 10_000, 4),
+                ),
+            )
+            return _refill(found, new)
+
+        out = F.when((area >= 200) & (exchange >= 200), within(*DIALLED))
+        if every:
+            low_area, low_exchange = NOT_DIALLED
+            out = out.when(area < 200, within(*low_area))
+            out = out.when(exchange < 200, within(*low_exchange))
+        return out.otherwise(found)
 
     return _bind(_digits(found), permuted)
 
@@ -304,7 +321,7 @@ def access_key(found: Column, key: str) -> Column:
     return F.concat(F.lit("AKIA"), permute_text("key", key, F.substr(found, F.lit(5))))
 
 
-def pseudonym(found: Column, key: str) -> Column:
+def pseudonym(found: Column, key: str, every_phone: bool = False) -> Column:
     """The pseudonym of one match, or the match where it is not valid."""
     whole = lambda pattern: found.rlike("^(?:" + pattern + ")$")
     return (
@@ -314,17 +331,23 @@ def pseudonym(found: Column, key: str) -> Column:
         .when(whole("[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), day_date(found, key))
         .when(whole("[0-9]{1,3}(?:[.][0-9]{1,3}){3}"), ipv4(found, key))
         .when(whole("[0-9]{3}-[0-9]{2}-[0-9]{4}"), ssn(found, key))
-        .when(whole(PHONE), phone(found, key))
+        .when(whole(PHONE), phone(found, key, every_phone))
         .otherwise(card(found, key))
     )
 
 
 def pseudonymise(
-    docs: DataFrame, key: str, text: str = "text", changed: str | None = None
+    docs: DataFrame,
+    key: str,
+    text: str = "text",
+    changed: str | None = None,
+    every_phone: bool = False,
 ) -> DataFrame:
     """`docs` with pseudonyms in `text`; with `changed`, a column of how many values were replaced
-    (null for a null text), in place of any column of that name. Null and empty texts stay as they
-    are, and so do all other columns. Rows are independent, so repeated rows stay equal."""
+    (null for a null text), in place of any column of that name. `every_phone` also replaces numbers
+    shaped like a phone whose area or exchange is below 200, which else count as not valid. Null and
+    empty texts stay as they are, and so do all other columns. Rows are independent, so repeated
+    rows stay equal."""
     columns = docs.columns
     hinted = F.col(f"`{text}`").rlike(HINT)
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
@@ -340,7 +363,9 @@ def pseudonymise(
     renamed = found.select(
         "_row",
         "_found",
-        F.when(hit, F.transform("_found", lambda m: pseudonym(m, key))).otherwise(none).alias("_new"),
+        F.when(hit, F.transform("_found", lambda m: pseudonym(m, key, every_phone)))
+        .otherwise(none)
+        .alias("_new"),
     )
     between = F.split(old, PATTERN, -1)
     pieces = F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))

@@ -146,7 +146,7 @@ def op7_minhash(spark, sf_dir):
 
 def op8_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, changed="n_replaced")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, changed="n_replaced", every_phone=True)
 
 
 def op9_quality(spark, sf_dir):

@@ -128,3 +128,38 @@ def test_no_python_in_the_plan(spark):
     out = pseudonyms.pseudonymise(documents(spark, ["1.2.3.4"]), KEY)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_phones_below_200_are_permuted_too(spark):
+    phones = [f"+1 ({7 * i:03d}) {(613 * i) % 1000:03d}-{i:04d}" for i in range(28)]
+    phones += [f"{200 + 31 * i} {8 * i:03d} {i:04d}" for i in range(25)]
+    docs = documents(spark, [f"call {p}." for p in phones] + ["+1 (386) 555-3733"])
+    rows = pseudonyms.pseudonymise(docs, KEY, changed="n", every_phone=True).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    out = [r.text.removeprefix("call ").removesuffix(".") for r in rows]
+    assert all(r.n == 1 for r in rows) and len(set(out)) == len(out)
+    assert out[-1] == replaced(spark, ["+1 (386) 555-3733"])[0][0]
+    for old, new in zip(phones, out):
+        assert new != old and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", old)
+        d = re.sub(r"\D", "", new)[-10:]
+        area, rest = int(d[:3]), int(d[3:])
+        if area < 200:
+            a, b = undo("phone-area", KEY, area, rest, 200, 10_000_000)
+        else:
+            a, b = undo("phone-exchange", KEY, area - 200, rest, 800, 2_000_000)
+            a += 200
+        assert f"{a:03d}{b:07d}" == re.sub(r"\D", "", old)[-10:]
+
+
+def test_the_query_leaves_no_phone(spark):
+    import __spark_entry__ as entry
+    from helpers import SF
+
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    old = {r.doc_id: r.text for r in docs.where(F.col("text").rlike(pseudonyms.PHONE)).collect()}
+    new = entry.queries()["op8_pseudonyms"](spark, SF.replace("0.001", "0.01"))
+    new = {r.doc_id: r.text for r in new.where(F.col("doc_id").isin(list(old))).collect()}
+    assert old
+    for i, text in old.items():
+        for found in re.finditer(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", text):
+            assert found.group() not in new[i]
