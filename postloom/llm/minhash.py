@@ -502,3 +502,24 @@ def drop_near_duplicates(
     several = left.join(repeated, F.col(doc) == F.col("_many"), "left_semi")
     one = several.groupBy(doc).agg(F.min_by(F.struct(*rest), F.col(text)).alias("_row"))
     return single.unionByName(one.select(doc, "_row.*").select(*columns))
+
+
+def drop_near_duplicate_rows(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", settings: Settings | None = None
+) -> DataFrame:
+    """`docs` with one row of each group: of its rows the one with the smallest id, null last, ties
+    by place in the table. Every row is a document of its own, so repeated and null ids neither
+    lose nor spare rows."""
+    key = "_place"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    # Written, so that the numbers stay.
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, key, text, settings).select(key, "component_id")
+    found = found.join(rows.select(key, F.col(doc).alias("_id")), key)
+    order = F.struct(F.col("_id").isNull(), "_id", F.col(key).alias("place"))
+    groups = found.groupBy("component_id").agg(F.min(order).alias("_least"), F.count("*").alias("_n"))
+    drop = found.join(groups.where("_n > 1"), "component_id")
+    drop = drop.where(F.col(key) != F.col("_least.place")).select(F.col(key).alias("_drop"))
+    drop = _sent(stage(drop, "dropped"))
+    return rows.join(drop, F.col(key) == F.col("_drop"), "left_anti").drop(key)

@@ -72,6 +72,31 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r.doc_id, r.text or "") for r in twice.collect()) == [(1, "a"), (2, "")]
 
 
+def test_repeated_and_null_ids_neither_lose_nor_spare_rows(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "p q r s t u v")
+    rows = [
+        (1, "b b b b b b"), (1, "a"), (2, None), (2, None), (5, a), (5, b), (3, a.upper()),
+        (None, a), (None, c), (None, c), (None, None), (7, b + " "), (8, "x y"), (8, "x y"),
+    ]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    docs = docs.withColumnRenamed("node", "_place").repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    kept = left.collect()
+    want = [
+        (1, "b b b b b b"), (1, "a"), (2, None), (2, None), (5, b), (3, a.upper()), (None, c),
+        (None, None), (8, "x y"),
+    ]
+    assert sorted([(r.doc_id, r.text) for r in kept], key=str) == sorted(want, key=str)
+    assert all(r.lang == "en" and r.source == "s" and r.n_chars == 0 for r in kept)
+    texts = family_texts(11)
+    left = minhash.drop_near_duplicate_rows(documents(spark, texts).repartition(5))
+    assert {r.doc_id for r in left.collect()} == set(components(range(len(texts)), texts, 5).values())
+    assert minhash.drop_near_duplicate_rows(documents(spark, [])).count() == 0
+
+
 def test_posterior_bound_is_monotone_and_spares_the_similar():
     settings = minhash.Settings()
     least = minhash.least_matches(settings)
