@@ -95,3 +95,36 @@ def test_digest_of_the_extra_conversation(spark):
     assert row.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
     assert (row.n_turns, row.loss_chars) == (2, len(said))
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_a_conversation_of_20_000_turns(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr(
+        "cast(null as long) as conv_id", "id as turn",
+        "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text",
+    )
+    short = turns(spark, [(5, [("user", "t0"), ("assistant", "t1"), ("user", "other")])])
+    sequence, members = chat.pack(rows.unionByName(short.select(rows.columns)))
+    assert sequence.count() == n + 1 and members.count() == 2
+    ends = sequence.agg(F.max("end"), F.sum(F.col("end") - F.col("start"))).first()
+    assert ends[0] == ends[1] == sequence.agg(F.sum(F.char_length("segment"))).first()[0]
+    assert sequence.where(F.size("attends") != F.col("depth")).count() == 0
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(sequence, members).collect()}
+    assert back[None] == [(("user", "assistant")[i % 2], f"t{i}") for i in range(n)]
+    assert back[5] == [("user", "t0"), ("assistant", "t1"), ("user", "other")]
+
+
+def test_conversations_in_several_ranges(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        test_shared_turns_are_emitted_once_depth_first(spark)
+        said = [("user", f"{i}") for i in range(300)]
+        convs = [(1, said), (None, said[:200] + [("user", "x")]), (3, said[:100])]
+        sequence, members = chat.pack(turns(spark, convs))
+        rows = sorted(sequence.collect(), key=lambda r: r.start)
+        assert len(rows) == 301 and [r.start for r in rows[1:]] == [r.end for r in rows[:-1]]
+        back = chat.read_back(sequence, members).collect()
+        assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back} == dict(convs)
+    finally:
+        spark.conf.unset(name)
