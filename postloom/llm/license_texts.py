@@ -69,4 +69,27 @@ NOTICES = [
         "copy of the MPL was not distributed with this file, You can obtain one at "
         "http://mozilla.org/MPL/2.0/.",
     ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License v3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License v2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."),
 ]
+
+#: Words that tell licences apart. Where a notice has such a run, its first one must be matched
+#: whole, and other words than `HARMLESS` must not be put in beside it.
+TELLING = [
+    "MIT", "Apache", "GNU General Public", "GNU Lesser General Public", "GNU Affero General Public",
+    "Mozilla Public", "CC BY", "CC BY-NC", "CC BY-SA", "CC BY-ND", "CC BY-NC-SA", "CC BY-NC-ND",
+    "Creative Commons Attribution", "Creative Commons Attribution-ShareAlike", "2.1", "2.0",
+    "3.0", "4.0", "2", "3", "v2", "v3",
+]
+HARMLESS = "a an the version v license licence"
+#: Words whose pairs say too little to look for a notice.
+COMMON = "under the is of"

@@ -3,9 +3,11 @@
 Every run of `gram` words of a template has a hash; of each `window` neighbouring hashes the
 least is a fingerprint. An inverted index leads from fingerprints to (template, place). Texts are
 winnowed the same way, so a shared run of gram + window - 1 words always shares a fingerprint.
+Of a template of fewer than `short` words every pair of neighbouring words is indexed, and looked
+for at every place of a text.
 Each shared one proposes that the template starts at a certain word of the text. Around each
 proposal the template is aligned with the text inside a band of `band` words to either side, or
-half the template where that is less.
+half the template where that is less. The words that tell licences apart must be among the matched.
 """
 
 from collections import defaultdict
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.license_texts import NOTICES
+from postloom.llm.license_texts import COMMON, HARMLESS, NOTICES, TELLING
 from postloom.llm.words import ALNUM, LOWER, find_words, hash_words, shingles, text_pieces
 
 
@@ -28,6 +30,7 @@ class Settings:
     window: int = 3
     band: int = 8
     least: float = 0.8
+    short: int = 20
 
 
 def winnow(values: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +58,10 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], settings: Settings):
         self.settings, self.names, self.words = settings, [], []
-        places = defaultdict(list)
+        places, pairs = defaultdict(list), defaultdict(list)
+        telling = sorted((_words(t) for t in TELLING), key=len, reverse=True)
+        common = set(_words(COMMON))
+        self.harmless, self.telling = set(_words(HARMLESS)), []
         for name, text in templates:
             for data, words, hashes in hashed_words(pa.array([text], pa.string())):
                 if not len(hashes):
@@ -63,11 +69,59 @@ class Index:
                 number = len(self.names)
                 self.names.append(name)
                 self.words.append(hashes)
+                own = hashes.tolist()
+                self.telling.append(_telling_runs(own, telling))
+                if len(own) < settings.short:
+                    for place, value in enumerate(shingles(hashes, words.first, 2)[0].tolist()):
+                        if not common.issuperset(own[place : place + 2]):
+                            pairs[value].append((number, place))
+                    continue
                 values, first = shingles(hashes, words.first, settings.gram)
                 for place in winnow(values, first, settings.window)[1].tolist():
                     places[int(values[place])].append((number, place))
         self.fingerprints = np.array(sorted(places), np.uint64)
         self.places = [places[f] for f in self.fingerprints.tolist()]
+        self.pairs = np.array(sorted(pairs), np.uint64)
+        self.pair_places = [pairs[f] for f in self.pairs.tolist()]
+
+    def told(self, template: int, text: list[int]) -> bool:
+        """Whether the telling runs of the template are in the matched words of a text."""
+        own = self.words[template].tolist()
+        return all(
+            any(
+                text[at : at + b - a] == own[a:b]
+                and self._beside(own[:a][::-1], text[:at][::-1])
+                and self._beside(own[b:], text[at + b - a :])
+                for at in range(len(text) - (b - a) + 1)
+            )
+            for a, b in self.telling[template]
+        )
+
+    def _beside(self, own: list[int], text: list[int]) -> bool:
+        """No word but harmless ones is put in before the template's next word. Another word may
+        stand in its place."""
+        if not own or not text or own[0] == text[0] or own[1:2] == text[1:2] != []:
+            return True
+        near = text[:4]
+        return own[0] not in near or self.harmless.issuperset(near[: near.index(own[0])])
+
+
+def _words(text: str) -> list[int]:
+    return [h for _, _, hashes in hashed_words(pa.array([text], pa.string())) for h in hashes.tolist()]
+
+
+def _telling_runs(own: list[int], telling: list[list[int]]) -> list[tuple[int, int]]:
+    """(place, end) of the first one of each telling run; the longer ones are looked for first."""
+    taken, runs = set(), []
+    for run in telling:
+        for a in range(len(own) - len(run) + 1):
+            b = a + len(run)
+            if own[a:b] == run:
+                if taken.isdisjoint(range(a, b)):
+                    runs.append((a, b))
+                    taken.update(range(a, b))
+                break
+    return runs
 
 
 def hashed_words(texts: pa.Array):
@@ -129,7 +183,7 @@ def matches_in(words: np.ndarray, shared: list[tuple[int, int]], index: Index):
         for start in [*ordered, None]:
             if group and (start is None or start - group[0] > band):
                 n, first, end = align(own, words, group[len(group) // 2], band)
-                if n >= settings.least * len(own):
+                if n >= settings.least * len(own) and index.told(template, words[first:end].tolist()):
                     found.append((template, n, first, end))
                 group = []
             if start is not None:
@@ -156,8 +210,8 @@ def scan(
     `coverage` is the matched share of the template's words; words are counted from 0, `start`
     and `end` are characters of the text. Null and empty texts match nothing, nor does any text
     where there are no templates. Repeated rows give their matches one by one. Templates are a
-    short list that the caller gives; one of fewer than `gram` words is only seen in texts as
-    short, and one without words never. Other columns of `docs` are not read.
+    short list that the caller gives; one of a single word is only seen in texts as short, and
+    one without words never. Other columns of `docs` are not read.
     """
     settings = settings or Settings()
 
@@ -189,19 +243,29 @@ def scan(
     return found.withColumnRenamed("doc", doc)
 
 
+def _propose(shared, text, place, value, known: np.ndarray, places):
+    if not len(known):
+        return
+    at = np.searchsorted(known, value)
+    at[at == len(known)] = 0
+    hits = np.flatnonzero(known[at] == value)
+    for t, p, f in zip(text[hits].tolist(), place[hits].tolist(), at[hits].tolist()):
+        shared[t] += [(template, p - own) for template, own in places[f]]
+
+
 def _piece(data, words, hashes, index: Index):
     settings = index.settings
-    if not len(index.fingerprints) or not len(hashes):
+    if not len(hashes):
         return
+    shared = defaultdict(list)
     values, first = shingles(hashes, words.first, settings.gram)
     text, place = winnow(values, first, settings.window)
-    value = values[first[text] + place]
-    at = np.searchsorted(index.fingerprints, value)
-    at[at == len(index.fingerprints)] = 0
-    hits = np.flatnonzero(index.fingerprints[at] == value)
-    shared = defaultdict(list)
-    for t, p, f in zip(text[hits].tolist(), place[hits].tolist(), at[hits].tolist()):
-        shared[t] += [(template, p - own) for template, own in index.places[f]]
+    _propose(shared, text, place, values[first[text] + place], index.fingerprints, index.places)
+    values, first = shingles(hashes, words.first, 2)
+    counts = np.diff(first)
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(values)) - np.repeat(first[:-1], counts)
+    _propose(shared, text, place, values, index.pairs, index.pair_places)
     character = None
     for t, proposals in shared.items():
         a, b = words.first[t], words.first[t + 1]

@@ -71,3 +71,32 @@ def test_alignment_equals_a_plain_one():
         text = [rng.randrange(6) for _ in range(5)] + template[:4] + [9] + template[4:8] + template[9:]
         got, first, end = licenses.align(np.array(template), np.array(text), 5, 8)
         assert got >= 11 - 1 and first <= 5 and end >= len(text) - 1
+
+
+def test_edited_and_neighbouring_short_notices(spark):
+    want = {
+        "Released under the MIT Licence.": "MIT",
+        "Released under an MIT License.": "MIT",
+        "Licensed under the Apache Licence, Version 2.0.": "Apache-2.0",
+        "Licensed under the Apache License 2.0.": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+        "Released under the MIT No Attribution License.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License v3.": "GPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "Licensed under CC BY 3.0.": "CC-BY-3.0",
+        "Licensed under CC BY, version 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    }
+    rng = random.Random(4)
+    filler = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30)))
+    lines = [line for line in want for _ in range(40)]
+    rows = found(spark, [f"{filler()} {line} {filler()}" for line in lines])
+    got = {i: set() for i in range(len(lines))}
+    for r in rows:
+        got[r.doc_id].add(r.license)
+    wrong = {(lines[i], *v) for i, v in got.items() if v != ({want[lines[i]]} - {None})}
+    assert not wrong
+    long = NOTICES[6][1].replace("GNU General", "GNU Lesser General")
+    assert not found(spark, [long]) and len(found(spark, [NOTICES[6][1]])) == 1
