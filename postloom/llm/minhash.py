@@ -518,8 +518,10 @@ def drop_near_duplicate_rows(
     found = near_duplicates(rows, key, text, settings).select(key, "component_id")
     found = found.join(rows.select(key, F.col(doc).alias("_id")), key)
     order = F.struct(F.col("_id").isNull(), "_id", F.col(key).alias("place"))
-    groups = found.groupBy("component_id").agg(F.min(order).alias("_least"), F.count("*").alias("_n"))
-    drop = found.join(groups.where("_n > 1"), "component_id")
-    drop = drop.where(F.col(key) != F.col("_least.place")).select(F.col(key).alias("_drop"))
+    least = found.groupBy("component_id").agg(F.min(order).alias("_least"))
+    least = least.select(F.col("_least.place").alias("_kept"))
+    # By row, not by group, so that a large group is spread.
+    drop = found.join(least, F.col(key) == F.col("_kept"), "left_anti")
+    drop = drop.select(F.col(key).alias("_drop"))
     drop = _sent(stage(drop, "dropped"))
     return rows.join(drop, F.col(key) == F.col("_drop"), "left_anti").drop(key)
