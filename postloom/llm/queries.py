@@ -11,6 +11,7 @@ from postloom.llm import (
     langid,
     licenses,
     minhash,
+    periodic_runs,
     pseudonyms,
     quality,
     toxicity,
@@ -157,6 +158,50 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h the crc32 of the id, every tenth document by h repeats a stretch of
+    its words to its end; texts are left as they are elsewhere."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).withColumn(
+        "ws",
+        F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))),
+    )
+    rows = rows.withColumn("n", F.size("ws").cast("int"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), times))
+    changed = F.slice(F.concat(F.slice("ws", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n"))
+    return rows.select(
+        "doc_id",
+        F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = _periodic_tails(table(spark, sf_dir, "documents"))
+    found = periodic_runs.detect(docs).select("doc_id", "periodic.*")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    order = lambda x, y: (
+        F.when(x["length"] != y["length"], F.signum(y["length"] - x["length"]))
+        .when(x["start"] != y["start"], F.signum(x["start"] - y["start"]))
+        .otherwise(F.signum(x["period"] - y["period"]))
+        .cast("int")
+    )
+    longest = F.try_element_at(F.array_sort("runs", order), F.lit(1))
+    return found.withColumn("_longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"_longest.{name}").alias(name) for name in ("start", "length", "period")],
+        F.expr("1000 * _longest.length div _longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias(
+            "runs_sha256"
+        ),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -168,4 +213,5 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op13_periodic_runs": op13_periodic_runs,
 }
