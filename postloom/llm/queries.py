@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import (
+    align,
     bpe,
     chat,
     decontaminate,
@@ -18,7 +19,7 @@ from postloom.llm import (
     warc,
 )
 from postloom.llm.oracles import ORACLES  # noqa: F401
-from postloom.sources.scratch import new_path, remove
+from postloom.sources.scratch import new_path, remove, stage
 
 #: Anyone who has the key can undo the pseudonyms: a real run reads it from its secrets.
 PSEUDONYM_KEY = "not a secret"
@@ -158,6 +159,16 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark, sf_dir):
+    piece_path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    found = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), piece_path)
+    scored = align.link_scores(stage(found, "aligned"), align.vocabulary_size(piece_path))
+    return scored.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def _periodic_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): with h the crc32 of the id, every tenth document by h repeats a stretch of
     its words to its end; texts are left as they are elsewhere."""
@@ -213,5 +224,6 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op12_align": op12_align,
     "op13_periodic_runs": op13_periodic_runs,
 }
