@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.words import NOT_BLANK, find_words, hash_words, mix, text_pieces
+from postloom.llm.words import NOT_BLANK, find_words, hash_words, joined_words, mix, text_pieces
 
 #: A run has at least so many words, and at least so many periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -308,38 +308,13 @@ def _answers(texts: pa.Array):
         np.add.at(edges, start + period, 1)
         np.add.at(edges, end, -1)
         dropped = np.cumsum(edges[:-1]) > 0
-        collapsed = _joined(data, words, ~dropped)
+        collapsed = joined_words(data, words, ~dropped)
         yield pa.StructArray.from_arrays(
             [pa.array(words.counts.astype(np.int64)), runs, collapsed],
             ["n_words", "runs", "collapsed"],
         )
 
 
-def _joined(data: np.ndarray, words, kept: np.ndarray) -> pa.Array:
-    """The kept words of each text, joined by one space."""
-    at = np.flatnonzero(kept)
-    lengths = words.ends[at] - words.starts[at]
-    rows = words.text[at]
-    last = np.ones(len(at), bool)
-    last[:-1] = rows[1:] != rows[:-1]
-    room = lengths + ~last
-    ends = np.cumsum(room)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-    source = np.repeat(words.starts[at] - (ends - room), lengths)
-    target = np.repeat(ends - room, lengths) + _steps(lengths)
-    out[target] = data[source + target]
-    bounds = np.concatenate([[0], ends])[np.searchsorted(rows, np.arange(len(words.first)), "left")]
-    return pa.LargeStringArray.from_buffers(
-        len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)
-    ).cast(pa.string())
-
-
-def _steps(lengths: np.ndarray) -> np.ndarray:
-    """0, 1, .. for each length in turn."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-
-
 RUN = T.StructType([T.StructField(name, T.LongType()) for name in ("start", "length", "period")])
 PERIODIC = T.StructType(
     [

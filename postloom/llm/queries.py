@@ -10,6 +10,7 @@ from postloom.llm import (
     chat,
     decontaminate,
     langid,
+    lempel_ziv,
     licenses,
     minhash,
     periodic_runs,
@@ -19,6 +20,7 @@ from postloom.llm import (
     warc,
 )
 from postloom.llm.oracles import ORACLES  # noqa: F401
+from postloom.operators.joins import hot_keys, spread_join
 from postloom.sources.scratch import new_path, remove, stage
 
 #: Anyone who has the key can undo the pseudonyms: a real run reads it from its secrets.
@@ -159,6 +161,21 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = lempel_ziv.repeated_stretches(docs)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    small = stage(
+        found.select(
+            "key", "copies", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+        ),
+        "kept",
+    )
+    keyed = docs.select("doc_id", lempel_ziv.text_key(F.col("text")).alias("key"))
+    hot = hot_keys(small, "key", "copies", lempel_ziv.ROWS_PER_TASK)
+    return spread_join(keyed, small, "key", "inner", hot=hot, rows="copies").drop("key")
+
+
 def op12_align(spark, sf_dir):
     piece_path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
@@ -224,6 +241,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_align": op12_align,
     "op13_periodic_runs": op13_periodic_runs,
 }

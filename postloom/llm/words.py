@@ -138,3 +138,20 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     here[first[:-1][short]] = True
     per_text = np.where(counts >= k, counts - k + 1, short)
     return values[here], np.concatenate([[0], np.cumsum(per_text)])
+
+
+def joined_words(data: np.ndarray, words: Words, kept: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space."""
+    at = np.flatnonzero(kept)
+    lengths, rows = words.ends[at] - words.starts[at], words.text[at]
+    last = np.ones(len(at), bool)
+    last[:-1] = rows[1:] != rows[:-1]
+    room = lengths + ~last
+    ends = np.cumsum(room)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    steps = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(ends - room, lengths) + steps] = data[np.repeat(words.starts[at], lengths) + steps]
+    bounds = np.concatenate([[0], ends])[np.searchsorted(rows, np.arange(len(words.first)), "left")]
+    return pa.LargeStringArray.from_buffers(
+        len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)
+    ).cast(pa.string())
