@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.bpe import PATTERN, Vocabulary
-from postloom.llm.words import mix, text_pieces
+from postloom.llm.words import mix, pieces, text_pieces
 from postloom.operators.joins import hot_keys, spread_join
 from postloom.sources.scratch import Workspace, stage
 
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Windows that a task remembers; about 600 bytes each.
-REMEMBERED = 150_000
-#: Pairs that a task counts before it hands them on.
-COUNTED = 1 << 19
+REMEMBERED = 60_000
+#: Pairs that a task counts before it hands them on, and links that are looked at together.
+COUNTED, LINKS = 1 << 18, 1 << 18
 #: Linked id pairs that are sent to every task, 16 bytes each; more are joined.
 MAX_SENT_PAIRS = 4_000_000
 
@@ -298,11 +298,12 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         held = []
         for batch in batches:
             codes = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            held.append(np.unique(codes, return_counts=True))
-            if sum(len(c) for c, _ in held) > COUNTED:
-                held = [_summed(held)]
-            if len(held[0][0]) > COUNTED:
-                yield from _rows(*held.pop())
+            for at in range(0, len(codes), LINKS):
+                held.append(np.unique(codes[at : at + LINKS], return_counts=True))
+                if sum(len(c) for c, _ in held) > 2 * COUNTED:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > COUNTED:
+                        yield from _rows(*held.pop())
         if held:
             yield from _rows(*_summed(held))
 
@@ -359,16 +360,19 @@ def _scored_by_sent(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             codes, n, best = sent.value
             links = batch.column(len(others))
-            at = np.searchsorted(codes, links.flatten().to_numpy(zero_copy_only=False))
             ends = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(others)],
-                    pa.array(_sums(best[at].astype(np.int64), ends)),
-                    pa.array(_sums(n[at], ends)),
-                ],
-                [*others, "n_best", "count_sum"],
-            )
+            for i, j in pieces(ends, LINKS):
+                own = links.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+                at = np.searchsorted(codes, own)
+                bounds = ends[i : j + 1] - ends[i]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[c.slice(i, j - i) for c in batch.columns[: len(others)]],
+                        pa.array(_sums(best[at].astype(np.int64), bounds)),
+                        pa.array(_sums(n[at], bounds)),
+                    ],
+                    [*others, "n_best", "count_sum"],
+                )
 
     kept = aligned.select(*others, "links")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.select(*others).schema]
