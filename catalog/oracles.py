@@ -562,4 +562,49 @@ union all
 select case when role = 'system' then 'no date' end, count(*) from reasons
 where page_reason is null group by 1""",
     "incremental_scores": _TURN_SCORES,
+    "incremental_last_pages": f"""with shown as (
+  select *, max(turn) over (partition by conv_id) // {POSTS_PER_PAGE} + 1 as last_page,
+    turn // {POSTS_PER_PAGE} + 1 as page_no from conversations),
+kept as (
+  select *, (row_number() over (partition by conv_id order by turn))::integer as post_index
+  from shown where page_no = last_page and conv_id % 7 <> 3)
+select '{HOST}/t' || conv_id as thread_url, last_page::integer as last_page, null::varchar as reason,
+  post_index, 'Thread ' || conv_id as thread_title, role || '#' || turn as post_date,
+  {_lines('text')} as post_content, '{SITE_2.source_url}' as source_url
+from kept
+union all
+select distinct '{HOST}/t' || conv_id, last_page::integer, 'no page', null::integer, 'Thread ' || conv_id,
+  null, null, '{SITE_2.source_url}'
+from shown where conv_id % 7 = 3 and last_page > 1""",
+    "incremental_titles": f"""with {_SITE_3}
+select thread_url, {_CANONICAL}, null::varchar as reason from post
+where regexp_extract(thread_url, '/t(\\d+)$', 1)::bigint % 7 <> 3
+union all
+select distinct '{HOST}/t' || conv_id, null::integer, null, null, null, '{SITE_3.source_url}', 'no title'
+from conversations where conv_id % 7 = 3""",
+    "enrich_via": f"""with {_MEMORY.format(langs="'fr', 'de'")},
+shown as (select doc_id, text, regexp_replace(text, '[ \\n]+', '  ' || chr(10) || ' ', 'g') as apart from documents),
+kinds as (
+  select doc_id, 'as it is' as kind, text from shown
+  union all select doc_id, 'apart', apart from shown
+  union all select doc_id, 'unknown', regexp_replace(apart, '([^ \\n]+)', 'x\\1', 'g') from shown),
+keyed as (select kind || doc_id as id, * from kinds),
+{_tokens('keyed', 'id', 'text')},
+english as (
+  select id, string_agg(coalesce(g.target, w), ' ' order by i) as glossed, count(g.target) as hits
+  from token left join (values {values(GLOSSARY)}) g(tok, target) on g.tok = lower(w) group by id)
+select doc_id, kind,
+  case when {_trim('text')} = '' then '' when target_text is not null then target_text
+    when hits > 0 then glossed else text end as translated_post_content,
+  case when {_trim('text')} = '' then 'blank' when target_text is not null then 'memory'
+    when hits > 0 then 'glossary' else 'original' end as via
+from keyed left join memory on text = source_text left join english using (id)""",
+    "page_counts_defaulted": f"""with thread as (
+  select conv_id, max(turn) // {POSTS_PER_PAGE} + 1 as n from conversations group by 1),
+taken as (select *, case when conv_id % 3 = 2 then 1 else n end as last_page from thread),
+post as (select * from conversations join taken using (conv_id) where turn // {POSTS_PER_PAGE} + 1 = last_page)
+select 'thread' as stage, 'site2' as source, 'kept' as reason, count(*) as rows from thread
+union all select 'post', 'site2', 'kept', count(*) from post
+union all select 'page count', 'site2', 'one page or no label', count(*) from taken where last_page = 1
+union all select 'page count', 'site2', 'defaulted', count(*) from thread where conv_id % 3 = 2""",
 }

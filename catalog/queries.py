@@ -32,6 +32,7 @@ from postloom.sources.posts_csv import read_posts, rejected_posts, write_posts,
 from postloom.sources.scratch import new_path
 from postloom.sources.tables import VersionedTable, append_each, append_sources
 from postloom.streaming.incremental import append_new, enrich_new, new_files
+from postloom.streaming.threads import last_page_extracts, last_page_outcomes, titled_pages
 
 SITES = {"site1": SITE_1, "site2": SITE_2, "site3": SITE_3}
 QUERIES = {}
@@ -727,12 +728,8 @@ def scored_posts(spark, sf):
 @query
 def scored_site_posts(spark, sf):
     rows = all_posts([site_extraction(spark, sf, name) for name in SITES])
-    return enrich(
-        rows,
-        vocabulary.lexicon(spark),
-        glossary=vocabulary.glossary(spark),
-        rules=vocabulary.RULES,
-    ).drop("via")
+    found = translate.glossary_translate(rows, vocabulary.glossary(spark), "post_content")
+    return sentiment.score(found, vocabulary.lexicon(spark), rules=vocabulary.RULES)
 
 
 @query
@@ -747,7 +744,28 @@ def enrich_by_backend(spark, sf):
 
 @query
 def enrich_memory_then_glossary(spark, sf):
+    """Texts that the memory lacks, token by token, whether or not a token has an entry."""
+    docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
+    found = translate.translate(docs, _memory(spark, sf), "text", out="remembered")
+    found = translate.glossary_translate(found, vocabulary.glossary(spark), "text")
+    known = F.col("via") == "memory"
+    return found.select(
+        "doc_id",
+        F.when(known, F.col("remembered")).otherwise(F.col(translate.TRANSLATED)).alias(translate.TRANSLATED),
+        known.alias("known"),
+    )
+
+
+@query
+def enrich_via(spark, sf):
+    """What translated each text, over the documents, copies of which every word lies apart by
+    blanks and line breaks, and copies without a word that the glossary knows."""
     docs = dealt_table(spark, sf, "documents").select("doc_id", "text")
+    apart = F.regexp_replace("text", r"[ \n]+", "  \n ")
+    unknown = F.regexp_replace(apart, r"([^ \n]+)", "x$1")
+    docs = docs.select("doc_id", F.lit("as it is").alias("kind"), "text").unionByName(
+        docs.select("doc_id", F.lit("apart").alias("kind"), apart.alias("text"))
+    ).unionByName(docs.select("doc_id", F.lit("unknown").alias("kind"), unknown.alias("text")))
     found = enrich(
         docs,
         vocabulary.lexicon(spark),
@@ -756,7 +774,20 @@ def enrich_memory_then_glossary(spark, sf):
         rules=vocabulary.RULES,
         text="text",
     )
-    return found.select("doc_id", translate.TRANSLATED, (F.col("via") == "memory").alias("known"))
+    return found.select("doc_id", "kind", translate.TRANSLATED, "via")
+
+
+@query
+def page_counts_defaulted(spark, sf):
+    """Site 2 with no label on the pages of threads whose number leaves 2 (by 3), so that their
+    first page passes for the last; counted apart from real threads of one page."""
+    number = F.regexp_extract("url", r"/t(\d+)", 1).cast("long")
+    bare = F.regexp_replace("html", r"Sidan \d+ av \d+<", "<")
+    pages = forum.pages(spark, sf, "site2").withColumn(
+        "html", F.when(number % 3 == 2, bare).otherwise(F.col("html"))
+    )
+    found = extract_source(forum.listings(spark, sf, "site2"), pages, SITE_2)
+    return run_counts({"site2": found}).where("stage in ('page count', 'thread', 'post')")
 
 
 # Streams
@@ -838,3 +869,60 @@ def incremental_scores(spark, sf):
     for _ in range(2):  # the second run finds nothing new
         enrich_new(new_files(spark, folder, rows.schema, files_per_batch=1), enriched, out, log)
     return spark.read.parquet(out).drop("stream_id", "batch_id")
+
+
+def _seen(url, column):
+    """Pages of a crawl that took a quarter of an hour, in no order of threads."""
+    second = F.pmod(F.xxhash64(url), F.lit(900)).cast("int")
+    return F.timestamp_seconds(F.lit(1_700_000_000) + second).alias(column)
+
+
+def _arrivals(spark, rows, time, lots=3):
+    """The rows in files that arrive lot by lot, and a last file a day later, with a row that has
+    nothing but its time: a stream's watermark passes what came before only when something
+    newer comes."""
+    path = new_path(spark, "arrivals")
+    lot = F.pmod(F.xxhash64(*rows.columns), F.lit(lots))
+    for i in range(lots):
+        rows.where(lot == i).repartition(2).write.mode("append").parquet(path)
+    beat = spark.sql("select timestamp_seconds(1700000000) + interval 3 days as t")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != time]
+    beat.select(*empty, F.col("t").alias(time)).select(rows.columns).write.mode("append").parquet(path)
+    return new_files(spark, path, rows.schema, files_per_batch=2).withWatermark(time, "1 hour")
+
+
+@query
+def incremental_last_pages(spark, sf):
+    """Site 2's last pages as pages arrive out of order, then their titles from listings that
+    arrive as well. Of threads whose number leaves 3 (by 7) the last page never comes."""
+    pages = forum.pages(spark, sf, "site2").withColumn("thread", F.regexp_replace("url", r"p\d+$", ""))
+    number = F.regexp_extract("thread", r"/t(\d+)$", 1).cast("long")
+    label = F.regexp_extract("html", r"Sidan (\d+) av (\d+)<", 1) == F.regexp_extract(
+        "html", r"Sidan (\d+) av (\d+)<", 2
+    )
+    pages = pages.where(~((number % 7 == 3) & label)).select("url", "html", _seen("url", "crawled"))
+    # Threads of one page, of which nothing came, are unknown to the stream.
+    read = extract.read_threads(_arrivals(spark, pages, "crawled"), SITE_2).where("url is not null or n_items = 0")
+    out = new_path(spark, "last-pages")
+    append_new(last_page_extracts(read, "crawled"), out, new_path(spark, "log"))
+    found = spark.read.parquet(out).where("thread_url is not null")
+    titles = extract.has_address(extract.listing_links(forum.listings(spark, sf, "site2"), SITE_2))
+    found = found.join(titles.select("thread_url", "thread_title"), "thread_url", "left")
+    rows = last_page_outcomes(found, SITE_2)
+    return rows.select("thread_url", "last_page", "reason", *posts.CANONICAL)
+
+
+@query
+def incremental_titles(spark, sf):
+    """Site 3's pages and listings both as streams: titles come before and after their pages, and
+    those of threads whose number leaves 3 (by 7) never."""
+    pages = forum.pages(spark, sf, "site3").select("url", "html", _seen("url", "crawled"))
+    listed = forum.listings(spark, sf, "site3").select("url", "html", _seen("url", "listed"))
+    read = extract.read_threads(_arrivals(spark, pages, "crawled"), SITE_3)
+    links = extract.listing_links(_arrivals(spark, listed, "listed"), SITE_3)
+    gone = F.regexp_extract("thread_url", r"/t(\d+)$", 1).cast("long") % 7 == 3
+    links = extract.has_address(links).where(~gone).select("thread_url", "thread_title", "listed")
+    out = new_path(spark, "posts")
+    titled = titled_pages(read, links, "crawled", "listed")
+    append_new(posts.page_outcomes(titled, SITE_3, need_title=True), out, new_path(spark, "log"))
+    return spark.read.parquet(out).drop("source", "url")

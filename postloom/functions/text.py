@@ -49,9 +49,14 @@ def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(NA_TOKENS), c)
 
 
+def shown_page_count(label: Column) -> Column:
+    """Y of "page X of Y"; null when the label is absent or reads otherwise."""
+    return F.regexp_extract(label, PAGE_COUNT, 1).try_cast("int")
+
+
 def page_count(label: Column) -> Column:
     """Y of "page X of Y"; 1 when the label is absent or reads otherwise."""
-    return F.coalesce(F.regexp_extract(label, PAGE_COUNT, 1).try_cast("int"), F.lit(1))
+    return F.coalesce(shown_page_count(label), F.lit(1))
 
 
 def last_page_url(thread_url: Column, pages: Column) -> Column:

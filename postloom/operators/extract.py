@@ -14,7 +14,7 @@ from postloom.functions.select import (
     text_joined,
     zip_truncate,
 )
-from postloom.functions.text import absolute_url, page_count, prefixed_url
+from postloom.functions.text import absolute_url, page_count, prefixed_url, shown_page_count
 from postloom.sites import CELL, CELL_LINK, CELL_LINK_BASE, Site
 
 TEXTS, NODES = "page.texts", "page.nodes"
@@ -145,8 +145,9 @@ def lacks_address(threads: DataFrame) -> DataFrame:
 def read_threads(pages: DataFrame, site: Site) -> DataFrame:
     """One small row per page: title, counts and posts, in place of the html.
 
-    Columns: the page's own, then readable, page_title, n_items, n_dates, page_count and
-    posts array<struct<post_index, post_date, post_content>>. n_items counts before pairing.
+    Columns: the page's own, then readable, page_title, n_items, n_dates, page_count,
+    page_count_found (whether the page shows it) and posts array<struct<post_index, post_date,
+    post_content>>. n_items counts before pairing.
     """
     parsed = outlines(pages)
     others = [c for c in parsed.columns if c != "page"]
@@ -194,5 +195,10 @@ def read_threads(pages: DataFrame, site: Site) -> DataFrame:
         (page_count(text_inline(TEXTS, F.col("_label"))) if site.page_label else F.lit(1)).alias(
             "page_count"
         ),
+        (
+            shown_page_count(text_inline(TEXTS, F.col("_label"))).isNotNull()
+            if site.page_label
+            else F.lit(False)
+        ).alias("page_count_found"),
         posts.alias("posts"),
     )

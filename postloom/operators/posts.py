@@ -47,13 +47,15 @@ def thread_pages(
     threads = stage(threads, f"{site.name}-threads")
     extracts = extracts.select(
         "url", *([order_by] if order_by else []),
-        "readable", "page_title", "n_items", "page_count", "posts",
+        "readable", "page_title", "n_items", "page_count", "page_count_found", "posts",
     )
     if order_by:
         extracts = newest_copies(extracts, order_by).drop(order_by)
     if site.last_page_only:
         first = extracts.groupBy("url").agg(
-            F.max("n_items").alias("first_items"), F.max("page_count").alias("last_page")
+            F.max("n_items").alias("first_items"),
+            F.max("page_count").alias("last_page"),
+            F.max("page_count_found").alias("last_page_found"),
         )
         first = stage(first, f"{site.name}-first-pages")
         named = first.withColumnRenamed("url", "thread_url")
@@ -63,6 +65,7 @@ def thread_pages(
             F.col("url").alias("_one"),
             F.col("first_items").alias("_one_items"),
             F.col("last_page").alias("_one_last"),
+            F.col("last_page_found").alias("_one_found"),
         )
         threads = threads.withColumn("_one", last_page_url(F.col("thread_url"), F.lit(1)))
         threads = spread_join(threads, one, "_one", "left", rows_per_task)
@@ -70,6 +73,7 @@ def thread_pages(
         threads = threads.withColumns(
             {
                 "last_page": F.coalesce("last_page", "_one_last"),
+                "last_page_found": F.coalesce("last_page_found", "_one_found"),
                 "first_items": F.coalesce("first_items", "_one_items"),
                 "_plain": plain,
             }
@@ -80,11 +84,11 @@ def thread_pages(
                 "last_page_url": last,
                 "_from": F.when(F.col("_plain"), F.col("thread_url")).otherwise(last),
             }
-        ).drop("_one", "_one_items", "_one_last", "_plain")
+        ).drop("_one", "_one_items", "_one_last", "_one_found", "_plain")
         threads = stage(threads, f"{site.name}-last-pages")
     else:
         threads = threads.withColumns({"first_items": F.lit(1), "_from": F.col("thread_url")})
-    right = extracts.drop("page_count").withColumnRenamed("url", "_from")
+    right = extracts.drop("page_count", "page_count_found").withColumnRenamed("url", "_from")
     joined = spread_join(threads, right, "_from", "left", rows_per_task)
     title = F.col("page_title") if site.title else F.col("thread_title")
     return joined.withColumns(
@@ -102,25 +106,33 @@ def thread_pages(
 
 
 def page_outcomes(
-    extracts: DataFrame, site: Site, threads: DataFrame | None = None
+    extracts: DataFrame,
+    site: Site,
+    threads: DataFrame | None = None,
+    need_title: bool = False,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Every post of pages as they arrive, and one row per page that gives none, with `reason`:
     null for a good post, else unreadable, no title, no posts, no date or no body.
 
     Page-local, so it runs on a stream too; `thread_url` is the page's address without its page
-    number. A title that only the listing shows comes from `threads(thread_url, thread_title)`,
-    one row per thread; without them such a site's titles stay null. Which page is a thread's last
-    is for a later batch over the posts.
+    number. A title that only the listing shows comes from the column thread_title (see
+    `streaming.threads.titled_pages`) or from `threads(thread_url, thread_title)`, one row per
+    thread; without them such a site's titles stay null. With `need_title` a page without one is
+    set aside. Other columns stay where `keep` names them. For each thread's last page alone see
+    `streaming.threads.last_page_extracts`.
     """
     page = F.regexp_replace("url", r"p\d+$", "") if site.last_page_only else F.col("url")
     rows = extracts.withColumn("thread_url", page)
     if site.title:
         rows = rows.withColumn("thread_title", F.col("page_title"))
+    elif threads is None and "thread_title" in extracts.columns:
+        pass
     elif threads is None:
         rows = rows.withColumn("thread_title", F.lit(None).cast("string"))
     else:
         rows = rows.join(threads.select("thread_url", "thread_title"), "thread_url", "left")
-    untitled = F.col("thread_title").isNull() if site.title else F.lit(False)
+    untitled = F.col("thread_title").isNull() if site.title or need_title else F.lit(False)
     page_reason = (
         F.when(~F.col("readable"), "unreadable")
         .when(untitled, "no title")
@@ -133,12 +145,13 @@ def page_outcomes(
         "thread_url",
         "thread_title",
         F.lit(site.source_url).alias("source_url"),
+        *(keep or []),
         page_reason.alias("_reason"),
         F.explode_outer(F.when(page_reason.isNull(), F.col("posts")).otherwise(none)).alias("_post"),
     )
     reason = F.when(F.col("_post").isNotNull(), reject_reason("_post.")).otherwise("no posts")
     return found.select(
-        "source", "url", "thread_url", "thread_title", "source_url", "_post.*",
+        "source", "url", "thread_url", "thread_title", "source_url", *(keep or []), "_post.*",
         F.coalesce("_reason", reason).alias("reason"),
     )
 

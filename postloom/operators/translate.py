@@ -148,17 +148,21 @@ def glossary_translate(
     text: str = "post_content",
     out: str = TRANSLATED,
     inline: bool | None = None,
+    known: str | None = None,
 ) -> DataFrame:
     """Adds `out`: each token by its lower-cased glossary entry (token, target), else as it
-    stands, joined by single spaces; "" for blank text."""
+    stands, joined by single spaces; "" for blank text. With `known`, a column of that name says
+    whether any token had an entry."""
     tokens = words(F.col(text))
     found = posts.withColumns(
         {"_tokens": tokens, "_lower": F.transform(tokens, F.lower)}
     )
     found = token_values(found, "_lower", glossary, "token", "target", "_targets", inline)
-    return found.withColumn(
-        out,
-        F.array_join(
+    made = {
+        out: F.array_join(
             F.zip_with("_tokens", "_targets", lambda t, target: F.coalesce(target, t)), " "
-        ),
-    ).drop("_tokens", "_lower", "_targets")
+        )
+    }
+    if known:
+        made[known] = F.exists("_targets", lambda target: target.isNotNull())
+    return found.withColumns(made).drop("_tokens", "_lower", "_targets")

@@ -85,9 +85,9 @@ def extract_each(jobs: dict[str, Callable[[], Extraction]]) -> tuple[dict, dict]
 
 
 def run_counts(extractions: dict[str, Extraction], enriched: DataFrame | None = None) -> DataFrame:
-    """(stage, source, reason, rows): outcomes of listings and threads, threads whose page count
-    was taken as 1 for want of a label, kept and rejected posts and, from `enriched`, by what the
-    texts were translated."""
+    """(stage, source, reason, rows): outcomes of listings and threads, threads of one page, among
+    them those whose page count was taken as 1 for want of a label ("defaulted"), kept and rejected
+    posts and, from `enriched`, by what the texts were translated."""
     parts = []
 
     def add(stage_name, source, rows, reason):
@@ -101,6 +101,7 @@ def run_counts(extractions: dict[str, Extraction], enriched: DataFrame | None =
         add("thread", name, found.threads, F.col("outcome"))
         if "last_page" in found.threads.columns:
             add("page count", name, found.threads.where("last_page = 1"), F.lit("one page or no label"))
+            add("page count", name, found.threads.where("not last_page_found"), F.lit("defaulted"))
         add("post", name, found.posts, F.lit("kept"))
         add("post", name, found.rejects, F.col("reason"))
     if enriched is not None:
@@ -143,14 +144,13 @@ def enrich(
     if glossary is not None:
         others = [c for c in posts.columns if c not in (TRANSLATED, "via")]
         by_token = glossary_translate(
-            posts.withColumnsRenamed({TRANSLATED: "_known", "via": "_via"}), glossary, text
+            posts.withColumnsRenamed({TRANSLATED: "_known", "via": "_via"}), glossary, text, known="_hit"
         )
-        left = F.col("_via") == "original"
+        # A text of which no token has an entry stays as it is, white space and all.
+        changed = (F.col("_via") == "original") & F.col("_hit")
         posts = by_token.select(
             *others,
-            F.when(left, F.col(TRANSLATED)).otherwise(F.col("_known")).alias(TRANSLATED),
-            F.when(left & (F.col(TRANSLATED) != F.col(text)), "glossary")
-            .otherwise(F.col("_via"))
-            .alias("via"),
+            F.when(changed, F.col(TRANSLATED)).otherwise(F.col("_known")).alias(TRANSLATED),
+            F.when(changed, "glossary").otherwise(F.col("_via")).alias("via"),
         )
     return score(posts, lexicon, rules=rules)
