@@ -607,4 +607,13 @@ select 'thread' as stage, 'site2' as source, 'kept' as reason, count(*) as rows
 union all select 'post', 'site2', 'kept', count(*) from post
 union all select 'page count', 'site2', 'one page or no label', count(*) from taken where last_page = 1
 union all select 'page count', 'site2', 'defaulted', count(*) from thread where conv_id % 3 = 2""",
+    "memory_two_runs": f"""with asked as (
+  select doc_id, text, {_trim('text')} = '' as blank, text like '%ß%' as refused,
+    max(lang = 'fr') over (partition by text) as known, lang from documents)
+select doc_id, run, case when blank then '' when refused then text else '[en] ' || text end
+    as translated_post_content,
+  case when blank then 'blank' when refused then 'original'
+    when run = 'last' or (run = 'later' and known) then 'memory' else 'backend' end as via
+from asked, (values ('first'), ('later'), ('last')) r(run)
+where (run <> 'first' or lang = 'fr') and (run <> 'last' or not refused)""",
 }

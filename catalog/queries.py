@@ -15,6 +15,7 @@ from postloom.functions.select import Selector
 from postloom.functions.text import absolute_url, is_blank, last_page_url, page_count, strip, words
 from postloom.operators import extract, posts, sentiment, translate
 from postloom.operators.joins import spread_join
+from postloom.operators.memory import Memory, translate_by_memory
 from postloom.operators.models import logits_udf, margin_2class, margin_3class, model_score
 from postloom.operators.tokens import token_hits
 from postloom.operators.udfs import map_column, rows_to_many
@@ -602,6 +603,22 @@ def translate_backend(spark, sf):
     return found.select("doc_id", translate.TRANSLATED, "via")
 
 
+@query
+def memory_two_runs(spark, sf):
+    """French documents first, then all: the second run asks for what is new alone, and a third,
+    whose backend says otherwise, for nothing but what was refused."""
+    docs = dealt_table(spark, sf, "documents").drop("n_chars")
+    path = new_path(spark, "memory")
+    first = Memory(spark, path, 8)
+    before = translate_by_memory(docs.where("lang = 'fr'"), first, "text", make_backend=_demo_backend)
+    later = translate_by_memory(docs, Memory(spark, path, 8), "text", make_backend=_demo_backend)
+    other = lambda: lambda texts: ["[other] " + t for t in texts if "ß" in t or 1 / 0]
+    last = translate_by_memory(docs.where("text not like '%ß%'"), first, "text", make_backend=other)
+    runs = [("first", before), ("later", later), ("last", last)]
+    parts = [d.select("doc_id", F.lit(n).alias("run"), translate.TRANSLATED, "via") for n, d in runs]
+    return posts.union_sources(parts)
+
+
 @query
 def translation_dictionary(spark, sf):
     docs = table(spark, sf, "documents")

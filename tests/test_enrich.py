@@ -312,3 +312,45 @@ def test_first_places_of_repeated_words(spark):
         for r in df.select(first_places(F.col("hits"), F.col("w")).alias("f")).collect()
     ]
     assert got == [[(i, words.index(words[i])) for i in hits], []]
+
+
+def test_memory_is_not_shuffled_and_a_new_session_goes_on_with_it(spark, tmp_path):
+    from postloom.operators.memory import Memory, one_per_print, translate_by_memory
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def backend():
+        def run(texts):
+            asked.add(len(texts))
+            return [None if "no" in t else t.upper() for t in texts]
+
+        return run
+
+    path = str(tmp_path / "memory")
+    posts = spark.createDataFrame(
+        [(1, "one"), (2, "two"), (3, "one"), (4, " "), (5, None), (6, "say no")], "id long, post_content string"
+    )
+
+    def run(rows):
+        found = translate_by_memory(rows, Memory(spark, path, 4), make_backend=backend)
+        return {r.id: (r.translated_post_content, r.via) for r in found.collect()}
+
+    assert run(posts.where("id = 1")) == {1: ("ONE", "backend")}
+    assert asked.value == 1
+    spark.sql(f"DROP TABLE {Memory(spark, path, 4).name}")  # as a new session, which knows no table
+    want = {
+        1: ("ONE", "memory"), 2: ("TWO", "backend"), 3: ("ONE", "memory"), 4: ("", "blank"),
+        5: ("", "blank"), 6: ("say no", "original"),
+    }
+    assert run(posts) == want
+    assert asked.value == 3
+    want[2] = ("TWO", "memory")
+    assert run(posts) == want and asked.value == 4  # the refused text alone
+    texts = one_per_print(posts, "post_content")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        plan = Memory(spark, path, 4).lookup(texts, "post_content")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # The one exchange is that of the distinct texts.
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, plan
