@@ -616,4 +616,15 @@ select doc_id, run, case when blank then '' when refused then text else '[en] '
     when run = 'last' or (run = 'later' and known) then 'memory' else 'backend' end as via
 from asked, (values ('first'), ('later'), ('last')) r(run)
 where (run <> 'first' or lang = 'fr') and (run <> 'last' or not refused)""",
+    "encoded_pages": r"""with made as (
+  select page_id, page_id % 5 as kind, regexp_replace(html, '[^\x00-\x7f\xa0-\xff\x{2013}\x{20ac}]', '?', 'g') as western,
+    html from pages),
+full_text as (
+  select page_id, kind, case kind when 0 then '<meta charset="utf-8">'
+      when 2 then '<!-- charset=utf-8 --><META http-equiv=x content=''text/html; charset=Windows-1252''>'
+      when 3 then '<meta name=a><meta charset=iso-8859-1>' else '' end
+    || case when kind in (2, 3) then western else html end || '<p>åäö – €</p>' as html from made)
+select page_id, case kind when 1 then 'utf-16le' when 2 then 'windows-1252' when 3 then 'windows-1252'
+    else 'utf-8' end as encoding,
+  length(html)::integer as n_chars, md5(html) as html_md5 from full_text""",
 }

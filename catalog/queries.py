@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import forum, vocabulary
 from catalog.forum import dealt_table, table
-from postloom.functions import select
+from postloom.functions import encoding, select
 from postloom.functions.html import parse_html
 from postloom.functions.select import Selector
 from postloom.functions.text import absolute_url, is_blank, last_page_url, page_count, strip, words
@@ -30,7 +30,7 @@ from postloom.schemas import LEGACY_CSV_HEADERS, LEGACY_POSTS, PAGES, POSTS, SCO
 from postloom.sites import SITE_1, SITE_2, SITE_3
 from postloom.sources import pages as page_source
 from postloom.sources.posts_csv import read_posts, rejected_posts, write_posts, write_snapshot
-from postloom.sources.scratch import new_path
+from postloom.sources.scratch import new_path, stage
 from postloom.sources.tables import VersionedTable, append_each, append_sources
 from postloom.streaming.incremental import append_new, enrich_new, new_files
 from postloom.streaming.threads import last_page_extracts, last_page_outcomes, titled_pages
@@ -72,6 +72,32 @@ def page_scan(spark, sf):
     return pages.select("page_id", "url", F.length("html").alias("n_chars"))
 
 
+@query
+def encoded_pages(spark, sf):
+    """Pages as bytes in five ways: UTF-8 and windows-1252 as declared, windows-1252 declared as
+    latin-1, UTF-16 by its mark, UTF-8 without a word."""
+    pages = dealt_table(spark, sf, "pages")
+    kind = F.pmod("page_id", F.lit(5))
+    western = F.regexp_replace("html", r"[^\x00-\x7f\xa0-\xff\u2013\u20ac]", "?")
+    html = F.concat(
+        F.when(kind == 0, '<meta charset="utf-8">')
+        .when(kind == 2, "<!-- charset=utf-8 --><META http-equiv=x content='text/html; charset=Windows-1252'>")
+        .when(kind == 3, "<meta name=a><meta charset=iso-8859-1>")
+        .otherwise(""),
+        F.when(kind.isin(2, 3), western).otherwise(F.col("html")),
+        F.lit("<p>åäö – €</p>"),
+    )
+    one_byte = F.encode(F.translate(html, encoding.LETTERS, encoding.CONTROLS), "ISO-8859-1")
+    content = (
+        F.when(kind.isin(2, 3), one_byte)
+        .when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE")))
+        .otherwise(F.encode(html, "UTF-8"))
+    )
+    crawled = stage(pages.select("page_id", content.alias("content")), "crawled")
+    read = page_source.decode_pages(crawled)
+    return read.select("page_id", "encoding", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
 @query
 def csv_roundtrip(spark, sf):
     path = new_path(spark, "csv")

@@ -155,3 +155,38 @@ def test_a_table_is_replaced_by_what_is_read_from_it(spark, tmp_path):
     assert table.replace(before.withColumn("x", F.col("id") + 1)) == 2
     assert sorted(tuple(r) for r in table.read().collect()) == [(0, 1), (1, 2), (2, 3)]
     assert before.count() == 3
+
+
+def test_html_files_in_their_own_encodings(spark, tmp_path):
+    from postloom.sources.pages import decode_pages, read_html_files
+
+    text = "<p>åäö – “€” ñ</p>"
+    given = {
+        "utf8": (f'<meta charset="UTF-8">{text}', "utf-8", b""),
+        "unsaid": (text, "utf-8", b""),
+        "latin": (f"<meta charset=iso-8859-1>{text}", "cp1252", b""),
+        "western": (f"<meta content='text/html; charset=windows-1252'>{text}", "cp1252", b""),
+        "unsaid_western": (text, "cp1252", b""),
+        "little": (text, "utf-16-le", b"\xff\xfe"),
+        "big": (text, "utf-16-be", b"\xfe\xff"),
+        "marked": (f"<meta charset=latin1>{text}", "utf-8", b"\xef\xbb\xbf"),
+        "greek": ("<meta charset=iso-8859-7><p>αβγ</p>", "iso-8859-7", b""),
+        "commented": (f"<!-- <meta charset=koi8-r> -->{text}", "utf-8", b""),
+        "unknown": (f"<meta charset=no-such>{text}", "utf-8", b""),
+    }
+    for name, (html, codec, mark) in given.items():
+        (tmp_path / f"{name}.html").write_bytes(mark + html.encode(codec))
+    (tmp_path / "broken.html").write_bytes(b"<meta charset=utf-8>a\xffb")
+    (tmp_path / "odd.html").write_bytes(b"\xff\xfea\x00b")
+    (tmp_path / "empty.html").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"not a page")
+    rows = {r.url.rsplit("/", 1)[1][:-5]: r for r in read_html_files(spark, str(tmp_path)).collect()}
+    assert set(rows) == {*given, "broken", "odd"}  # Spark reads no empty file
+    for name, (html, codec, _) in given.items():
+        assert rows[name].html == html, name
+    assert rows["latin"].encoding == rows["unsaid_western"].encoding == "windows-1252"
+    assert (rows["greek"].encoding, rows["big"].encoding) == ("iso-8859-7", "utf-16be")
+    assert rows["broken"].html == "<meta charset=utf-8>a�b"
+    assert rows["odd"].html == "a�"
+    nothing = spark.createDataFrame([(1, None, "old")], "id int, content binary, html string")
+    assert [tuple(r) for r in decode_pages(nothing).collect()] == [(1, None, None)]
