@@ -1,7 +1,8 @@
 """Each query's result as SQL over the same tables."""
 
 from catalog.forum import HOST, POSTS_PER_PAGE, THREADS_PER_LISTING
-from catalog.vocabulary import GLOSSARY, LEXICON, RULES, values
+from catalog.vocabulary import ENGLISH, GLOSSARY, LEXICON, RULES, values
+from postloom.operators.rules import Rules
 from postloom.sites import SITE_1, SITE_2, SITE_3
 
 # Fixed values, written down a second time so that the SQL does not lean on what it checks.
@@ -141,10 +142,10 @@ def _tokens(source, key, text, prefix=""):
 
 
 def _listed(words):
-    return ", ".join(f"'{w}'" for w in sorted(words)) or "null"
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) or "null"
 
 
-def _compound(source, key, text, prefix=""):
+def _compound(source, key, text, prefix="", rules=RULES):
     """CTEs ending in `scored`: key and score of each non-blank text."""
     marks = "|".join(
         "".join("\\" + c if c in "?.!-" else c for c in m).replace("'", "''")
@@ -156,15 +157,15 @@ def _compound(source, key, text, prefix=""):
     so = lambda x: f"coalesce({x} in ('so', 'this'), false)"
     never = lambda x: f"coalesce({x} = 'never', false)"
     booster = "case " + " ".join(
-        f"when {{0}} = '{k}' then {v}" for k, v in RULES.boosters.items()
+        f"when {{0}} = '{k}' then {v}" for k, v in rules.boosters.items()
     ) + " end"
     idiom = "case {0} " + " ".join(
-        f"when '{k}' then {v}" for k, v in RULES.idioms.items()
+        f"when '{k}' then {v}" for k, v in rules.idioms.items()
     ) + " end"
 
     steps, last = [], "s0"
     for k in (1, 2, 3):
-        factor = f"when l{k} in ({_listed(RULES.negations)}) or l{k} like '%n''t%' then {NEGATE}"
+        factor = f"when l{k} in ({_listed(rules.negations)}) or l{k} like '%n''t%' then {NEGATE}"
         if k == 2:
             factor = f"when {never('w2')} and {so('w1')} then 1.5 " + factor
         if k == 3:
@@ -183,7 +184,7 @@ def _compound(source, key, text, prefix=""):
         "w2 || ' ' || w1 || ' ' || w", "w2 || ' ' || w1", "w3 || ' ' || w2 || ' ' || w1",
         "w3 || ' ' || w2",
     ]
-    pairs = _listed(k for k in RULES.boosters if " " in k)
+    pairs = _listed(k for k in rules.boosters if " " in k)
     soft = f"(w3 || ' ' || w2) in ({pairs}) or (w2 || ' ' || w1) in ({pairs})"
     found = ", ".join(f"({idiom.format(f'({p})')})" for p in phrases)
     steps.append(
@@ -210,12 +211,12 @@ near as (
   select *, {lags}, lead(w, 1) over o as n1, lead(w, 2) over o as n2, lead(l, 1) over o as nl
   from valued window o as (partition by {key} order by p)),
 doc as (
-  select {key}, min(p) filter (where l = '{RULES.contrast}') as but,
+  select {key}, min(p) filter (where l = '{rules.contrast}') as but,
     count(*) as n, count(*) filter (where {up('w')}) as shouted
   from valued group by {key}),
 hit as (
   select near.*, but, shouted > 0 and shouted < n as caps from near join doc using ({key})
-  where v is not null and l not in ({_listed(RULES.boosters)})),
+  where v is not null and l not in ({_listed(rules.boosters)})),
 s0 as (
   select *, v + case when {up('w')} and caps then case when v > 0 then {CAPS} else -{CAPS} end
     else 0 end as x
@@ -247,6 +248,12 @@ english as (
   group by {key})"""
 
 
+def _english(text):
+    for word, other in ENGLISH.items():
+        text = f"replace({text}, '{word}', '" + other.replace("'", "''") + "')"
+    return text
+
+
 _DOC_COMPOUND = (
     f"with {_compound('documents', 'doc_id', 'text')} "
     "select d.doc_id, sentiment_score from documents d left join scored using (doc_id)"
@@ -627,4 +634,29 @@ full_text as (
 select page_id, case kind when 1 then 'utf-16le' when 2 then 'windows-1252' when 3 then 'windows-1252'
     else 'utf-8' end as encoding,
   length(html)::integer as n_chars, md5(html) as html_md5 from full_text""",
+    "ordered_export": f"""select thread_title, post_index,
+  row_number() over (order by thread_title, post_index) as place, true as bounded from ({_POSTS})""",
+    "post_index_ties": """with numbered as (
+  select role as thread, (length(text) * length(text))::integer as position,
+    row_number() over (partition by role order by length(text))::integer as n from conversations)
+select thread, position, min(n) as first, max(n) as last, count(*) as n from numbered group by 1, 2""",
+    "csv_five_of_seven": f"""select *,
+  case when post_date <> 'user' then 't ' || post_content end as translated_post_content,
+  case when post_date <> 'user' then post_index / 4 end::double as sentiment_score from ({_POSTS})""",
+    "blank_guard_whole": f"""select lang, kind, count(*) filter (where kind <> 'own' or text is null or {_trim('text')} = '') as blank,
+  count(*) as docs from documents, (values ('own'), ('null'), ('empty'), ('blanks')) k(kind) group by 1, 2""",
+    "zip_pairs": f"""with {_LINKS},
+ad as (select page_id, regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1) as ads from pages)
+select page_id, pos, {_trim(_unescaped('ads[pos]'))} as left_text, text as right_text
+from links join ad using (page_id) where pos <= len(ads)""",
+    "reject_no_body": f"""with {_SITE_1}
+select thread_url, post_index, case when role = 'system' then 'no date' else 'no body' end as reason
+from post where role = 'system' or regexp_extract(thread_url, '/t(\\d+)$', 1)::bigint % 3 = 1""",
+    "compound_score_default": f"""with spoken as (select doc_id, {_english('text')} as text from documents),
+{_compound('spoken', 'doc_id', 'text', rules=Rules())}
+select d.doc_id, sentiment_score from documents d left join scored using (doc_id)""",
+    "model_text_score_whole": """select conv_id, turn, kind, case when kind = 'own' and trim(text) <> '' then
+  round((exp((length(text)::float / 600::float)::double) - exp(1::double))
+    / (exp((length(text)::float / 600::float)::double) + exp(1::double)), 4) end as sentiment_score
+from conversations, (values ('own'), ('blank')) k(kind)""",
 }

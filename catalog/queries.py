@@ -4,7 +4,7 @@ import unicodedata
 from datetime import datetime
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import forum, vocabulary
@@ -26,10 +26,17 @@ from postloom.plans.pipeline import (
     extract_source,
     run_counts,
 )
-from postloom.schemas import LEGACY_CSV_HEADERS, LEGACY_POSTS, PAGES, POSTS, SCORED_POSTS
+from postloom.schemas import CSV_HEADERS, LEGACY_CSV_HEADERS, LEGACY_POSTS, PAGES, POSTS, SCORED_POSTS
 from postloom.sites import SITE_1, SITE_2, SITE_3
 from postloom.sources import pages as page_source
-from postloom.sources.posts_csv import read_posts, rejected_posts, write_posts, write_snapshot
+from postloom.sources.posts_csv import (
+    DIALECT,
+    read_posts,
+    rejected_posts,
+    write_ordered,
+    write_posts,
+    write_snapshot,
+)
 from postloom.sources.scratch import new_path, stage
 from postloom.sources.tables import VersionedTable, append_each, append_sources
 from postloom.streaming.incremental import append_new, enrich_new, new_files
@@ -112,6 +119,57 @@ def csv_short_rows(spark, sf):
     return read_posts(spark, path, SCORED_POSTS)
 
 
+@query
+def ordered_export(spark, sf):
+    """Each row's place as the files give it, in the order of their names."""
+    path = new_path(spark, "csv")
+    rows = posts.canonical(conversation_posts(spark, sf))
+    write_ordered(rows, path, ["source_url", "thread_title", "post_index"], rows_per_file=50)
+    read = spark.read.options(**DIALECT).csv(path).select(
+        "*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row")
+    )
+    within = F.row_number().over(Window.partitionBy("file").orderBy("row"))
+    files = read.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("Index") == "1").alias("firsts"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), (F.col("n") <= 50).alias("bounded"))
+    return read.withColumn("at", within).join(starts, "file").select(
+        F.col("Thread Title").alias("thread_title"),
+        F.col("Index").cast("int").alias("post_index"),
+        (F.col("start") + F.col("at")).alias("place"),
+        "bounded",
+    )
+
+
+@query
+def post_index_ties(spark, sf):
+    """Posts by their length and not by their turn: many positions are equal, and some far apart."""
+    rows = table(spark, sf, "conversations").select(
+        F.col("role").alias("thread"), (F.length("text") * F.length("text")).alias("position"), "conv_id", "turn"
+    )
+    found = posts.number_rows(rows, "thread", "position", block=100)
+    return found.groupBy("thread", "position").agg(
+        F.min("post_index").alias("first"), F.max("post_index").alias("last"), F.countDistinct("post_index").alias("n")
+    )
+
+
+@query
+def csv_five_of_seven(spark, sf):
+    """Files with a header of seven columns, to which rows of five fields were appended."""
+    rows = posts.canonical(conversation_posts(spark, sf)).withColumn("file", F.pmod(F.xxhash64("thread_title"), F.lit(4)))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    five = F.concat_ws(",", "post_index", *[quoted(F.col(c)) for c in posts.CANONICAL[1:]])
+    seven = F.concat_ws(",", five, quoted(F.concat(F.lit("t "), "post_content")), F.col("post_index") / 4)
+    lines = rows.select("file", F.when(F.col("post_date") == "user", five).otherwise(seven).alias("value"))
+    header = ",".join(CSV_HEADERS[c] for c in SCORED_POSTS.names)
+    heads = rows.select("file").distinct().select("file", F.lit(header).alias("value"))
+    first = (F.col("value") != header).cast("int").alias("later")
+    lines = heads.unionByName(lines).select("file", first, "value")
+    path = new_path(spark, "csv")
+    lines = lines.repartition("file").sortWithinPartitions("file", "later").drop("later")
+    lines.write.partitionBy("file").text(path)
+    return read_posts(spark, f"{path}/file=*", SCORED_POSTS)
+
+
 @query
 def csv_reordered(spark, sf):
     """The file's columns stand in another order, with one that is not asked for."""
@@ -161,6 +219,15 @@ def blank_guard(spark, sf):
     )
 
 
+@query
+def blank_guard_whole(spark, sf):
+    """Every document's own text, and beside it copies that are null, empty and all blanks."""
+    docs = table(spark, sf, "documents")
+    kinds = {"own": F.col("text"), "null": F.lit(None).cast("string"), "empty": F.lit(""), "blanks": F.lit(" \t\u3000\n")}
+    rows = posts.union_sources([docs.select("lang", F.lit(k).alias("kind"), t.alias("t")) for k, t in kinds.items()])
+    return rows.groupBy("lang", "kind").agg(F.count_if(is_blank(F.col("t"))).alias("blank"), F.count("*").alias("docs"))
+
+
 @query
 def canonical_to_legacy(spark, sf):
     return posts.legacy(conversation_posts(spark, sf))
@@ -336,6 +403,15 @@ def zip_truncate(spark, sf):
     return found.select("page_id", "pos", "left_text")
 
 
+@query
+def zip_pairs(spark, sf):
+    """Both halves of each pair: advertisements and links by position, up to the shorter list."""
+    found = extract.paired_elements(
+        dealt_table(spark, sf, "pages"), Selector(tag="div", cls="ad"), Selector(tag="a")
+    )
+    return found.select("page_id", "pos", "left_text", "right_text")
+
+
 # Posts
 
 
@@ -493,6 +569,18 @@ def reject_incomplete(spark, sf):
     return site_extraction(spark, sf, "site1").rejects.select("thread_url", "post_index", "reason")
 
 
+@query
+def reject_no_body(spark, sf):
+    """Site 1 with no bodies in threads whose number leaves 1 (by 3)."""
+    number = F.regexp_extract("url", r"/t(\d+)$", 1).cast("long")
+    bare = F.replace("html", F.lit("bn_thread-comment__body"), F.lit("gone"))
+    pages = forum.pages(spark, sf, "site1").withColumn(
+        "html", F.when(number % 3 == 1, bare).otherwise(F.col("html"))
+    )
+    found = extract_source(forum.listings(spark, sf, "site1"), pages, SITE_1)
+    return found.rejects.select("thread_url", "post_index", "reason")
+
+
 @query
 def site_last_page_posts(spark, sf):
     rows = site_extraction(spark, sf, "site2").posts
@@ -708,6 +796,15 @@ def compound_score_joined(spark, sf):
     return found.select("doc_id", "sentiment_score")
 
 
+@query
+def compound_score_default(spark, sf):
+    """The word lists that the library brings, over texts in which words of the documents stand for
+    words of those lists."""
+    docs = dealt_table(spark, sf, "documents").select("doc_id", vocabulary.english(F.col("text")).alias("text"))
+    found = sentiment.score(docs, vocabulary.lexicon(spark), "text")
+    return found.select("doc_id", "sentiment_score")
+
+
 @query
 def margin_two_classes(spark, sf):
     """All 64 values are classes; 1 against 0."""
@@ -757,6 +854,17 @@ def model_text_score(spark, sf):
     return found.select("conv_id", "turn", F.round("sentiment_score", 4).alias("sentiment_score"))
 
 
+@query
+def model_text_score_whole(spark, sf):
+    """Every turn's own text, and a blank copy of it."""
+    turns = table(spark, sf, "conversations")
+    rows = turns.select("conv_id", "turn", F.lit("own").alias("kind"), F.col("text").alias("said")).unionByName(
+        turns.select("conv_id", "turn", F.lit("blank").alias("kind"), F.lit("\u2003\n").alias("said"))
+    )
+    found = model_score(rows, _demo_text_model, pos=1, neg=0, text="said")
+    return found.select("conv_id", "turn", "kind", F.round("sentiment_score", 4).alias("sentiment_score"))
+
+
 # End to end
 
 

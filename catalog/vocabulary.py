@@ -1,6 +1,7 @@
 """Small word tables for the queries, over words that occur in the given texts."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postloom.operators.rules import Rules
 
@@ -23,6 +24,20 @@ RULES = Rules(
     contrast="it",
 )
 
+#: Words of the documents and what stands for them where the library's own lists are looked at.
+ENGLISH = {
+    " the ": " not ", " und ": " very ", " que ": " but ", " le ": " kind of ", " der ": " the shit ",
+    " and ": " isn't ", " et ": " least ", " la ": " REALLY ", " of ": " never so ", " el ": " bad ass ",
+    " that ": " barely! ", " die ": " hand to mouth ",
+}
+
+
+def english(text):
+    """The text with each word of `ENGLISH` replaced, one after the other."""
+    for word, other in ENGLISH.items():
+        text = F.replace(text, F.lit(word), F.lit(other))
+    return text
+
 
 def values(table: dict, number: bool = False) -> str:
     """The table as rows of a SQL VALUES list."""

@@ -2,8 +2,12 @@
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postloom.functions.text import last_page_url
 from postloom.operators.joins import ROWS_PER_TASK, fits, spread_join
@@ -201,31 +205,61 @@ def number_rows(rows: DataFrame, thread: str, position: str, block: int = 100_00
     """post_index for posts that arrive as rows with a numeric position; posts cut from a page
     are numbered on the page instead, without a shuffle.
 
-    A thread is numbered in blocks of `block` positions: rows before a block come from block
-    counts (combined map-side), rows inside it from row_number. So no task sorts a whole thread.
-    Rows of equal position are numbered in the order of their other values; rows equal in all are
-    interchangeable. A row without a thread or a position is kept, with a null index, and sorted
-    with nothing.
+    The rows are staged, sorted by ranges of (thread, position, tie) of about `block` rows, and
+    counted within each range; a thread that goes on over several ranges has the counts of the
+    earlier ones added. So no task sorts a whole thread, sparse or equal positions or not. Rows of
+    equal position are numbered in the order of their other values; rows equal in all are
+    interchangeable, and spread as well. A row without a thread or a position is kept, with a null
+    index, and sorted with nothing. There are at most four ranges for each of
+    `spark.sql.shuffle.partitions`.
     """
-    columns = rows.columns
+    spark, columns = rows.sparkSession, rows.columns
+    rows = stage(rows, "numbered-rows")
     placed = F.col(thread).isNotNull() & F.col(position).isNotNull()
     unplaced = rows.where(~placed).withColumn("post_index", F.lit(None).cast("int"))
-    rows = rows.where(placed).withColumn("_block", F.floor(F.col(position) / block))
-    counts = rows.groupBy(thread, "_block").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(thread).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
+    rows = rows.where(placed)
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(-(-rows.count() // block), most))
+    # The place in the staged table tells equal rows apart, and a retried task sees it again.
+    order = [thread, position, F.xxhash64(*columns), F.monotonically_increasing_id()]
+    keyed = rows.withColumns({"_tie": order[2], "_row": order[3]})
+    by = [thread, position, "_tie", "_row"]
+    ranged = keyed.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    ranged = ranged.select(*columns, F.spark_partition_id().alias("_range"))
+    counted = stage(_counted_within(ranged, thread), "ranges")
+    ends = counted.groupBy(thread, "_range").agg(F.max("_nth").alias("_n"))
+    earlier = Window.partitionBy(thread).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # Only the first thread of a range can have begun before it: one row a range.
+    before = ends.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
+    numbered = counted.join(F.broadcast(before), [thread, "_range"], "left").select(
+        *columns, (F.col("_nth") + F.coalesce("_before", F.lit(0))).cast("int").alias("post_index")
     )
-    before = counts.select(
-        thread, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    ties = F.xxhash64(*columns)
-    inside = F.row_number().over(
-        Window.partitionBy(thread, "_block").orderBy(position, ties)
-    )
-    numbered = rows.join(before, [thread, "_block"], "left").withColumn(
-        "post_index", (F.col("_before") + inside).cast("int")
-    )
-    return numbered.select(*columns, "post_index").unionByName(unplaced)
+    return numbered.unionByName(unplaced)
+
+
+def _counted_within(sorted_rows: DataFrame, thread: str) -> DataFrame:
+    """Adds _nth: the rows so far of the same thread, in partitions sorted by thread."""
+    place = sorted_rows.columns.index(thread)
+
+    def run(batches):
+        last, held = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(place)
+            new = np.ones(len(keys), bool)
+            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = keys[0] != last
+            at = np.arange(len(keys))
+            start = np.maximum.accumulate(np.where(new, at, -held))
+            nth = at - start + 1
+            last, held = keys[-1], int(nth[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(nth.astype(np.int64))], [*batch.schema.names, "_nth"]
+            )
+
+    schema = T.StructType([*sorted_rows.schema.fields, T.StructField("_nth", T.LongType())])
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def last_pages(

@@ -249,3 +249,35 @@ def test_lookup_beyond_the_broadcast_bound(skewed):
     assert fits(table) and not fits(table, max_rows=399) and not fits(table, max_bytes=1000)
     small, large = (lookup(facts, table, "key", small=s) for s in (True, False))
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+
+
+def test_equal_and_sparse_positions_are_spread(spark):
+    rows = spark.range(4000).select(
+        F.lit("hot").alias("thread"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") * 10**6).alias("at"), F.lit("x").alias("same")
+    )
+    rows = rows.unionByName(spark.sql("select null as thread, 1L as at, 'y' as same union all select 'a', null, 'y' union all select 'a', 5, 'y'"))
+    got = posts.number_rows(rows, "thread", "at", block=250)
+    numbers = [r[0] for r in got.where("thread = 'hot'").orderBy("at", "post_index").select("post_index").collect()]
+    assert numbers == list(range(1, 4001))
+    assert sorted(r.post_index or 0 for r in got.where("thread is null or thread = 'a'").collect()) == [0, 0, 1]
+    ranges = got.where("thread = 'hot' and at = 7").groupBy(F.spark_partition_id()).count().collect()
+    # Small files of the staged table are read together, so fewer tasks than ranges.
+    assert len(ranges) >= 3 and max(r["count"] for r in ranges) < 1000
+    assert posts.number_rows(rows.where("false"), "thread", "at").isEmpty()
+
+
+def test_ordered_export_is_bounded_and_in_order(spark, tmp_path):
+    from pathlib import Path
+
+    from postloom.schemas import CANONICAL
+    from postloom.sources.posts_csv import write_ordered
+
+    rows = spark.range(1000).select(
+        (F.col("id") % 100 + 1).cast("int").alias("post_index"), F.format_string("t%02d", F.floor(F.col("id") / 100)).alias("thread_title"),
+        F.lit("d").alias("post_date"), F.lit("a\nb").alias("post_content"), F.lit("u").alias("source_url"),
+    ).orderBy(F.rand(3)).select(CANONICAL)
+    assert write_ordered(rows, str(tmp_path / "out"), ["thread_title", "post_index"], rows_per_file=150) == 1000
+    files = sorted((tmp_path / "out").glob("part-*.csv"))
+    read = [spark.read.csv(str(f), header=True, multiLine=True, quote='"', escape='"').collect() for f in files]
+    assert len(files) >= 7 and max(map(len, read)) <= 150
+    assert [(r[1], int(r[0])) for part in read for r in part] == [(f"t{i:02}", j) for i in range(10) for j in range(1, 101)]
