@@ -510,6 +510,7 @@ from documents left join memory on text = source_text group by text""",
     "translate_glossary_joined": _DOC_GLOSSARY,
     "lexicon_join": _LEXICON_JOIN,
     "lexicon_join_spread": _LEXICON_JOIN,
+    "lexicon_join_filtered": _LEXICON_JOIN,
     "lexicon_score": f"""with {_compound('documents', 'doc_id', 'text')},
 plain as (select doc_id, coalesce(sum(v), 0) as s from valued group by doc_id)
 select doc_id, case when {_trim('text')} <> '' then
@@ -659,4 +660,17 @@ select d.doc_id, sentiment_score from documents d left join scored using (doc_id
   round((exp((length(text)::float / 600::float)::double) - exp(1::double))
     / (exp((length(text)::float / 600::float)::double) + exp(1::double)), 4) end as sentiment_score
 from conversations, (values ('own'), ('blank')) k(kind)""",
+    "wrapped_lines": """with recursive parts as (
+  select conv_id, turn, [w for w in string_split(replace(text, chr(10), ' '), ' ') if w <> ''] as ws
+  from conversations),
+walk as (
+  select conv_id, turn, ws, 1 as i, 1 as line, length(ws[1]) as used from parts where len(ws) > 0
+  union all
+  select conv_id, turn, ws, i + 1,
+    case when used + 1 + length(ws[i + 1]) > 40 then line + 1 else line end,
+    case when used + 1 + length(ws[i + 1]) > 40 then length(ws[i + 1])
+      else used + 1 + length(ws[i + 1]) end
+  from walk where i < len(ws))
+select conv_id, turn, line::integer as line, count(*)::integer as n_words, max(used)::integer as n_chars
+from walk group by 1, 2, 3""",
 }

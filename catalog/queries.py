@@ -18,7 +18,7 @@ from postloom.operators.joins import spread_join
 from postloom.operators.memory import Memory, translate_by_memory
 from postloom.operators.models import logits_udf, margin_2class, margin_3class, model_score
 from postloom.operators.tokens import token_hits
-from postloom.operators.udfs import map_column, rows_to_many
+from postloom.operators.udfs import lateral_rows, map_column, rows_to_many
 from postloom.plans.pipeline import (
     all_posts,
     enrich,
@@ -651,6 +651,29 @@ def rows_to_many_posts(spark, sf):
     return rows_to_many(table(spark, sf, "conversations"), lines, schema)
 
 
+class _Wrap:
+    """Puts words on lines of at most 40 characters, as many as fit; a longer word has its own."""
+
+    def eval(self, text: str):
+        line, used, first = 1, 0, 0
+        parts = [w for w in (text or "").replace("\n", " ").split(" ") if w]
+        for i, word in enumerate(parts):
+            if used and used + 1 + len(word) > 40:
+                yield line, i - first, used
+                line, used, first = line + 1, 0, i
+            used += len(word) + (1 if used else 0)
+        if parts:
+            yield line, len(parts) - first, used
+
+
+@query
+def wrapped_lines(spark, sf):
+    """Each post as lines of a display, by a table function with state along the post."""
+    rows = dealt_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    found = lateral_rows(rows, _Wrap, "line int, n_words int, n_chars int", "text")
+    return found.drop("text")
+
+
 @query
 def map_column_lengths(spark, sf):
     return dealt_table(spark, sf, "documents").select(
@@ -773,6 +796,15 @@ def lexicon_join_spread(spark, sf):
     return found.select("doc_id", "pos", "token", "valence")
 
 
+@query
+def lexicon_join_filtered(spark, sf):
+    """A table that is not broadcast: tokens that its filter rules out are not shuffled."""
+    docs = dealt_table(spark, sf, "documents").select(
+        "doc_id", F.transform(words(F.col("text")), F.lower).alias("tokens")
+    )
+    return token_hits(docs, "tokens", vocabulary.lexicon(spark), "token", "valence", small=False)
+
+
 @query
 def lexicon_score(spark, sf):
     docs = dealt_table(spark, sf, "documents").select("doc_id", "text")

@@ -22,7 +22,7 @@ from postloom.operators.rules import (
     QUESTION_MAX,
     Rules,
 )
-from postloom.operators.tokens import constant_lookup, inlines, token_values
+from postloom.operators.tokens import constant_lookup, constant_map, inlines, token_values
 
 SCORE = "sentiment_score"
 
@@ -94,21 +94,23 @@ def _idiom(c: Column, before: Column, rules: Rules) -> Column:
         phrase("w1", "w0"), phrase("w2", "w1", "w0"), phrase("w2", "w1"),
         phrase("w3", "w2", "w1"), phrase("w3", "w2"),
     ]
-    entries = [F.lit(x) for k, v in sorted(rules.idioms.items()) for x in (k, float(v))]
-    known = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(None).cast("double"))
-    value = F.coalesce(*[F.try_element_at(known, p) for p in phrases], before)
+    known = constant_map({k: float(v) for k, v in rules.idioms.items()})
+    value = F.coalesce(*[known(p) for p in phrases], before)
     pairs = [k for k in rules.boosters if " " in k]
     soft = _one_of(phrase("w3", "w2"), pairs) | _one_of(phrase("w2", "w1"), pairs)
     return F.when(c["on3"], value + F.when(soft, LOWER).otherwise(0.0)).otherwise(before)
 
 
 def _may_hold_phrase(words_: Column, rules: Rules) -> Column:
-    """Whether any phrase is in the text at all: most texts skip the phrase step."""
-    joined = F.array_join(words_, " ")
-    found = F.lit(False)
-    for phrase in sorted([*rules.idioms, *(k for k in rules.boosters if " " in k)]):
-        found = found | joined.contains(phrase)
-    return found
+    """Whether any phrase may be in the text at all: most texts skip the phrase step. Runs of two
+    words are looked up by the first two words of the phrases, so a word costs one look-up however
+    many phrases there are."""
+    phrases = [*rules.idioms, *(k for k in rules.boosters if " " in k)]
+    starts = constant_map({" ".join(p.split(" ")[:2]): True for p in phrases}, "boolean")
+    runs = F.zip_with(
+        words_, F.slice(words_, 2, F.size(words_)), lambda a, b: starts(F.concat_ws(" ", a, b))
+    )
+    return F.exists(runs, lambda hit: hit.isNotNull())
 
 
 def _spaced(columns):
@@ -186,8 +188,10 @@ def _with_score(posts, lexicon, text, out, inline, total, stressed) -> DataFrame
             ),
         )
     else:
-        found = posts.withColumn("_w", words_).withColumn("_l", F.transform("_w", F.lower))
-        found = token_values(found, "_l", lexicon, "token", "valence", "_v", False)
+        # The words are made again after the join; only the text moves with its row.
+        lower = F.transform(words_, F.lower)
+        found = token_values(posts, lower, lexicon, "token", "valence", "_v", False)
+        found = found.withColumn("_w", words_).withColumn("_l", F.transform("_w", F.lower))
         found = found.withColumn("_sum", total(F.col("_w"), F.col("_l"), F.col("_v")))
     summed = _stressed(F.col("_sum"), F.col(text)) if stressed else F.col("_sum")
     return found.withColumn(out, F.when(~is_blank(F.col(text)), normalized(summed))).drop(

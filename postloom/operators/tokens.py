@@ -1,6 +1,7 @@
 """Values of a token table for each token of a text."""
 
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,31 +32,85 @@ def constant_lookup(table: DataFrame, token: str, value: str):
     slots = [None] * size
     for row in table.select(slot.alias("slot"), token, value).collect():
         slots[row["slot"]] = {**(slots[row["slot"]] or {}), row[token]: row[value]}
+    return _slotted(slots, kind, lambda tok: F.xxhash64(tok))
+
+
+def _slotted(slots: list, kind: str, hashed):
+    """A function from a column to its value in a constant array of small maps."""
     constant = F.from_json(F.lit(json.dumps(slots, default=str)), f"array<map<string,{kind}>>")
 
-    def get(tok):
+    def get(key):
         return F.try_element_at(
-            F.get(constant, F.pmod(F.xxhash64(tok), F.lit(size)).cast("int")), tok
+            F.get(constant, F.pmod(hashed(key), F.lit(len(slots))).cast("int")), key
         )
 
     return get
 
 
+def constant_map(values: dict[str, float], kind: str = "double"):
+    """A function from a string column to its value in `values`, or null. A look-up costs the same
+    however many values there are."""
+    slots = [None] * (1 << max(4, (2 * len(values)).bit_length()))
+    for key, value in values.items():
+        slot = zlib.crc32(key.encode()) % len(slots)
+        slots[slot] = {**(slots[slot] or {}), key: value}
+    return _slotted(slots, kind, F.crc32)
+
+
+#: Bits of a token filter for each token of its table, at most, and look-ups per token.
+BITS_PER_TOKEN, MAX_FILTER_BITS, LOOK_UPS = 12, 1 << 24, 4
+
+
+def _filter_bits(c: Column, bits: int) -> list[Column]:
+    """The places of a token in a filter of `bits` (a power of two)."""
+    last = F.lit(bits - 1).cast("long")
+    return [F.xxhash64(c, F.lit(i)).bitwiseAND(last) for i in range(LOOK_UPS)]
+
+
+def token_filter(table: DataFrame, token: str):
+    """A function from a token column to whether it may be in the table: never false for one that
+    is. The bits are set in each task, merged by word of 64, and travel as a constant of at most
+    `MAX_FILTER_BITS`; a table too large for them lets more strangers through and loses nothing."""
+    tokens = table.where(F.col(token).isNotNull()).select(token)
+    bits = min(MAX_FILTER_BITS, max(1 << 10, 1 << (BITS_PER_TOKEN * tokens.count()).bit_length()))
+    places = tokens.select(F.explode(F.array(*_filter_bits(F.col(token), bits))).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    merged = places.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("set")).collect()
+    words_ = [0] * (bits >> 6)
+    for row in merged:
+        words_[row["at"]] = row["set"]
+    constant = F.from_json(F.lit(json.dumps(words_)), "array<bigint>")
+
+    def maybe(c):
+        held = F.lit(True)
+        for bit in _filter_bits(c, bits):
+            word = F.get(constant, F.shiftright(bit, 6).cast("int"))
+            held = held & (F.getbit(word, bit.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+        return held
+
+    return maybe
+
+
 def token_hits(
     texts: DataFrame, tokens: str, table: DataFrame, token: str, value: str, small=None
 ) -> DataFrame:
     """One row per (text, position) whose token is in the table. Only `table`'s tokens survive
-    the join, and each row carries a short key, not its text."""
+    the join, and each row carries a short key, not its text. Where the table is not `small`,
+    tokens that a filter of its tokens rules out go before anything is shuffled."""
     # The outer form, as the inner one adds a size filter that splits every text again.
     exploded = texts.select(
         *[c for c in texts.columns if c != tokens], F.posexplode_outer(tokens).alias("pos", token)
     ).where("pos is not null")
-    return lookup(exploded, one_per_token(table, token, value), token, "inner", small)
+    table = one_per_token(table, token, value)
+    small = small is not False and fits(table)
+    if not small:
+        exploded = exploded.where(token_filter(table, token)(F.col(token)))
+    return lookup(exploded, table, token, "inner", small)
 
 
 def token_values(
     df: DataFrame,
-    tokens: str,
+    tokens: str | Column,
     table: DataFrame,
     token: str,
     value: str,
@@ -63,21 +118,23 @@ def token_values(
     inline: bool | None = None,
     small: bool | None = None,
 ) -> DataFrame:
-    """Adds `out`: for each element of the array column `tokens` its value in the table, or null.
+    """Adds `out`: for each element of the array `tokens` its value in the table, or null.
 
     A table within the inline bound is a constant of the plan: no shuffle, no explode. Beyond it
     the tokens of each distinct text are joined to the table, by broadcast while it is `small`,
-    and gathered per text again.
+    and gathered per text again. Given as an expression over other columns, `tokens` are made
+    again where they are used and never shuffled with their rows.
     """
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     if inline is not False and inlines(table):
         return df.withColumn(out, F.transform(tokens, constant_lookup(table, token, value)))
     small = small is not False and fits(table)
-    keyed = df.withColumn("_key", fingerprint(F.col(tokens)))
-    texts = keyed.select("_key", tokens)
+    keyed = df.withColumn("_key", fingerprint(tokens))
+    texts = df.select(fingerprint(tokens).alias("_key"), tokens.alias("_tokens"))
     if not small:
         # Tokens will be shuffled: copies of a text become one row first.
-        texts = texts.groupBy("_key").agg(F.first(tokens).alias(tokens))
-    hits = token_hits(texts, tokens, table, token, value, small)
+        texts = texts.groupBy("_key").agg(F.first("_tokens").alias("_tokens"))
+    hits = token_hits(texts, "_tokens", table, token, value, small)
     # A set, as copies of a text give the same hits; combined before they move.
     found = hits.groupBy("_key").agg(
         F.array_sort(F.collect_set(F.struct("pos", value))).alias("_found")

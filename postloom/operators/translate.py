@@ -154,15 +154,14 @@ def glossary_translate(
     stands, joined by single spaces; "" for blank text. With `known`, a column of that name says
     whether any token had an entry."""
     tokens = words(F.col(text))
-    found = posts.withColumns(
-        {"_tokens": tokens, "_lower": F.transform(tokens, F.lower)}
-    )
-    found = token_values(found, "_lower", glossary, "token", "target", "_targets", inline)
+    lower = F.transform(tokens, F.lower)
+    found = token_values(posts, lower, glossary, "token", "target", "_targets", inline)
+    found = found.withColumn("_split", tokens)
     made = {
         out: F.array_join(
-            F.zip_with("_tokens", "_targets", lambda t, target: F.coalesce(target, t)), " "
+            F.zip_with("_split", "_targets", lambda t, target: F.coalesce(target, t)), " "
         )
     }
     if known:
         made[known] = F.exists("_targets", lambda target: target.isNotNull())
-    return found.withColumns(made).drop("_tokens", "_lower", "_targets")
+    return found.withColumns(made).drop("_split", "_targets")

@@ -1,4 +1,4 @@
-"""Where a caller's own Python goes: a function over a column, or one row to many."""
+"""Where a caller's own Python goes: a function over a column, one row to many, a table function."""
 
 from collections.abc import Callable, Iterator
 
@@ -33,3 +33,20 @@ def rows_to_many(df: DataFrame, fn: Callable[[dict], list[dict]], schema: str) -
                 yield pa.RecordBatch.from_pylist(made, schema=kinds)
 
     return df.mapInArrow(run, schema)
+
+
+def lateral_rows(
+    df: DataFrame, machine: type, schema: str, *arguments: str, outer: bool = False
+) -> DataFrame:
+    """`df` with a row for each row that a caller's table function makes of the named columns, beside
+    the row's own columns; `outer` keeps rows of which it makes none, with nulls.
+
+    `machine` is a class whose `eval(*arguments)` yields tuples of `schema`. It is made once per
+    partition, and `terminate`, where it has one, runs at its end. Its columns stand last; one that
+    `df` has already must be renamed before.
+    """
+    made = F.udtf(machine, returnType=schema)
+    call = made(*[F.col(f"`{a}`").outer() for a in arguments])
+    if outer:
+        return df.lateralJoin(call, how="left")
+    return df.lateralJoin(call)

@@ -354,3 +354,43 @@ def test_memory_is_not_shuffled_and_a_new_session_goes_on_with_it(spark, tmp_pat
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     # The one exchange is that of the distinct texts.
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_a_token_filter_loses_nothing_and_lets_few_strangers_through(spark):
+    from postloom.operators.tokens import token_filter
+
+    table = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("token"))
+    maybe = token_filter(table.unionByName(spark.sql("select null as token")), "token")
+    seen = spark.range(30_000).select(F.concat(F.lit("k"), "id").alias("t"))
+    assert table.where(maybe(F.col("token"))).count() == 3000
+    assert 3000 <= seen.where(maybe(F.col("t"))).count() < 3000 + 270
+    nothing = token_filter(table.where("false"), "token")
+    assert seen.where(nothing(F.col("t"))).count() == 0
+
+
+def test_only_hits_are_shuffled_for_a_table_beyond_broadcast(spark):
+    from postloom.operators.tokens import one_per_token, token_filter, token_hits
+
+    texts = spark.range(200).select(
+        "id", F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat(F.lit("w"), i + F.col("id") * 50)).alias("tokens")
+    )
+    table = spark.createDataFrame([(f"w{i}", float(i)) for i in range(0, 10_000, 100)], "token string, value double")
+    hits = token_hits(texts, "tokens", table, "token", "value", small=False)
+    assert hits.count() == 99
+    # The filter stands before the join, and lets through little more than the hits.
+    assert "getbit" in hits._jdf.queryExecution().optimizedPlan().toString()
+    before = texts.select(F.posexplode("tokens").alias("pos", "token"))
+    maybe = token_filter(one_per_token(table, "token", "value"), "token")
+    assert before.count() == 10_000 and 99 <= before.where(maybe(F.col("token"))).count() < 199
+
+
+def test_score_does_not_slow_with_the_number_of_idioms(spark):
+    posts = spark.createDataFrame([(1, "this is the bomb and good"), (2, "not a thing good")], "id int, t string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("bomb", -1.0)], "token string, valence double")
+    few = Rules()
+    many = Rules(idioms={**few.idioms, **{f"made up {i}": 1.0 for i in range(20_000)}})
+    scores = [
+        [r[0] for r in score(posts, lexicon, "t", rules=r).orderBy("id").select("sentiment_score").collect()]
+        for r in (few, many)
+    ]
+    assert scores[0] == scores[1] and scores[0][0] > 0
