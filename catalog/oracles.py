@@ -673,4 +673,19 @@ walk as (
   from walk where i < len(ws))
 select conv_id, turn, line::integer as line, count(*)::integer as n_words, max(used)::integer as n_chars
 from walk group by 1, 2, 3""",
+    "incremental_metrics": """with page as (
+  select conv_id, max(turn) as last from conversations group by 1),
+reasons as (
+  select case when page.conv_id % 5 = 1 then 'unreadable' when page.conv_id % 5 = 2 then 'no posts'
+    when last = 3 then 'no title' end as page_reason, page.conv_id, role
+  from page join conversations using (conv_id)),
+counted as (
+  select page_reason as reason, count(distinct conv_id) as n from reasons
+  where page_reason is not null group by 1
+  union all
+  select case when role = 'system' then 'no date' else 'kept' end, count(*) from reasons
+  where page_reason is null group by 1)
+select r.reason, coalesce(n, 0)::bigint as rows, 0::bigint as third, n as written
+from (values ('kept'), ('unreadable'), ('no title'), ('no posts'), ('no date'), ('no body')) r(reason)
+left join counted using (reason)""",
 }

@@ -39,7 +39,7 @@ from postloom.sources.posts_csv import (
 )
 from postloom.sources.scratch import new_path, stage
 from postloom.sources.tables import VersionedTable, append_each, append_sources
-from postloom.streaming.incremental import append_new, enrich_new, new_files
+from postloom.streaming.incremental import append_counted, append_new, enrich_new, new_files
 from postloom.streaming.threads import last_page_extracts, last_page_outcomes, titled_pages
 
 SITES = {"site1": SITE_1, "site2": SITE_2, "site3": SITE_3}
@@ -1109,3 +1109,26 @@ def incremental_titles(spark, sf):
     titled = titled_pages(read, links, "crawled", "listed")
     append_new(posts.page_outcomes(titled, SITE_3, need_title=True), out, new_path(spark, "log"))
     return spark.read.parquet(out).drop("source", "url")
+
+
+@query
+def incremental_metrics(spark, sf):
+    """The counts of a stream of spoiled pages, taken as it is written, over two runs."""
+    pages = _spoiled_pages(spark, sf)
+    early = F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    folder, out, log = (new_path(spark, n) for n in ("arrivals", "posts", "log"))
+    totals = []
+    for run, part in enumerate((early, ~early, F.lit(False)), 1):
+        pages.where(part).repartition(3).write.mode("append").parquet(folder)
+        stream = new_files(spark, folder, pages.schema, files_per_batch=1)
+        rows = posts.page_outcomes(extract.read_threads(stream, SITE_1), SITE_1)
+        found = append_counted(rows, out, log, posts.outcome_counts(), f"metrics_{new_path(spark, 'q')[-32:]}")
+        totals += [(run, k.replace("_", " "), n) for k, n in found.items()]
+    counted = spark.createDataFrame(totals, "run int, reason string, rows long")
+    written = posts.run_metrics(spark.read.parquet(out), "reason").select(
+        F.coalesce("reason", F.lit("kept")).alias("reason"), F.col("rows").alias("written")
+    )
+    # The third run finds nothing and counts nothing.
+    return counted.groupBy("reason").agg(
+        F.sum("rows").alias("rows"), F.sum(F.when(F.col("run") == 3, F.col("rows")).otherwise(0)).alias("third")
+    ).join(written, "reason", "left")

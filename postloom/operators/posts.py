@@ -313,6 +313,15 @@ def run_metrics(outcomes: DataFrame, column: str = "outcome") -> DataFrame:
     return outcomes.groupBy(F.col(column).alias("reason")).agg(F.count("*").alias("rows"))
 
 
+REASONS = ["unreadable", "no title", "no posts", "no date", "no body"]
+
+
+def outcome_counts() -> dict[str, Column]:
+    """Aggregates over `page_outcomes`: good posts, and rows of each reason."""
+    counts = {"kept": F.count_if(F.col("reason").isNull())}
+    return counts | {r.replace(" ", "_"): F.count_if(F.col("reason") == r) for r in REASONS}
+
+
 def observed(posts: DataFrame, observation) -> DataFrame:
     """The same rows; when they are written, the observation holds kept and rejected counts."""
     return posts.observe(

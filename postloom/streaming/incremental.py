@@ -1,11 +1,14 @@
 """New page files to posts, new posts to scores: each input file is taken once."""
 
 import json
+import threading
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 
 def new_files(
@@ -32,6 +35,57 @@ def append_new(rows: DataFrame, out: str, checkpoint: str):
     return query
 
 
+class _Totals(StreamingQueryListener):
+    """Adds up what the batches of one named stream have observed."""
+
+    def __init__(self, name: str):
+        self.name, self.sums, self.ended = name, Counter(), threading.Event()
+        self.id = None
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self.id = event.id
+
+    def onQueryProgress(self, event):
+        if event.progress.name == self.name:
+            for row in event.progress.observedMetrics.values():
+                self.sums.update({k: v or 0 for k, v in row.asDict().items()})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if event.id == self.id:
+            self.ended.set()
+
+
+def append_counted(
+    rows: DataFrame, out: str, checkpoint: str, counts: dict[str, Column], name: str
+) -> dict[str, int]:
+    """`append_new`, and the given aggregates (sums or counts) over the rows of this run, taken in
+    the pass that writes them. A run that finds nothing new gives zeros; a batch that failed and is
+    played again by a later run is counted there, once. `name` must be no other running stream's.
+    """
+    spark = rows.sparkSession
+    totals = _Totals(name)
+    spark.streams.addListener(totals)
+    try:
+        query = (
+            rows.observe(name, *[c.alias(k) for k, c in counts.items()])
+            .writeStream.format("parquet")
+            .queryName(name)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(out)
+        )
+        query.awaitTermination()
+        # Progress is reported beside the stream; its end is reported last.
+        totals.ended.wait(60)
+    finally:
+        spark.streams.removeListener(totals)
+    return {k: int(totals.sums.get(k, 0)) for k in counts}
+
+
 def enrich_new(
     rows: DataFrame, enrich: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ):
