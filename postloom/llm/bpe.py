@@ -319,11 +319,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     32-bit token ids of the whole text. A null or empty text has none. Repeated rows are encoded
     one by one. Special tokens that stand in a text become their ids, as in the file's own
     library, and nothing is added around a text. A column named `ids` is replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    # Plain values: a class would be looked for on the executors.
+    sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(path)))
     others = [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches):
-        encoder = Encoder(sent.value)
+        encoder = Encoder(Vocabulary(**sent.value))
         for batch in batches:
             at = 0
             for part in _slices(batch.column(len(others))):

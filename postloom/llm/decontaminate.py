@@ -230,14 +230,15 @@ def scan_texts(texts: DataFrame, machines: list[Automaton]) -> DataFrame:
     empty = F.from_json(F.lit(None).cast("string"), _REPORT)
     frame = texts.select("_row", "_text", empty.alias("_report"))
     for machine in machines:
-        sent = spark.sparkContext.broadcast(machine)
+        sent = spark.sparkContext.broadcast(vars(machine))  # plain values: executors need no install
 
         def run(batches, sent=sent):
+            machine = Automaton(**sent.value)
             for batch in batches:
                 reports = []
                 before = batch.column(2).to_pylist()
                 for old, (n, spans, names, longest) in zip(
-                    before, find_hits(batch.column(1), sent.value)
+                    before, find_hits(batch.column(1), machine)
                 ):
                     if old:
                         spans = merged(spans + [(s["start"], s["end"]) for s in old["spans"]])
@@ -334,14 +335,15 @@ def decontaminate(
     """
     machines = automata(benchmark, item, item_text, window)
     place = docs.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast(machines)
+    sent = docs.sparkSession.sparkContext.broadcast([vars(m) for m in machines])
 
     def run(batches):
+        machines = [Automaton(**m) for m in sent.value]
         for batch in batches:
             texts = batch.column(place)
             hit = {
                 i
-                for machine in sent.value
+                for machine in machines
                 for i, (_, spans, _, _) in enumerate(find_hits(texts, machine))
                 if spans
             }
@@ -351,7 +353,7 @@ def decontaminate(
             keep, new = [], texts.to_pylist()
             for i, value in enumerate(new):
                 if i in hit:
-                    new[i], n, cut = clean_text(value, sent.value)
+                    new[i], n, cut = clean_text(value, machines)
                     if cut > max_coverage * n:
                         continue
                 keep.append(i)

@@ -140,8 +140,8 @@ def fit(
     settings: Settings | None = None,
 ) -> Model:
     """A model of the rows with a language and a letter in their text. The sample of a language
-    is its `per_language` rows with the smallest hashes of id and text. Without any row the model
-    knows no language."""
+    is its `per_language` distinct texts with the smallest hashes, so repeated rows count once
+    there. Without any row the model knows no language."""
     settings = settings or Settings()
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.col(language).alias("_lang"))
     rows = rows.where("_text is not null and _lang is not null")
@@ -168,19 +168,20 @@ def fit(
     df = np.array([counted[i] for i in range(settings.bins)])
     model.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    order = Window.partitionBy("_lang").orderBy("_key", "_doc")
+    order = Window.partitionBy("_lang").orderBy("_key")
     with Workspace(docs.sparkSession) as work:
-        keyed = rows.where(F.col("_text").rlike(r"\p{L}")).withColumn("_key", F.xxhash64("_doc", "_text"))
-        ranked = keyed.select("_lang", "_doc", "_key").withColumn("_rank", F.row_number().over(order))
+        keyed = rows.where(F.col("_text").rlike(r"\p{L}")).withColumn("_key", F.md5("_text"))
+        # Distinct texts are picked, and each is moved once, however many rows have it.
+        ranked = keyed.select("_lang", "_key").distinct().withColumn("_rank", F.row_number().over(order))
         picked = work.stage(ranked.where(F.col("_rank") <= settings.per_language), "picked")
-        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_lang", "_doc", "_key")]
+        same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_lang", "_key")]
         sample = keyed.alias("k").join(F.broadcast(picked).alias("p"), same, "left_semi")
+        sample = sample.groupBy("_lang", "_key").agg(F.first("_text").alias("_text"))
         idf = model.idf
 
         def centres(group: pd.DataFrame) -> pd.DataFrame:
             letters = letter_table()
-            # Repeated rows may stand more than once; each text counts once.
-            texts = sorted(set(group["_text"]))[: settings.per_language]
+            texts = sorted(group["_text"])
             x = np.concatenate(
                 [
                     vectors(gram_counts(part, letters, settings)[0], idf)
@@ -212,12 +213,13 @@ def predict(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text
     """The columns `keep`, language, score (the cosine, 0 to 1) and whether it is rejected, per
     row. A null text, and one without a letter, has language `und`, score 0 and is rejected; so
     has every text where the model knows no language."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a class would be looked for on the executors.
+    sent = docs.sparkSession.sparkContext.broadcast({**vars(model), "settings": vars(model.settings)})
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("_text"))
 
     def run(batches):
-        model, letters = sent.value, letter_table()
+        model, letters = Model(**{**sent.value, "settings": Settings(**sent.value["settings"])}), letter_table()
         for batch in batches:
             at = 0
             for part in text_groups(batch.column(len(names))):

@@ -153,7 +153,8 @@ with docs as (
     from grouped
 ), quartiles as (
     select level, lang, source, rate, max(total) as n,
-        min(cell) filter (upto * 4 > total - 1) as low, min(cell) filter (upto * 4 > (total - 1) * 3) as high
+        min(cell) filter (upto * 4 > total - 1) as low, min(cell) filter (upto * 4 > (total - 1) * 2) as mid,
+        min(cell) filter (upto * 4 > (total - 1) * 3) as high
     from ranked group by all
 ), allowed as (
     select * from (values ('symbols', 1000), ('dup_lines', 1000), ('repeats', 1800), ('word_length', 30000))
@@ -161,13 +162,16 @@ with docs as (
 ), picked as (
     select o.lang, o.source, o.rate,
         case when o.n >= 100 then o.low when l.n >= 100 then l.low else a.low end as low,
+        o.mid, o.n >= 100 as alone,
         case when o.n >= 100 then o.high when l.n >= 100 then l.high else a.high end as high
     from quartiles o
     join quartiles l on l.level = 'language' and l.lang is not distinct from o.lang and l.rate = o.rate
     join quartiles a on a.level = 'all' and a.rate = o.rate
     where o.level = 'own'
 ), bounds as (
-    select lang, source, rate, low - (high - low) * 6 - allowance as least, high + (high - low) * 6 + allowance as most
+    select lang, source, rate,
+        case when alone then mid - (high - mid) * 12 else low - (high - low) * 6 end - allowance as least,
+        case when alone then mid + (mid - low) * 12 else high + (high - low) * 6 end + allowance as most
     from picked join allowed using (rate)
 ), verdicts as (
     select r, bool_and(v <= most and (rates.rate <> 'word_length' or v >= least)) as fine

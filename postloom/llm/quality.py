@@ -6,8 +6,11 @@ A document's counts are taken in one pass over its whole text. Its rates, as who
 They need no randomness and no order, so a retried task changes nothing. A group with few
 documents uses the merged sketch of its language, and then of all documents.
 
-A rate is out of bounds where it lies further beyond the middle half of its group than
-`reach` times that half's width plus an allowance.
+A rate is out of bounds where it lies further above its group's median than `reach` times the way
+from the lower quartile to the median, plus an allowance. What lies above the median has no say in
+it, so up to half of a group may be junk; for rates that can be too small the same holds below. In
+a merged sketch the norms of several sources meet, so there the way is half the middle half's width
+and counts from its ends.
 """
 
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ class Rules:
     max_repeat_percent: int = 20
     window: int = 5
     min_docs: int = 100
-    reach: int = 6
+    reach: int = 12
     allowance: dict = field(
         default_factory=lambda: {
             "symbols": 1_000,
@@ -164,13 +167,13 @@ def merge(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quartiles(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rate, n, low, high): documents and the cells of the lower and upper quartile."""
+    """(by..., rate, n, low, mid, high): documents and the cells of the quartiles."""
     group = Window.partitionBy(*by, "rate")
     upto = F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     ranked = cells.withColumns({"upto": upto, "all": F.sum("n").over(group)})
     at = lambda q: F.min(F.when(F.col("upto") * 4 > (F.col("all") - 1) * q, F.col("cell")))
     return ranked.groupBy(*by, "rate").agg(
-        F.max("all").alias("n"), at(1).alias("low"), at(3).alias("high")
+        F.max("all").alias("n"), at(1).alias("low"), at(2).alias("mid"), at(3).alias("high")
     )
 
 
@@ -193,9 +196,13 @@ def bounds(cells: DataFrame, language: str, source: str, rules: Rules) -> DataFr
         .when(F.col("l_n") >= rules.min_docs, F.col(f"l_{c}"))
         .otherwise(F.col(f"a_{c}"))
     )
-    low, high = pick("low"), pick("high")
-    slack = (high - low) * rules.reach + allowance[F.col("rate")]
-    bound = F.struct((low - slack).alias("least"), (high + slack).alias("most"))
+    low, high, allowed = pick("low"), pick("high"), allowance[F.col("rate")]
+    alone, mid = F.col("n") >= rules.min_docs, F.col("mid")
+    wide = F.floor((high - low) * rules.reach / 2)
+    bound = F.struct(
+        (F.when(alone, mid - (high - mid) * rules.reach).otherwise(low - wide) - allowed).alias("least"),
+        (F.when(alone, mid + (mid - low) * rules.reach).otherwise(high + wide) + allowed).alias("most"),
+    )
     return joined.groupBy(language, source).agg(
         *[
             F.max(F.when(F.col("rate") == r, bound)).alias(f"_{r}")

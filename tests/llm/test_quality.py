@@ -88,3 +88,19 @@ def test_clean_documents_of_the_given_table_stay(spark):
     good = [rows[r.doc_id].kept for r in labels if r.quality == 1 and rows[r.doc_id].n_words >= 10]
     bad = [rows[r.doc_id].kept for r in labels if r.quality == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_half_of_a_group_may_be_junk(spark):
+    for percent in (10, 26, 30, 40, 50):
+        junk = 4 * percent
+        rows = [(i, plain(i) + (MARKS if i < junk else ""), "en", "hot", "", "") for i in range(400)]
+        found = {r.doc_id: r for r in quality.judge(frame(spark, rows, SCHEMA)).collect()}
+        assert sum(found[i].kept for i in range(junk)) <= 0.1 * junk, percent
+        assert sum(not found[i].kept for i in range(junk, 400)) <= 0.01 * (400 - junk), percent
+        assert not any(r.base_failed for r in found.values())
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(300_000)) + "\nend\nend"
+    row = quality.judge(frame(spark, [(1, text, "en", "a", "", "")], SCHEMA)).first()
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words, row.base_failed) == (300_002, 1, 0, False)
