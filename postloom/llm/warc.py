@@ -1,8 +1,8 @@
 """Legacy ARC archives, version 1 and 2, to WARC.
 
 An ARC file opens with a record that says its version; that decides the fields of every later
-header line. Fields are taken from the right, as old addresses may hold blanks, and the content
-is as long as the line declares. Each record becomes a WARC record: an identifier from its
+header line. Fields are found around the date, as old addresses and content types may hold blanks,
+and the content is as long as the line declares. Each record becomes a WARC record: an identifier from its
 address, time and content, the time in ISO form, the type from the content (an HTTP answer is a
 response, anything else a resource), and SHA-1 digests in base 32. Of responses with equal
 payloads one is written whole; the others are revisits, with their HTTP headers and a reference.
@@ -15,6 +15,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,14 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename"
     " Archive-length",
 }
+#: The header line of a record: an address that may hold blanks, then fields anchored on the date.
+_LINE = {
+    1: re.compile(rb"(.+?) (\S+) (\d{4,14}|-) (.*) (\d+)\r?\n?"),
+    2: re.compile(rb"(.+?) (\S+) (\d{4,14}|-) (.*?) (\d{3}|-) (\S+) (\S+) (\d+|-) (\S+) (\d+)\r?\n?"),
+}
+#: Where a broken record is passed over, what the next header line must look like.
+_ADDRESS, _DATED = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*:\S"), re.compile(rb"\d{8,14}")
+LONGEST_LINE = 1 << 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARC_SCHEMA = (
     "file string, offset long, version int, url string, ip string, date string, mime string, "
@@ -45,11 +54,13 @@ def sha1_base32(data: bytes) -> str:
 
 def write_arc(records: DataFrame, path: str, version: int) -> None:
     """Writes `records(url, ip, date, mime, content)`, content binary, as ARC files of a version.
-    Blanks and control characters of an address are percent-encoded; null fields become `-`."""
+    Blanks and control characters of an address are percent-encoded, those of an IP or date become
+    `_`, control characters of a content type become blanks; null fields become `-`."""
     field = lambda c: F.coalesce(F.col(c), F.lit("-"))
+    plain = lambda c: F.regexp_replace(field(c), r"[\x00-\x20]", "_")
     url = F.regexp_replace(field("url"), r"[\x00-\x20]", "%20")
     size = F.octet_length("content").cast("string")
-    middle = [field("ip"), field("date"), field("mime")]
+    middle = [plain("ip"), plain("date"), F.regexp_replace(field("mime"), r"[\x00-\x1f]", " ")]
     if version == 2:
         middle += [F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("-")]
     line = F.concat_ws(" ", url, *middle, size)
@@ -102,21 +113,33 @@ def split_http(content: bytes) -> tuple[bytes | None, bytes]:
 
 
 def parse_arc(file: str, stream, content: bool = True):
-    """Rows of `ARC_SCHEMA`, with null payloads unless `content`. A file that breaks off in a record gives it as truncated; a line that
-    is no header ends the file with a row that says so in `problem`."""
-    version, offset = 0, 0
+    """Rows of `ARC_SCHEMA`, with null payloads unless `content`.
+
+    A file that breaks off in a record gives it as truncated. A line that is no header gives a row
+    that says so in `problem`, and reading goes on at the next line that is one beyond doubt: an
+    address with its scheme, and a date of eight digits or more. A file without a version record
+    gives one such row."""
+    version, offset, lost = 0, 0, False
     while True:
-        line = stream.readline()
+        line = stream.readline(LONGEST_LINE)
         at, offset = offset, offset + len(line)
         if not line:
             return
         if line in (b"\n", b"\r\n"):
             continue
-        wanted = len(FIELDS[version].split()) if version else (5 if line.count(b" ") < 9 else 10)
-        fields = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", wanted - 1)
-        if len(fields) != wanted or not fields[-1].isdigit():
-            yield (file, at, version, *[None] * 7, "no header line", *[None] * 4)
-            return
+        kinds = [version] if version else [2, 1]
+        match = next((m for k in kinds if (m := _LINE[k].fullmatch(line))), None)
+        sure = match and _ADDRESS.match(line) and _DATED.fullmatch(match[3])
+        if not match or (lost and not sure):
+            if not lost:
+                problem = "no header line" if version else "no version record"
+                yield (file, at, version, *[None] * 7, problem, *[None] * 4)
+            if not version:
+                return
+            lost = True
+            continue
+        lost = False
+        fields = [f.decode("utf-8", "replace") for f in match.groups()]
         size = int(fields[-1])
         body = stream.read(size)
         offset += len(body)
@@ -220,20 +243,31 @@ def convert(
     )
 
 
+def warc_time(date: Column) -> Column:
+    """A legacy date of 8, 10, 12 or 14 digits as YYYY-MM-DDThh:mm:ssZ, what it lacks taken as
+    zero; null for others, and for days and hours that do not exist."""
+    whole = F.rpad(F.when(F.length(date).isin(8, 10, 12, 14) & date.rlike(r"^\d+$"), date), 14, "0")
+    part = lambda at, size: F.substring(whole, at, size)
+    day = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
+    clock = F.concat_ws(":", part(9, 2), part(11, 2), part(13, 2))
+    real = day.try_cast("date").isNotNull() & clock.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$")
+    return F.when(real, F.concat(day, F.lit("T"), clock, F.lit("Z")))
+
+
+def rejected(arc: DataFrame) -> DataFrame:
+    """(file, offset, url, date, problem) of what `convert` leaves out: lines that are no header,
+    files without a version record, and records whose date cannot be a WARC-Date."""
+    reason = F.coalesce("problem", F.when(warc_time(F.col("date")).isNull(), "no valid date"))
+    return arc.select("file", "offset", "url", "date", reason.alias("problem")).where("problem is not null")
+
+
 def _described(arc: DataFrame, order: Column) -> DataFrame:
-    """The readable records with what WARC calls their type, address, time and identifier."""
-    rows = arc.where("problem is null").select(
+    """The readable records with what WARC calls their type, address, time and identifier; the
+    others are in `rejected`."""
+    rows = arc.where("problem is null").where(warc_time(F.col("date")).isNotNull()).select(
         F.when(F.col("http").isNull(), "resource").otherwise("response").alias("type"),
         F.col("url").alias("uri"),
-        F.concat(
-            *[
-                part
-                for at, size, mark in (
-                    (1, 4, "-"), (5, 2, "-"), (7, 2, "T"), (9, 2, ":"), (11, 2, ":"), (13, 2, "Z")
-                )
-                for part in (F.substring("date", at, size), F.lit(mark))
-            ]
-        ).alias("time"),
+        warc_time(F.col("date")).alias("time"),
         "ip",
         "payload_digest",
         "payload_bytes",

@@ -109,3 +109,51 @@ def test_pages_without_an_id_or_text(spark, tmp_path):
         (4, 1, "response", None), (6, 1, "response", None),
     ]
     assert got == sorted(want, key=str)
+
+
+def test_legacy_header_lines_of_all_kinds(spark):
+    line = b"http://a/ 1.2.3.4 19970102030405 text/html; charset=utf-8 5\nhello\n"
+    broken = b"http://b/ 1.2.3.4 1997 text/html five\nsome text\n\nhttp://in.text/ and more\n"
+    row, problem, last = parse(HEAD + b"\n" + line + broken + line)
+    assert row[3:7] == ("http://a/", "1.2.3.4", "19970102030405", "text/html; charset=utf-8")
+    assert problem[10] == "no header line" and last[3:10] == row[3:10] and problem[1] < last[1]
+    # A length that is too short: the rest of the content is passed over.
+    short = line.replace(b" 5\nhello", b" 2\nhello")
+    assert [r[10] for r in parse(HEAD + short + line)] == [None, "no header line", None]
+    two = b"filedesc://x 0 19960923142103 text/plain 200 - - 0 - %d\n" % len(BODY2) + BODY2
+    row = parse(two + b"http://c/ - 20010101 text/html; a=b 302 - http://d/ 0 f.arc.gz 3\nabc")[0]
+    assert row[3:7] == ("http://c/", "-", "20010101", "text/html; a=b") and row[9] == b"abc"
+
+
+BODY2 = f"2 0 old\n{warc.FIELDS[2]}\n\n".encode()
+
+
+def test_dates_are_completed_or_rejected(spark):
+    from pyspark.sql import functions as F
+
+    dates = {
+        "19970203040506": "1997-02-03T04:05:06Z", "199702030405": "1997-02-03T04:05:00Z",
+        "1997020304": "1997-02-03T04:00:00Z", "19970203": "1997-02-03T00:00:00Z",
+        "20240229": "2024-02-29T00:00:00Z", "20230229": None, "19971301": None, "-": None, "": None,
+        "1997": None, "199702": None, "19970203246000": None, "1997020304050": None, None: None,
+    }
+    rows = frame(spark, [(d,) for d in dates], "date string")
+    assert {r[0]: r[1] for r in rows.select("date", warc.warc_time(F.col("date"))).collect()} == dates
+
+
+def test_rejected_records_are_a_table_and_every_time_is_valid(spark):
+    records = [
+        ("u 1", "i", "19970101", "text/html; charset=utf-8", HTTP % 1 + b"pay"),
+        ("u2", "i", "-", "m", HTTP % 2 + b"lost"),
+        ("u3", "a b\n", "1997", "m\nn", HTTP % 3 + b"lost too"),
+    ]
+    rows = frame(spark, records, "url string, ip string, date string, mime string, content binary")
+    arc, out = new_path(spark, "arc"), new_path(spark, "warc")
+    warc.write_arc(rows.coalesce(1), arc, 1)
+    old = warc.read_arc(spark, arc)
+    assert {(r.url, r.problem) for r in warc.rejected(old).collect()} == {("u2", "no valid date"), ("u3", "no valid date")}
+    warc.write_warc(warc.convert(old, warc.http_header(old["http"], "X-Page-Id").cast("long")), out)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(out).collect() if r.length]
+    text = b"".join(gzip.decompress(f) for f in files)
+    (headers, _), = warc.parse_warc(io.BufferedReader(io.BytesIO(text)))
+    assert headers["warc-date"] == "1997-01-01T00:00:00Z" and headers["warc-target-uri"] == "u%201"
