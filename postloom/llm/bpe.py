@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.llm.words import thrifty
+
 LONGEST = 64
-REMEMBERED = 100_000
-PIECE = 1 << 20
+REMEMBERED = 60_000
+PIECE = 1 << 19
 NONE = np.iinfo(np.int32).max
 
 #: Fixed value: how text is cut before merging.
@@ -335,7 +337,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     frame = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text))
     schema = with_field(frame.drop(text).schema, ids, T.BinaryType())
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(thrifty(run), schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.words import ALNUM, LOWER, find_words, hash_words, text_pieces
+from postloom.llm.words import ALNUM, LOWER, find_words, hash_words, text_pieces, thrifty
 
 MAX_ITEM_BYTES = 4 << 20
 WINDOW = 10
@@ -362,5 +362,5 @@ def decontaminate(
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 

@@ -34,6 +34,7 @@ from postloom.llm.words import (
     hash_words,
     shingles,
     text_pieces,
+    thrifty,
 )
 from postloom.sources.scratch import Workspace, stage
 
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, doc: str, text: str, settings: Settings) -> Data
 
     kind = docs.schema[doc].dataType.simpleString()
     return docs.select(doc, text).mapInArrow(
-        run, f"doc {kind}, n_shingles long, set_key binary, signature binary"
+        thrifty(run), f"doc {kind}, n_shingles long, set_key binary, signature binary"
     )
 
 
@@ -411,7 +412,7 @@ def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFra
     wanted = _sent(nodes.select(F.col("first_doc").alias("_doc")).distinct())
     rows = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
     rows = rows.join(wanted, "_doc", "left_semi").select("_text")
-    found = rows.mapInArrow(run, "set_key binary, set binary")
+    found = rows.mapInArrow(thrifty(run), "set_key binary, set binary")
     # A document id that stands on several rows may give a set more than once.
     found = found.groupBy("set_key").agg(F.first("set").alias("set"))
     return found.join(nodes.select("set_key", "node", "signature"), "set_key").drop("set_key")

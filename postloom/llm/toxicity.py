@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.llm.words import thrifty
 from postloom.sources.scratch import Workspace
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -244,7 +245,7 @@ def severity(
             yield pa.RecordBatch.from_arrays([*batch.columns, result], [*batch.schema.names, out])
 
     verdict = T.StructType().add("expected", "double").add("toxic", "boolean")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, verdict)]))
+    return docs.mapInArrow(thrifty(run), T.StructType([*docs.schema.fields, T.StructField(out, verdict)]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -4,7 +4,8 @@ A batch of texts is one byte buffer and its offsets. It is worked on in pieces o
 megabyte, so memory follows the piece (or one longer text), never the batch.
 """
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def thrifty(run: Callable) -> Callable:
+    """A function for mapInArrow whose worker, which lives on from task to task and from stage to
+    stage, gives the memory that a task has freed back to the machine when the task is done."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
