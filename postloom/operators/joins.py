@@ -61,7 +61,8 @@ def spread_join(
 
     A key with n left rows is dealt onto ceil(n / rows_per_task) salts, and its right rows are
     copied once per salt, so the result is exact. Only hot keys carry a salt count, and their
-    list is short by construction (see `hot_keys`), so it is broadcast. Null keys match nothing
+    list is short by construction (see `hot_keys`), so it is broadcast; without one, this is the
+    plain join. Null keys match nothing
     and are dealt widely, by content. Where there is a hot key, `left` is staged first and dealt
     by the place of its rows there, which keeps equal rows apart and which a retried task sees
     again. Without a given `hot`, the keys of `left` are counted in a pass of their own, combined
@@ -71,11 +72,15 @@ def spread_join(
     if hot is None:
         counts = left.groupBy(key).agg(F.count("*").alias("_n"))
         hot = hot_keys(counts, key, "_n", rows_per_task)
-    hot = stage(hot, "hot-keys")
-    number = F.xxhash64(*left.columns) + F.spark_partition_id()
-    if not hot.isEmpty():
-        left = stage(left, "dealt-rows")
-        number = F.monotonically_increasing_id()
+    few = hot.collect()  # at most MAX_HOT_KEYS
+    if not few:
+        number = F.xxhash64(*left.columns) + F.spark_partition_id()
+        salt = F.when(F.col(key).isNull(), F.pmod(number, F.lit(NULL_SALTS))).otherwise(F.lit(0))
+        copied = (right.drop(rows) if rows else right).withColumn("_salt", F.lit(0))
+        return left.withColumn("_salt", salt.cast("int")).join(copied, [key, "_salt"], how).drop("_salt")
+    hot = left.sparkSession.createDataFrame(few, hot.schema)
+    left = stage(left, "dealt-rows")
+    number = F.monotonically_increasing_id()
     dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
         "_salt",
         F.when(F.col(key).isNull(), F.pmod(number, F.lit(NULL_SALTS)))

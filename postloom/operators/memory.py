@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import is_blank
 from postloom.operators.joins import ROWS_PER_TASK, fingerprint, hot_keys, spread_join
-from postloom.operators.translate import TRANSLATED, backend_udf
+from postloom.operators.translate import TRANSLATED, backend_udf, distinct_texts
 from postloom.sources.scratch import Workspace, stage
 
 _SCHEMA = "print string, source_text string, target_text string"
@@ -58,8 +58,7 @@ class Memory:
 def one_per_print(posts: DataFrame, text: str) -> DataFrame:
     """(print, text, rows): each text that is not blank once, keyed by its print. Copies are
     combined before they are shuffled, and it is the print that they are sorted by."""
-    keyed = posts.where(~is_blank(F.col(text))).select(fingerprint(F.col(text)).alias("print"), text)
-    return keyed.groupBy("print").agg(F.first(text).alias(text), F.count("*").alias("rows"))
+    return distinct_texts(posts, text).withColumnRenamed("_print", "print")
 
 
 def translate_by_memory(

@@ -27,9 +27,11 @@ def unique_memory(memory: DataFrame) -> DataFrame:
 
 
 def distinct_texts(posts: DataFrame, text: str) -> DataFrame:
-    """Each text to be translated, once, with its number of rows; copies are combined before
-    they are shuffled."""
-    return posts.where(~is_blank(F.col(text))).groupBy(text).agg(F.count("*").alias("rows"))
+    """(_print, text, rows): each text to be translated, once, by its fingerprint; copies are
+    combined before they are shuffled. Two different texts of one print (128 bits) would pass as
+    one."""
+    keyed = posts.where(~is_blank(F.col(text))).select(fingerprint(F.col(text)).alias("_print"), text)
+    return keyed.groupBy("_print").agg(F.first(text).alias(text), F.count("*").alias("rows"))
 
 
 def _answers(translate, texts: list[str]) -> list[str | None]:
@@ -73,22 +75,30 @@ def dictionary(
 
     Only texts the memory lacks reach the backend. Written out, this is new memory.
     """
-    memory = unique_memory(memory)
-    small = small is not False and fits(memory)
-    texts = distinct_texts(posts, text)
-    known = texts.join(
-        F.broadcast(memory) if small else memory, F.col(text) == F.col("source_text"), "left"
+    found = _answered(posts, memory, text, make_backend, small is not False and fits(memory))
+    return found.select(text, "rows", F.coalesce("translation", text).alias("translation"), "via")
+
+
+def _answered(posts, memory, text: str, make_backend, small: bool) -> DataFrame:
+    """(_print, text, rows, translation, via); the translation of an original is null. Prints are
+    the join key, and where they are equal the texts are compared."""
+    known = memory.where(~is_blank(F.col("source_text")) & F.col("target_text").isNotNull())
+    known = known.groupBy(fingerprint(F.col("source_text")).alias("_print")).agg(
+        F.min(F.struct("source_text", "target_text")).alias("_known")
     )
+    texts = distinct_texts(posts, text)
+    found = texts.join(F.broadcast(known) if small else known, "_print", "left")
+    target = F.when(F.col("_known.source_text") == F.col(text), F.col("_known.target_text"))
+    found = found.select(*texts.columns, target.alias("_target"))
     if make_backend is None:
-        known = known.withColumn("_new", F.lit(None).cast("string"))
+        found = found.withColumn("_new", F.lit(None).cast("string"))
     else:
-        missing = F.when(F.col("target_text").isNull(), F.col(text))
-        known = known.withColumn("_new", backend_udf(make_backend)(missing))
-    return known.select(
-        text,
-        "rows",
-        F.coalesce("target_text", "_new", text).alias("translation"),
-        F.when(F.col("target_text").isNotNull(), "memory")
+        missing = F.when(F.col("_target").isNull(), F.col(text))
+        found = found.withColumn("_new", backend_udf(make_backend)(missing))
+    return found.select(
+        *texts.columns,
+        F.coalesce("_target", "_new").alias("translation"),
+        F.when(F.col("_target").isNotNull(), "memory")
         .when(F.col("_new").isNotNull(), "backend")
         .otherwise("original")
         .alias("via"),
@@ -123,17 +133,15 @@ def translate(
             }
         ).drop("source_text", "target_text")
     else:
-        counts = distinct_texts(posts, text).select(
-            fingerprint(F.col(text)).alias("_text"), "rows"
-        )
+        known = _answered(posts, memory, text, make_backend, small)
         # Written out, so that no later use of the posts asks the backend again.
-        known = stage(dictionary(posts, memory, text, make_backend, small), "dictionary")
-        known = known.select(fingerprint(F.col(text)).alias("_text"), "rows", "translation", "via")
+        known = stage(known.drop(text).withColumnRenamed("_print", "_text"), "dictionary")
         keyed = posts.withColumn("_text", F.when(~blank, fingerprint(F.col(text))))
-        hot = hot_keys(counts, "_text", "rows", rows_per_task)
+        hot = hot_keys(known, "_text", "rows", rows_per_task)
         found = spread_join(
             keyed, known, "_text", rows_per_task=rows_per_task, hot=hot, rows="rows"
         ).drop("_text")
+        found = found.withColumn("translation", F.coalesce("translation", text))
     return found.withColumns(
         {
             out: F.when(blank, "").otherwise(F.col("translation")),

@@ -394,3 +394,11 @@ def test_score_does_not_slow_with_the_number_of_idioms(spark):
         for r in (few, many)
     ]
     assert scores[0] == scores[1] and scores[0][0] > 0
+
+
+def test_texts_are_moved_by_their_prints(spark):
+    posts = texts(spark, ["ja", "ja", "nej", " ", None])
+    plan = tr.distinct_texts(posts, "x")._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning(_print" in plan and "hashpartitioning(x" not in plan
+    rows = [(r.x, r.rows) for r in tr.distinct_texts(posts, "x").collect()]
+    assert sorted(rows) == [("ja", 2), ("nej", 1)]

@@ -281,3 +281,11 @@ def test_ordered_export_is_bounded_and_in_order(spark, tmp_path):
     read = [spark.read.csv(str(f), header=True, multiLine=True, quote='"', escape='"').collect() for f in files]
     assert len(files) >= 7 and max(map(len, read)) <= 150
     assert [(r[1], int(r[0])) for part in read for r in part] == [(f"t{i:02}", j) for i in range(10) for j in range(1, 101)]
+
+
+def test_without_hot_keys_the_join_sends_no_list_around(skewed):
+    facts, table = skewed
+    plan = spread_join(facts, table.hint("merge"), "key")._jdf.queryExecution().toString()
+    assert "_salts" not in plan
+    few = spread_join(facts, table, "key").count()
+    assert few == spread_join(facts, table, "key", "left", 100).count() == facts.count()
