@@ -320,10 +320,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """`docs` with the binary column `ids` in place of `text`: packed little-endian unsigned
     32-bit token ids of the whole text. A null or empty text has none. Repeated rows are encoded
     one by one. Special tokens that stand in a text become their ids, as in the file's own
-    library, and nothing is added around a text. A column named `ids` is replaced."""
+    library, and nothing is added around a text. A column named `ids`, in any case, is replaced."""
     # Plain values: a class would be looked for on the executors.
     sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(path)))
-    others = [c for c in docs.columns if c not in (text, ids)]
+    others = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
 
     def run(batches):
         encoder = Encoder(Vocabulary(**sent.value))

@@ -326,15 +326,18 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW,
     max_coverage: float = 0.5,
+    length: str | None = None,
 ) -> DataFrame:
     """`docs` with benchmark spans cut from the texts.
 
     A hit of at least `window` words, or a whole shorter item, is cut out. A document of whose
     words more than `max_coverage` would go is dropped. All other rows and columns stay as they
-    are, null and empty texts too.
+    are, null and empty texts too; but where `length` names a column, it holds the code points of
+    each text that was cut.
     """
     machines = automata(benchmark, item, item_text, window)
     place = docs.columns.index(text)
+    sized = docs.columns.index(length) if length else None
     sent = docs.sparkSession.sparkContext.broadcast([vars(m) for m in machines])
 
     def run(batches):
@@ -351,15 +354,19 @@ def decontaminate(
                 yield batch
                 continue
             keep, new = [], texts.to_pylist()
+            sizes = batch.column(sized).to_pylist() if length else []
             for i, value in enumerate(new):
                 if i in hit:
                     new[i], n, cut = clean_text(value, machines)
                     if cut > max_coverage * n:
                         continue
+                    if length and new[i] != value:
+                        sizes[i] = len(new[i])
                 keep.append(i)
-            columns = [
-                pa.array(new, texts.type) if i == place else c for i, c in enumerate(batch.columns)
-            ]
+            columns = list(batch.columns)
+            columns[place] = pa.array(new, texts.type)
+            if length:
+                columns[sized] = pa.array(sizes, columns[sized].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).take(pa.array(keep, pa.int64()))
 
     return docs.mapInArrow(thrifty(run), docs.schema)

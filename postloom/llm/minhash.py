@@ -31,6 +31,7 @@ from postloom.llm.words import (
     LOWER,
     NOT_BLANK,
     find_words,
+    free_name,
     hash_words,
     shingles,
     text_pieces,
@@ -487,22 +488,23 @@ def drop_near_duplicates(
     several rows goes if none of them is kept; else the row with the smallest text stays. Rows
     without an id cannot be named, and stay."""
     found = near_duplicates(docs, doc, text, settings)
-    drop = found.groupBy(F.col(doc).alias("_drop")).agg(F.max("kept").alias("_kept"))
-    drop = drop.where("not _kept").select("_drop")
+    gone, many, whole = (free_name(docs, n) for n in ("_drop", "_many", "_row"))
+    drop = found.groupBy(F.col(doc).alias(gone)).agg(F.max("kept").alias("_kept"))
+    drop = drop.where("not _kept").select(gone)
     repeated = (
-        docs.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("_many"))
-        .agg(F.count("*").alias("_n")).where("_n > 1").select("_many")
+        docs.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias(many))
+        .agg(F.count("*").alias("_n")).where("_n > 1").select(many)
     )
-    left = docs.join(_sent(stage(drop, "dropped")), F.col(doc) == F.col("_drop"), "left_anti")
+    left = docs.join(_sent(stage(drop, "dropped")), F.col(doc) == F.col(gone), "left_anti")
     repeated = stage(repeated, "repeated-ids")
     if repeated.isEmpty():
         return left
     columns, repeated = docs.columns, _sent(repeated)
     rest = [c for c in columns if c != doc]
-    single = left.join(repeated, F.col(doc) == F.col("_many"), "left_anti")
-    several = left.join(repeated, F.col(doc) == F.col("_many"), "left_semi")
-    one = several.groupBy(doc).agg(F.min_by(F.struct(*rest), F.col(text)).alias("_row"))
-    return single.unionByName(one.select(doc, "_row.*").select(*columns))
+    single = left.join(repeated, F.col(doc) == F.col(many), "left_anti")
+    several = left.join(repeated, F.col(doc) == F.col(many), "left_semi")
+    one = several.groupBy(doc).agg(F.min_by(F.struct(*rest), F.col(text)).alias(whole))
+    return single.unionByName(one.select(doc, f"{whole}.*").select(*columns))
 
 
 def drop_near_duplicate_rows(
@@ -511,9 +513,7 @@ def drop_near_duplicate_rows(
     """`docs` with one row of each group: of its rows the one with the smallest id, null last, ties
     by place in the table. Every row is a document of its own, so repeated and null ids neither
     lose nor spare rows."""
-    key = "_place"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
+    key, gone = free_name(docs, "_place"), free_name(docs, "_drop")
     # Written, so that the numbers stay.
     rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(rows, key, text, settings).select(key, "component_id")
@@ -523,6 +523,6 @@ def drop_near_duplicate_rows(
     least = least.select(F.col("_least.place").alias("_kept"))
     # By row, not by group, so that a large group is spread.
     drop = found.join(least, F.col(key) == F.col("_kept"), "left_anti")
-    drop = drop.select(F.col(key).alias("_drop"))
+    drop = drop.select(F.col(key).alias(gone))
     drop = _sent(stage(drop, "dropped"))
-    return rows.join(drop, F.col(key) == F.col("_drop"), "left_anti").drop(key)
+    return rows.join(drop, F.col(key) == F.col(gone), "left_anti").drop(key)

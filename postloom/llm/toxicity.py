@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postloom.llm.words import thrifty
+from postloom.llm.words import free_name, thrifty
 from postloom.sources.scratch import Workspace
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -250,7 +250,5 @@ def severity(
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` without those that `severity` calls toxic; other columns stay."""
-    out = "_severity"
-    while out in docs.columns:
-        out += "_"
+    out = free_name(docs, "_severity")
     return severity(docs, model, text, out).where(~F.col(out)["toxic"]).drop(out)

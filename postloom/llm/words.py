@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -26,6 +27,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, or with underscores added where the frame has it, in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def thrifty(run: Callable) -> Callable:
     """A function for mapInArrow whose worker, which lives on from task to task and from stage to
     stage, gives the memory that a task has freed back to the machine when the task is done."""

@@ -91,3 +91,9 @@ def test_digests_of_the_query(spark, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(docs[row.doc_id].encode()).hexdigest()
+
+
+def test_a_column_named_like_the_ids_in_another_case_is_replaced(spark):
+    docs = documents(spark, ["some text"]).withColumnRenamed("node", "IDS")
+    out = bpe.encode(docs, PATH)
+    assert "IDS" not in out.columns and out.select("ids").first().ids is not None

@@ -84,6 +84,8 @@ def test_spans_are_cut_and_nothing_else(spark):
     items = [("" if i is None else str(i), t) for i, t in ITEMS]
     for text in rows.values():
         assert brute(text, items)[1] == 0
+    sized = decontaminate.decontaminate(docs, benchmark(spark, ITEMS), length="n_chars").collect()
+    assert {r.doc_id: r.n_chars for r in sized} == {i: len(t) if t != texts[i] else 0 for i, t in rows.items()}
 
 
 def test_what_closes_up_to_a_passage_goes_too():

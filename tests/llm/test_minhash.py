@@ -95,6 +95,12 @@ def test_repeated_and_null_ids_neither_lose_nor_spare_rows(spark):
     left = minhash.drop_near_duplicate_rows(documents(spark, texts).repartition(5))
     assert {r.doc_id for r in left.collect()} == set(components(range(len(texts)), texts, 5).values())
     assert minhash.drop_near_duplicate_rows(documents(spark, [])).count() == 0
+    clash = documents(spark, ["a b", "a b", "c"]).withColumnsRenamed(
+        {"_text": "_drop", "_row": "_MANY", "node": "_Place", "source": "_kept"}
+    )
+    for drop in (minhash.drop_near_duplicate_rows, minhash.drop_near_duplicates):
+        left = drop(clash)
+        assert left.columns == clash.columns and sorted(r.doc_id for r in left.collect()) == [0, 2]
 
 
 def test_posterior_bound_is_monotone_and_spares_the_similar():

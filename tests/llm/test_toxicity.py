@@ -90,3 +90,10 @@ def test_labels_of_the_given_documents(spark):
     toxic = {r.doc_id: r.toxic for r in rows}
     clean = [toxic[r.doc_id] for r in known if r.toxic == 0]
     assert len(rows) == 1000 and sum(clean) == 0
+
+
+def test_columns_that_differ_by_case_only_stay(spark):
+    texts, toxic = labelled(spark, 120)
+    docs = documents(spark, texts).withColumnRenamed("node", "_SEVERITY")
+    model = toxicity.fit(docs, labels(spark, [(i, 1, t) for i, t in enumerate(toxic)]))
+    assert toxicity.drop_toxic(docs, model).columns == docs.columns
