@@ -342,10 +342,12 @@ def pseudonymise(
     text: str = "text",
     changed: str | None = None,
     every_phone: bool = False,
+    length: str | None = None,
 ) -> DataFrame:
     """`docs` with pseudonyms in `text`; with `changed`, a column of how many values were replaced
     (null for a null text), in place of any column of that name. `every_phone` also replaces numbers
-    shaped like a phone whose area or exchange is below 200, which else count as not valid. Null and
+    shaped like a phone whose area or exchange is below 200, which else count as not valid. IPv4
+    addresses may grow or shrink by a few digits; a column named by `length` follows. Null and
     empty texts stay as they are, and so do all other columns. Rows are independent, so repeated
     rows stay equal."""
     columns = docs.columns
@@ -370,9 +372,17 @@ def pseudonymise(
     between = F.split(old, PATTERN, -1)
     pieces = F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     new = F.when(hit, F.array_join(pieces, "")).otherwise(old)
-    out = [
-        new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns if c != changed
-    ]
+    grown = F.aggregate(
+        F.zip_with("_found", "_new", lambda a, b: F.length(b) - F.length(a)),
+        F.lit(0),
+        lambda n, d: n + d,
+    )
+    made = {text: new}
+    if length:
+        size = F.col("_row")[length]
+        kind = docs.schema[length].dataType
+        made[length] = F.when(hit, (size + grown).cast(kind)).otherwise(size)
+    out = [made.get(c, F.col("_row")[c]).alias(c) for c in columns if c != changed]
     if changed:
         differs = F.zip_with("_found", "_new", lambda a, b: (a != b).cast("int"))
         n = F.when(hit, F.aggregate(differs, F.lit(0), lambda n, d: n + d)).otherwise(F.lit(0))

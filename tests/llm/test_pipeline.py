@@ -18,7 +18,6 @@ PASSAGE = " ".join(f"exam{i}" for i in range(14))
 def sf_dir(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
     texts, toxic = labelled(spark, 160)
-    texts = [t.replace("a", "a") for t in texts]
     texts[10] += " mail me: some.one@example.com or 42.144.35.254."
     texts[11] = f"{texts[11]} {PASSAGE}, {texts[13]}"
     texts += [texts[1], texts[1] + " end", "", None, PASSAGE]
@@ -37,7 +36,9 @@ def test_rows_of_the_pipeline(spark, sf_dir):
     path, texts, toxic = sf_dir
     out = corpus_pipeline.run(spark, path)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids"]
-    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out.collect()}
+    found = out.collect()
+    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found}
+    sizes = {r.doc_id: r.n_chars for r in found}
     clean = [i for i, t in enumerate(toxic) if not t]
     classes = components(clean, [texts[i] for i in clean], 5)
     expected = {i for i in clean if classes[i] == i} - {164}
@@ -45,6 +46,7 @@ def test_rows_of_the_pipeline(spark, sf_dir):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, ids in rows.items():
         text = library.decode(ids, skip_special_tokens=False)
+        assert sizes[i] == len(text)
         assert library.encode(text, add_special_tokens=False).ids == ids
         if i not in (10, 11):
             assert text == (texts[i] or "")

@@ -163,3 +163,13 @@ def test_the_query_leaves_no_phone(spark):
     for i, text in old.items():
         for found in re.finditer(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", text):
             assert found.group() not in new[i]
+
+
+def test_a_length_column_follows(spark):
+    texts = [f"at {i}.{7 * i % 256}.{i}.1 and 9.9.9.{i}" for i in range(60)] + ["no data", "", None]
+    docs = documents(spark, texts).selectExpr("doc_id", "text", "length(text) AS n_chars")
+    out = pseudonyms.pseudonymise(docs, KEY, length="n_chars")
+    assert out.schema == docs.schema
+    rows = out.collect()
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+    assert any(len(r.text) != len(texts[r.doc_id]) for r in rows[:60])
