@@ -93,3 +93,51 @@ def test_what_closes_up_to_a_passage_goes_too():
     first, second = LONG[: LONG.index(" w12")], LONG[LONG.index("w12") :]
     text, n, cut = clean_text(f"{first} middle part {second} rest", [machine])
     assert "w12" not in text and text.strip() == "rest" and n == 28 and cut == 27
+
+
+def test_a_benchmark_of_many_parts_is_built_in_tasks_and_met_in_passes(spark, monkeypatch):
+    rng = random.Random(3)
+    make = lambda n: " ".join(rng.choice("abcdefghijkl") + str(rng.randrange(40)) for _ in range(n))
+    items = [(i, make(rng.choice([4, 30, 400]))) for i in range(30)]
+    texts = [None, "", make(80)]
+    for _, item in items:
+        w = item.split()
+        at = rng.randrange(len(w))
+        texts.append(f"{make(60)} {' '.join(w[at : at + rng.choice([3, 12, 25])])}; {make(20)}")
+        texts.append(f"{make(400)} {' '.join(w[:6])} {items[0][1]} {' '.join(w[6:12])} {make(9)}")
+    docs = documents(spark, texts).withColumnRenamed("node", "_report").repartition(3)
+    bench = benchmark(spark, items + items[:3])
+    whole = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    left = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, length="n_chars").collect()}
+    names = [(str(i), t) for i, t in items]
+    for i, row in whole.items():
+        assert (row.n_words, row.n_hit, row["items"]) == brute(texts[i], names), i
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 1600)
+    assert any(len(t) > 1600 // 16 for _, t in items)  # items in pieces
+    parts = []
+    built = decontaminate.automata
+
+    def counted(*args):
+        machines, n = built(*args)
+        parts.append(n)
+        return machines, n
+
+    monkeypatch.setattr(decontaminate, "automata", counted)
+    for row in decontaminate.contamination(docs, bench).collect():
+        assert row.asDict() | {"longest": 0} == whole[row.doc_id].asDict() | {"longest": 0}
+    cut = decontaminate.decontaminate(docs, bench, length="n_chars")
+    assert cut.columns == docs.columns
+    assert {r.doc_id: r for r in cut.collect()} == left
+    assert min(parts) > decontaminate.PASS_PARTS
+
+
+def test_the_driver_takes_one_pass_of_automata_at_a_time(spark, monkeypatch):
+    from postloom.sources.scratch import Workspace
+
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 1600)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(60)]
+    with Workspace(spark) as work:
+        machines, parts = decontaminate.automata(benchmark(spark, items), "item_id", "text", 10, work)
+        held = [len(sent.value) for sent in decontaminate.passes(machines, parts)]
+    assert parts > decontaminate.PASS_PARTS and max(held) <= decontaminate.PASS_PARTS
+    assert len(held) == -(-parts // decontaminate.PASS_PARTS)
