@@ -37,6 +37,7 @@ from postloom.llm.words import (
     text_pieces,
     thrifty,
 )
+from postloom.operators.joins import fits
 from postloom.sources.scratch import Workspace, stage
 
 MAX_BROADCAST_IDS = 2_000_000
@@ -391,8 +392,9 @@ def _stray_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, settings
 
 
 def _sent(ids: DataFrame) -> DataFrame:
-    """Ids are sent around while they are few; beyond that the texts they meet are shuffled."""
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    """Ids are sent around while they are few and small, long names counted by their bytes; beyond
+    that the texts they meet are shuffled."""
+    return F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else ids
 
 
 def _node_sets(docs, doc, text, nodes: DataFrame, settings: Settings) -> DataFrame:

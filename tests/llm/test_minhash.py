@@ -6,6 +6,7 @@ from helpers import SF, components, documents
 
 from postloom.llm import minhash
 from postloom.llm.graph import components as connected
+from postloom.operators import joins
 from postloom.sources.scratch import Workspace
 
 
@@ -132,3 +133,17 @@ def test_given_documents(spark):
     want = components([r.doc_id for r in rows], [r.text for r in rows], 4)
     found = minhash.near_duplicates(docs, settings=minhash.Settings(shingle=4)).collect()
     assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_long_ids_are_not_sent_around(spark, monkeypatch):
+    ids = spark.range(50).selectExpr("repeat(cast(id as string), 1000) as id")
+    assert "ResolvedHint" in minhash._sent(ids)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(minhash, "fits", lambda table, rows: joins.fits(table, rows, 1 << 10))
+    assert "ResolvedHint" not in minhash._sent(ids)._jdf.queryExecution().analyzed().toString()
+    texts = family_texts(7)
+    names = [f"{i:03d}" * 40 for i in range(len(texts))]
+    docs = documents(spark, texts).join(
+        spark.createDataFrame(list(enumerate(names)), "doc_id long, name string"), "doc_id"
+    )
+    found = {r.name: r.component_id for r in minhash.near_duplicates(docs, "name").collect()}
+    assert found == components(names, texts, 5)
