@@ -57,3 +57,23 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_predictions_equal_a_plain_nearest_centroid(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    letters = langid.letter_table()
+    found = {r.doc_id: r for r in langid.predict(docs, model, keep=["doc_id"]).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        got = found[row.doc_id]
+        counts, has = langid.gram_counts([row.text or ""], letters, model.settings)
+        if not has[0]:
+            assert (got.language, got.score, got.rejected) == ("und", 0.0, True)
+            continue
+        x = np.log(1.0 + counts[0]) * model.idf.astype(float)
+        cosines = [x @ c.astype(float) / np.linalg.norm(x) / np.linalg.norm(c.astype(float)) for c in model.centroids]
+        best = max(cosines)
+        near = {name for name, c in zip(model.languages, cosines) if c > best - 1e-5}
+        assert got.language in near and abs(got.score - best) < 1e-4
