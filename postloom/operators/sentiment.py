@@ -22,7 +22,7 @@ from postloom.operators.rules import (
     QUESTION_MAX,
     Rules,
 )
-from postloom.operators.tokens import constant_lookup, constant_map, inlines, token_values
+from postloom.operators.tokens import FOUND, constant_map, token_lookup
 
 SCORE = "sentiment_score"
 
@@ -103,14 +103,17 @@ def _idiom(c: Column, before: Column, rules: Rules) -> Column:
 
 def _may_hold_phrase(words_: Column, rules: Rules) -> Column:
     """Whether any phrase may be in the text at all: most texts skip the phrase step. Runs of two
-    words are looked up by the first two words of the phrases, so a word costs one look-up however
-    many phrases there are."""
+    words are looked up by the first two words of the phrases, and only those that begin as a phrase
+    does, so a word costs one look-up however many phrases there are."""
     phrases = [*rules.idioms, *(k for k in rules.boosters if " " in k)]
     starts = constant_map({" ".join(p.split(" ")[:2]): True for p in phrases}, "boolean")
+    first = {p.split(" ")[0] for p in phrases}
     runs = F.zip_with(
-        words_, F.slice(words_, 2, F.size(words_)), lambda a, b: starts(F.concat_ws(" ", a, b))
+        words_,
+        F.slice(words_, 2, F.size(words_)),
+        lambda a, b: _one_of(a, first) & starts(F.concat_ws(" ", a, b)).isNotNull(),
     )
-    return F.exists(runs, lambda hit: hit.isNotNull())
+    return F.exists(runs, lambda hit: hit)
 
 
 def _spaced(columns):
@@ -173,29 +176,25 @@ def score(
 
 def _with_score(posts, lexicon, text, out, inline, total, stressed) -> DataFrame:
     """Adds the normalised `total(words, lower-cased words, values)` of each text."""
-    inline = inline is not False and inlines(lexicon)
     words_ = sentiment_words(F.col(text))
-    if inline:
-        value = constant_lookup(lexicon, "token", "valence")
-        found = posts.withColumn(
-            "_sum",
-            let(
-                words_,
-                lambda w: let(
-                    F.transform(w, F.lower),
-                    lambda lo: let(F.transform(lo, value), lambda v: total(w, lo, v)),
-                ),
+    lower = F.transform(words_, F.lower)
+    # After a join the words are made again; only the text moves with its row.
+    found, values = token_lookup(
+        posts, lower, lexicon, "token", "valence", inline, text=F.col(text)
+    )
+    found = found.withColumn(
+        "_sum",
+        let(
+            words_,
+            lambda w: let(
+                F.transform(w, F.lower),
+                lambda lo: let(values(lo), lambda v: total(w, lo, v)),
             ),
-        )
-    else:
-        # The words are made again after the join; only the text moves with its row.
-        lower = F.transform(words_, F.lower)
-        found = token_values(posts, lower, lexicon, "token", "valence", "_v", False)
-        found = found.withColumn("_w", words_).withColumn("_l", F.transform("_w", F.lower))
-        found = found.withColumn("_sum", total(F.col("_w"), F.col("_l"), F.col("_v")))
+        ),
+    )
     summed = _stressed(F.col("_sum"), F.col(text)) if stressed else F.col("_sum")
     return found.withColumn(out, F.when(~is_blank(F.col(text)), normalized(summed))).drop(
-        "_w", "_l", "_v", "_sum"
+        FOUND, "_sum"
     )
 
 

@@ -6,6 +6,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions.text import is_blank
 from postloom.operators.joins import fingerprint, fits, lookup
 
 MAX_INLINE_ROWS = 50_000
@@ -118,30 +119,54 @@ def token_values(
     inline: bool | None = None,
     small: bool | None = None,
 ) -> DataFrame:
-    """Adds `out`: for each element of the array `tokens` its value in the table, or null.
+    """Adds `out`: for each element of the array `tokens` its value in the table, or null. How the
+    table is looked up is for `token_lookup`."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    found, values = token_lookup(df, tokens, table, token, value, inline, small)
+    return found.withColumn(out, values(tokens)).drop(FOUND)
+
+
+#: What `token_lookup` adds, to be dropped when its function has been used.
+FOUND = "_found"
+
+
+def token_lookup(
+    df: DataFrame,
+    tokens: Column,
+    table: DataFrame,
+    token: str,
+    value: str,
+    inline: bool | None = None,
+    small: bool | None = None,
+    text: Column | None = None,
+):
+    """`df`, and a function over it from the array `tokens` to an array of their values or nulls.
+    With the function apart, a caller makes the tokens once for all that it does with them.
 
     A table within the inline bound is a constant of the plan: no shuffle, no explode. Beyond it
     the tokens of each distinct text are joined to the table, by broadcast while it is `small`,
-    and gathered per text again. Given as an expression over other columns, `tokens` are made
-    again where they are used and never shuffled with their rows.
+    and gathered per text again, in a column `FOUND`. Given as an expression over other columns,
+    `tokens` are made again where they are used and never shuffled with their rows. Where they are
+    made of a `text`, without tokens if blank, it is that text's print that rows are joined by, and
+    no tokens are made for it.
     """
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     if inline is not False and inlines(table):
-        return df.withColumn(out, F.transform(tokens, constant_lookup(table, token, value)))
+        found = constant_lookup(table, token, value)
+        return df, lambda made: F.transform(made, found)
     small = small is not False and fits(table)
-    keyed = df.withColumn("_key", fingerprint(tokens))
-    texts = df.select(fingerprint(tokens).alias("_key"), tokens.alias("_tokens"))
+    key = fingerprint(tokens) if text is None else F.when(~is_blank(text), fingerprint(text))
+    keyed = df.withColumn("_key", key)
+    texts = df.select(key.alias("_key"), tokens.alias("_tokens"))
     if not small:
         # Tokens will be shuffled: copies of a text become one row first.
         texts = texts.groupBy("_key").agg(F.first("_tokens").alias("_tokens"))
     hits = token_hits(texts, "_tokens", table, token, value, small)
     # A set, as copies of a text give the same hits; combined before they move.
     found = hits.groupBy("_key").agg(
-        F.array_sort(F.collect_set(F.struct("pos", value))).alias("_found")
+        F.array_sort(F.collect_set(F.struct("pos", value))).alias(FOUND)
     )
-    return lookup(keyed, found, "_key", small=False).withColumn(
-        out, _aligned(F.col("_found"), value, F.size(tokens))
-    ).drop("_key", "_found")
+    joined = lookup(keyed, found, "_key", small=False).drop("_key")
+    return joined, lambda made: _aligned(F.col(FOUND), value, F.size(made))
 
 
 def _aligned(found: Column, value: str, size: Column) -> Column:

@@ -402,3 +402,13 @@ def test_texts_are_moved_by_their_prints(spark):
     assert "Exchange hashpartitioning(_print" in plan and "hashpartitioning(x" not in plan
     rows = [(r.x, r.rows) for r in tr.distinct_texts(posts, "x").collect()]
     assert sorted(rows) == [("ja", 2), ("nej", 1)]
+
+
+def test_a_joined_score_makes_the_words_twice_and_keys_rows_by_their_text(spark, lexicon):
+    """Once for the tokens that are joined, once where the score is taken."""
+    posts = texts(spark, [*SENTENCES, *SENTENCES[:2], None, " \n", "　"])
+    found = score(posts, lexicon, "x", inline=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2, plan
+    inline = score(posts, lexicon, "x", inline=True)
+    assert found.exceptAll(inline).isEmpty() and inline.exceptAll(found).isEmpty()

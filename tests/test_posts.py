@@ -289,3 +289,18 @@ def test_without_hot_keys_the_join_sends_no_list_around(skewed):
     assert "_salts" not in plan
     few = spread_join(facts, table, "key").count()
     assert few == spread_join(facts, table, "key", "left", 100).count() == facts.count()
+
+
+def test_the_keys_of_the_left_side_are_counted_in_one_pass(spark, skewed):
+    _, table = skewed
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    seen_ = F.udf(seen, "long").asNondeterministic()
+    left = spark.range(0, 60, numPartitions=3).select(seen_("id").alias("n")).select(F.concat(F.lit("k"), "n").alias("key"))
+    joined = spread_join(left, table, "key")
+    assert read.value == 60
+    assert joined.count() == 60

@@ -62,3 +62,10 @@ def test_absolute_url(spark):
 def test_prefixed_url(spark):
     got = values(spark, text.prefixed_url(F.col("x"), "https://h"), ["/t1", "https://o/t2"])
     assert got == ["https://h/t1", "https://o/t2"]
+
+
+def test_words_are_split_at_every_white_space_character_and_no_other(spark):
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in points], "c int, t string")
+    split = rows.where(F.size(text.words(F.col("t"))) == 2).select("c")
+    assert sorted(r.c for r in split.collect()) == sorted(map(ord, text.WHITESPACE))
