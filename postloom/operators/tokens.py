@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import is_blank
-from postloom.operators.joins import fingerprint, fits, lookup
+from postloom.operators.joins import fingerprint, fits, lookup, token_filter  # noqa: F401
 
 MAX_INLINE_ROWS = 50_000
 MAX_INLINE_BYTES = 4 << 20
@@ -58,54 +58,17 @@ def constant_map(values: dict[str, float], kind: str = "double"):
     return _slotted(slots, kind, F.crc32)
 
 
-#: Bits of a token filter for each token of its table, at most, and look-ups per token.
-BITS_PER_TOKEN, MAX_FILTER_BITS, LOOK_UPS = 12, 1 << 24, 4
-
-
-def _filter_bits(c: Column, bits: int) -> list[Column]:
-    """The places of a token in a filter of `bits` (a power of two)."""
-    last = F.lit(bits - 1).cast("long")
-    return [F.xxhash64(c, F.lit(i)).bitwiseAND(last) for i in range(LOOK_UPS)]
-
-
-def token_filter(table: DataFrame, token: str):
-    """A function from a token column to whether it may be in the table: never false for one that
-    is. The bits are set in each task, merged by word of 64, and travel as a constant of at most
-    `MAX_FILTER_BITS`; a table too large for them lets more strangers through and loses nothing."""
-    tokens = table.where(F.col(token).isNotNull()).select(token)
-    bits = min(MAX_FILTER_BITS, max(1 << 10, 1 << (BITS_PER_TOKEN * tokens.count()).bit_length()))
-    places = tokens.select(F.explode(F.array(*_filter_bits(F.col(token), bits))).alias("bit"))
-    one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
-    merged = places.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("set")).collect()
-    words_ = [0] * (bits >> 6)
-    for row in merged:
-        words_[row["at"]] = row["set"]
-    constant = F.from_json(F.lit(json.dumps(words_)), "array<bigint>")
-
-    def maybe(c):
-        held = F.lit(True)
-        for bit in _filter_bits(c, bits):
-            word = F.get(constant, F.shiftright(bit, 6).cast("int"))
-            held = held & (F.getbit(word, bit.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
-        return held
-
-    return maybe
-
-
 def token_hits(
     texts: DataFrame, tokens: str, table: DataFrame, token: str, value: str, small=None
 ) -> DataFrame:
     """One row per (text, position) whose token is in the table. Only `table`'s tokens survive
     the join, and each row carries a short key, not its text. Where the table is not `small`,
-    tokens that a filter of its tokens rules out go before anything is shuffled."""
+    tokens that a filter of its tokens rules out go before anything is shuffled (`spread_join`)."""
     # The outer form, as the inner one adds a size filter that splits every text again.
     exploded = texts.select(
         *[c for c in texts.columns if c != tokens], F.posexplode_outer(tokens).alias("pos", token)
     ).where("pos is not null")
     table = one_per_token(table, token, value)
-    small = small is not False and fits(table)
-    if not small:
-        exploded = exploded.where(token_filter(table, token)(F.col(token)))
     return lookup(exploded, table, token, "inner", small)
 
 

@@ -304,3 +304,19 @@ def test_the_keys_of_the_left_side_are_counted_in_one_pass(spark, skewed):
     joined = spread_join(left, table, "key")
     assert read.value == 60
     assert joined.count() == 60
+
+
+def test_rows_that_an_inner_join_cannot_match_are_not_dealt(spark, skewed):
+    facts, table = skewed
+    few = table.where("value < 3 or value is null").unionByName(spark.sql("select null as key, 9L as value"))
+    want = facts.join(few, "key")
+    for rows_per_task in (10, 1_000_000):
+        got = spread_join(facts, few, "key", "inner", rows_per_task)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # Without a hot key the filter is in the plan; with one, only what passes it is staged.
+    plan = spread_join(facts, few, "key", "inner")._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan
+    floats = [spark.createDataFrame([(x,)], "key double") for x in (0.0, -0.0)]
+    assert spread_join(*floats, "key", "inner").count() == 1
+    other = spark.createDataFrame([(1,)], "key int"), spark.createDataFrame([(1,)], "key long")
+    assert spread_join(*other, "key", "inner").count() == 1
