@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from postloom.sources.pages import dealt
+
 
 def new_files(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
@@ -92,12 +94,13 @@ def enrich_new(
     """Enrich only new rows, by any batch operators. A batch is written into the folder of its
     stream and batch, and replaces that folder when it is played again, so each row is there once.
     The stream's id lives in its checkpoint: another checkpoint over the same table adds rows and
-    touches none that are there."""
+    touches none that are there. A batch of few files is dealt out to all cores first: a file read
+    whole by one task would be enriched by that task alone."""
 
     def write(batch: DataFrame, batch_id: int):
         meta = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
         (
-            enrich(batch)
+            enrich(dealt(batch))
             .withColumn("stream_id", F.lit(json.loads(meta)["id"]))
             .withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")

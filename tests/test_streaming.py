@@ -168,3 +168,16 @@ def test_titles_before_and_after_their_pages(spark, tmp_path):
         ("b", "B", "text b", None),
         ("c", None, None, "no title"),
     ]
+
+
+def test_a_batch_of_one_file_is_enriched_by_all_cores(spark, tmp_path):
+    folder, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    arrive(spark, folder, range(200))
+
+    def placed(batch):
+        return batch.select("page_id", F.spark_partition_id().alias("task"))
+
+    enrich_new(new_files(spark, folder, PAGES, files_per_batch=1), placed, out, log)
+    got = spark.read.parquet(out)
+    assert sorted(r.page_id for r in got.select("page_id").collect()) == list(range(200))
+    assert got.select("task").distinct().count() == spark.sparkContext.defaultParallelism
