@@ -143,9 +143,10 @@ def enrich(
         )
     if glossary is not None:
         others = [c for c in posts.columns if c not in (TRANSLATED, "via")]
-        by_token = glossary_translate(
-            posts.withColumnsRenamed({TRANSLATED: "_known", "via": "_via"}), glossary, text, known="_hit"
-        )
+        posts = posts.withColumnsRenamed({TRANSLATED: "_known", "via": "_via"})
+        # No tokens are made of a text that has its translation.
+        asked = posts.withColumn("_asked", F.when(F.col("_via") == "original", F.col(text)))
+        by_token = glossary_translate(asked, glossary, "_asked", known="_hit")
         # A text of which no token has an entry stays as it is, white space and all.
         changed = (F.col("_via") == "original") & F.col("_hit")
         posts = by_token.select(

@@ -412,3 +412,32 @@ def test_a_joined_score_makes_the_words_twice_and_keys_rows_by_their_text(spark,
     assert plan.count("split(") == 2, plan
     inline = score(posts, lexicon, "x", inline=True)
     assert found.exceptAll(inline).isEmpty() and inline.exceptAll(found).isEmpty()
+
+
+def test_without_a_backend_rows_meet_the_memory_in_one_join(spark, memory):
+    import os
+
+    from postloom.sources.scratch import shared_dir
+
+    posts = texts(spark, POSTS * 3)
+    place = shared_dir(spark).removeprefix("file:") + "/postloom"
+    made = lambda: {f for f in os.listdir(place) if f.startswith("dictionary-")} if os.path.isdir(place) else set()
+    before = made()
+    large = tr.translate(posts, memory, "x", small=False, rows_per_task=2)
+    assert made() == before
+    small = tr.translate(posts, memory, "x", small=True)
+    assert large.columns == small.columns
+    assert large.exceptAll(small).isEmpty() and small.exceptAll(large).isEmpty()
+
+
+@pytest.mark.parametrize("inline", [True, False])
+def test_a_glossary_makes_the_tokens_once(spark, inline):
+    glossary = spark.createDataFrame([("hej", "hello"), ("ja", "yes")], "token string, target string")
+    posts = texts(spark, ["Hej  du", "ja\nja", "nej  ja ", None, " ", "inget  alls"])
+    found = tr.glossary_translate(posts, glossary, "x", inline=inline, known="hit")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Joined, once more for the tokens that meet the glossary.
+    assert plan.count("split(") == (1 if inline else 2), plan
+    assert [(r[tr.TRANSLATED], r.hit) for r in found.orderBy("id").collect()] == [
+        ("hello du", True), ("yes yes", True), ("nej yes", True), ("", False), ("", False), ("inget alls", False),
+    ]
