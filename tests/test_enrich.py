@@ -441,3 +441,40 @@ def test_a_glossary_makes_the_tokens_once(spark, inline):
     assert [(r[tr.TRANSLATED], r.hit) for r in found.orderBy("id").collect()] == [
         ("hello du", True), ("yes yes", True), ("nej yes", True), ("", False), ("", False), ("inget alls", False),
     ]
+
+
+def test_a_backend_is_sent_batches_of_bounded_size(spark, tmp_path):
+    """Of rows and of bytes, whatever the partition holds; the session's setting comes back."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    names = list(tr.BATCH_LIMITS)
+    before = [spark.conf.get(n) for n in names]
+    sizes = spark.sparkContext.accumulator(0)
+    posts = spark.range(0, 3000, numPartitions=1).select("id", F.concat(F.lit("t"), "id").alias("x"))
+
+    def batches(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in series:
+            sizes.add(1)
+            yield pd.Series([len(s)] * len(s))
+
+    size = F.pandas_udf(batches, "int")
+    with tr.bounded_batches(spark):
+        rows = posts.select(size("x").alias("n")).collect()
+        long_ = posts.select(size(F.repeat("x", 10_000)).alias("n")).collect()
+    assert max(r.n for r in rows) <= tr.BATCH_LIMITS[names[0]]
+    assert max(r.n for r in long_) <= 200
+    assert [spark.conf.get(n) for n in names] == before
+
+    def backend():
+        def run(asked):
+            if len(asked) > 64 or "t7" in asked:
+                raise ValueError("refused")
+            return [t.upper() for t in asked]
+
+        return run
+
+    answers = posts.select("id", tr.backend_udf(backend)(F.when(F.col("id") % 5 < 3, F.col("x"))).alias("a"))
+    want = [None if i % 5 > 2 or i == 7 else f"T{i}" for i in range(3000)]
+    assert [r.a for r in answers.orderBy("id").collect()] == want
