@@ -4,7 +4,8 @@ A text is tokenised whole by both. Where a token of each ends at one byte and th
 each begins with a space, the text is cut; what lies between two cuts is a window, known by its
 two rows of ids alone. Windows repeat as words do, so a window's alignment is remembered under
 its ids and only new ones are worked out. A corpus-wide count of linked id pairs comes from
-partial counts per task; it is then laid against each text's links.
+partial counts per task; it is then laid against each text's links. For that the links are written
+in stretches, so that what is read in one go follows the stretch and not the length of the texts.
 """
 
 import hashlib
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.bpe import PATTERN, Vocabulary
-from postloom.llm.words import mix, pieces, text_pieces
+from postloom.llm.words import mix, pieces, text_pieces, thrifty
 from postloom.operators.joins import hot_keys, spread_join
 from postloom.sources.scratch import Workspace, stage
 
@@ -26,6 +27,8 @@ PIECE = 1 << 18
 REMEMBERED = 60_000
 #: Pairs that a task counts before it hands them on, and links that are looked at together.
 COUNTED, LINKS = 1 << 18, 1 << 18
+#: Links in a row that is read again: Spark reads some thousand rows at a time, however long.
+STRETCH = 256
 #: Linked id pairs that are sent to every task, 16 bytes each; more are joined.
 MAX_SENT_PAIRS = 4_000_000
 
@@ -288,7 +291,21 @@ def align(
                 yield pa.RecordBatch.from_arrays([rows, *columns], names)
 
     kind = frame.schema["doc"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc {kind}, {ALIGNED}").withColumnRenamed("doc", doc)
+    return frame.mapInArrow(thrifty(run), f"doc {kind}, {ALIGNED}").withColumnRenamed("doc", doc)
+
+
+def stretches(aligned: DataFrame) -> DataFrame:
+    """(_row, head, links): a row for each `STRETCH` of a text's links, one for a text without any.
+    All rows of a text have its number; `head`, in the first of them alone, holds its other columns.
+    Made again it may number otherwise: stage it."""
+    head = F.struct(*[f"`{c}`" for c in aligned.columns if c != "links"])
+    rows = aligned.select(F.monotonically_increasing_id().alias("_row"), head.alias("head"), "links")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("links"), F.lit(1)), F.lit(STRETCH))
+    return rows.select("*", F.explode(starts).alias("at")).select(
+        "_row",
+        F.when(F.col("at") == 1, F.col("head")).alias("head"),
+        F.slice("links", F.col("at"), F.lit(STRETCH)).alias("links"),
+    )
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -307,7 +324,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         if held:
             yield from _rows(*_summed(held))
 
-    counted = aligned.select("links").mapInArrow(run, "code long, n long")
+    counted = aligned.select("links").mapInArrow(thrifty(run), "code long, n long")
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -336,30 +353,41 @@ def link_scores(
     """`aligned` with n_best (links whose pair is the most frequent of its id of B, ties too) and
     count_sum (the corpus-wide counts of its links' pairs), in place of `links`.
 
-    Reads `aligned` twice: give a staged table. Up to `max_sent` distinct pairs are sent to every
-    task; more are joined to the texts' own counts of pairs, hot pairs spread.
+    Reads `aligned` once and stages it in stretches. Up to `max_sent` distinct pairs are sent to
+    every task; more are joined to the texts' own counts of pairs, hot pairs spread.
     """
+    texts = stage(stretches(aligned), "aligned")
+    links = texts.select("_row", "links")
     with Workspace(aligned.sparkSession) as work:
-        pairs = work.stage(pair_counts(aligned), "pair-counts")
+        pairs = work.stage(pair_counts(links), "pair-counts")
         pairs = work.stage(with_best(pairs, size_b), "best-pairs")
         if pairs.count() <= max_sent:
-            return _scored_by_sent(aligned, pairs)
-        return stage(_scored_by_join(aligned, pairs, work), "link-scores")
+            return _with_sums(texts, _scored_by_sent(links, pairs))
+        return stage(_with_sums(texts, _scored_by_join(links, pairs, work)), "link-scores")
+
+
+def _with_sums(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each text's head once, with the sums of its parts, zero where it has none."""
+    names = ["n_best", "count_sum"]
+    sums = parts.groupBy("_row").agg(*[F.sum(c).alias(c) for c in names])
+    heads = texts.where(F.col("head").isNotNull()).select("_row", "head")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in names]
+    return heads.join(sums, "_row", "left").select("head.*", *zero)
 
 
-def _scored_by_sent(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
+def _scored_by_sent(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_row, n_best, count_sum) of each stretch."""
     table = pairs.toArrow()
     code = table["code"].to_numpy()
     order = np.argsort(code)
-    sent = aligned.sparkSession.sparkContext.broadcast(
+    sent = links.sparkSession.sparkContext.broadcast(
         (code[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order])
     )
-    others = [c for c in aligned.columns if c != "links"]
 
     def run(batches):
         for batch in batches:
             codes, n, best = sent.value
-            links = batch.column(len(others))
+            links = batch.column(1)
             ends = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))])
             for i, j in pieces(ends, LINKS):
                 own = links.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
@@ -367,21 +395,18 @@ def _scored_by_sent(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
                 bounds = ends[i : j + 1] - ends[i]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[c.slice(i, j - i) for c in batch.columns[: len(others)]],
+                        batch.column(0).slice(i, j - i),
                         pa.array(_sums(best[at].astype(np.int64), bounds)),
                         pa.array(_sums(n[at], bounds)),
                     ],
-                    [*others, "n_best", "count_sum"],
+                    ["_row", "n_best", "count_sum"],
                 )
 
-    kept = aligned.select(*others, "links")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.select(*others).schema]
-    return kept.mapInArrow(run, ", ".join([*kinds, "n_best long", "count_sum long"]))
+    return links.mapInArrow(thrifty(run), "_row long, n_best long, count_sum long")
 
 
-def _scored_by_join(aligned: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
-    # Numbered by the place in a staged table, which a retried task sees again.
-    aligned = work.stage(aligned.withColumn("_row", F.monotonically_increasing_id()), "numbered-links")
+def _scored_by_join(links: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    """(_row, n_best, count_sum) of each distinct pair of a stretch."""
 
     def run(batches):
         for batch in batches:
@@ -403,14 +428,10 @@ def _scored_by_join(aligned: DataFrame, pairs: DataFrame, work: Workspace) -> Da
                 ["_row", "code", "times"],
             )
 
-    own = work.stage(
-        aligned.select("_row", "links").mapInArrow(run, "_row long, code long, times long"), "own-pairs"
-    )
+    own = work.stage(links.mapInArrow(thrifty(run), "_row long, code long, times long"), "own-pairs")
     hot = hot_keys(pairs, "code", "n", 1_000_000)
-    joined = spread_join(own, pairs, "code", "inner", hot=hot)
-    sums = joined.groupBy("_row").agg(
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
-        F.sum(F.col("n") * F.col("times")).alias("count_sum"),
+    return spread_join(own, pairs, "code", "inner", hot=hot).select(
+        "_row",
+        F.when(F.col("best"), F.col("times")).otherwise(0).alias("n_best"),
+        (F.col("n") * F.col("times")).alias("count_sum"),
     )
-    zero = {name: F.coalesce(name, F.lit(0).cast("long")) for name in ("n_best", "count_sum")}
-    return aligned.drop("links").join(sums, "_row", "left").drop("_row").withColumns(zero)

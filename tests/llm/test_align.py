@@ -2,8 +2,10 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from helpers import SF, documents
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -109,6 +111,30 @@ def test_more_pairs_than_are_sent_are_joined(spark):
     assert [tuple(r[c] for c in COLUMNS) for r in sorted(rows, key=lambda r: r.doc_id)] == plain(TEXTS)
 
 
+@pytest.mark.parametrize("max_sent", [align.MAX_SENT_PAIRS, 0])
+def test_links_that_are_read_again_come_in_short_rows(spark, monkeypatch, max_sent):
+    longest, count = [], align.pair_counts
+
+    def counted(links):
+        longest.append(links.select(F.max(F.size("links"))).first()[0])
+        return count(links)
+
+    monkeypatch.setattr(align, "pair_counts", counted)
+    texts = ["zzz" * 4000, " ".join(f"w{i % 90} is {i}" for i in range(3000)), "", "short"]
+    rows = scored(spark, documents(spark, texts), max_sent=max_sent).collect()
+    assert [tuple(r[c] for c in COLUMNS) for r in sorted(rows, key=lambda r: r.doc_id)] == plain(texts)
+    assert max(r.n_links for r in rows) > 5000 and longest == [256]
+
+
+def test_ids_of_any_type_under_any_name(spark):
+    docs = documents(spark, ["a b", "a", None]).withColumns({"_row": F.struct("doc_id"), "at": F.lit(None).cast("string")})
+    for name in ("_row", "at"):
+        found = align.align(docs, BYTES, PIECES, doc=name)
+        rows = align.link_scores(found, align.vocabulary_size(PIECES))
+        assert rows.columns[0] == name and rows.schema[name].dataType == docs.schema[name].dataType
+        assert sorted(tuple(r[c] for c in COLUMNS) for r in rows.collect()) == sorted(plain(["a b", "a", None]))
+
+
 def test_repeated_rows_null_ids_and_an_empty_table(spark):
     docs = documents(spark, ["x y", "x y", "x y", None], [1, 1, None, None])
     rows = [tuple(r[c] for c in COLUMNS) for r in scored(spark, docs).collect()]
